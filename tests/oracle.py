@@ -35,13 +35,32 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _rows(columns, rows):
+    """Cells in column name order; rows sorted, by their other cells before their doubles."""
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    # repr tells 0.0 from -0.0 and keeps NULL comparable.
-    return sorted(tuple(repr(row[i]) for i in order) for row in rows)
 
+    def key(row):
+        # repr tells 0.0 from -0.0 and makes NULL comparable.
+        exact = [repr(v) for v in row if not isinstance(v, float)]
+        return exact, [repr(v) for v in row]
 
-def difference(spark: SparkSession, connection, name: str, sf_dir: str) -> str | None:
-    """None when both sides agree, else the first thing that differs."""
+    return sorted((tuple(row[i] for i in order) for row in rows), key=key)
+
+
+def _same(left, right, tolerance: float) -> bool:
+    return all(
+        repr(a) == repr(b)
+        or (isinstance(a, float) and isinstance(b, float) and abs(a - b) <= tolerance)
+        for a, b in zip(left, right)
+    )
+
+
+def difference(spark: SparkSession, connection, name: str, sf_dir: str, tolerance: float = 0.0) -> str | None:
+    """None when both sides agree, else the first thing that differs.
+
+    Results are rounded to six places. A value that ends in a 5 at the seventh
+    is rounded up or down by its last bit, so a tolerance of one unit in the
+    sixth place lets such ties pass.
+    """
     df = entry.queries()[name](spark, sf_dir)
     relation = connection.sql(entry.oracle_sql()[name])
     ours = {c: TYPES[t] for c, t in df.dtypes}
@@ -52,7 +71,7 @@ def difference(spark: SparkSession, connection, name: str, sf_dir: str) -> str |
     right = _rows(relation.columns, relation.fetchall())
     if len(left) != len(right):
         return f"{len(left)} rows, SQL has {len(right)}"
-    wrong = [(a, b) for a, b in zip(left, right) if a != b]
+    wrong = [(a, b) for a, b in zip(left, right) if not _same(a, b, tolerance)]
     return f"{len(wrong)} of {len(left)} rows differ, first {wrong[0]}" if wrong else None
 
 

@@ -182,23 +182,19 @@ def attributions(df: DataFrame, model: Model, features: Sequence[str], keys: Seq
     return wide.select(*rows.columns, F.lit(base).alias("base"), *phi_names)
 
 
-def _pairs(features: Sequence[str]):
-    """Array of (feature, value, phi), one entry per feature of a wide row."""
-    return F.array(
-        *[
-            F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"), F.col(f"phi_{f}").alias("phi"))
-            for f in features
-        ]
-    )
+def _pairs(features: Sequence[str]) -> str:
+    """One row per feature of a wide row: (feature, value, phi)."""
+    entries = [f"struct('{f}' AS feature, `{f}` AS value, `phi_{f}` AS phi)" for f in features]
+    return f"inline(array({', '.join(entries)}))"
 
 
 def melt_attributions(wide: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    return wide.select(*keys, "base", F.inline(_pairs(features)))
+    return wide.selectExpr(*[f"`{k}`" for k in keys], "base", _pairs(features))
 
 
 def global_importance(wide: DataFrame, features: Sequence[str], top: int = TOP_FEATURES) -> DataFrame:
     """Mean absolute attribution per feature, the largest first; averaged before melting."""
-    means = wide.agg(*[F.avg(F.abs(f"phi_{f}")).alias(f) for f in features])
+    means = wide.selectExpr(*[f"avg(abs(`phi_{f}`)) AS `{f}`" for f in features])
     return (
         means.unpivot([], list(features), "feature", "importance")
         .where(F.col("importance") > NEGLIGIBLE)
@@ -215,7 +211,7 @@ def attribution_summary(
     Each feature's range of attributions is cut into equal bins; a bin has its
     number of rows, its mean attribution and the mean feature value in it.
     """
-    long = wide.select(F.inline(_pairs(features)))
+    long = wide.selectExpr(_pairs(features))
     ranges = long.groupBy("feature").agg(
         F.avg(F.abs("phi")).alias("importance"), F.min("phi").alias("_low"), F.max("phi").alias("_high")
     )

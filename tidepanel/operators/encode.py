@@ -26,29 +26,20 @@ def add_label_code(df: DataFrame, column: str, codes: DataFrame, code: str) -> D
 
 def scaler_stats(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per feature: position, mean, population deviation, scale (1 for a constant)."""
-    stats = train.agg(
-        *[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in columns]
+    moments = train.selectExpr(*[f"struct(avg(`{c}`) AS mean, stddev_pop(`{c}`) AS std) AS `{c}`" for c in columns])
+    entries = [f"struct({i} AS position, '{c}' AS feature, `{c}` AS fitted)" for i, c in enumerate(columns)]
+    return moments.selectExpr(f"inline(array({', '.join(entries)}))").selectExpr(
+        "position", "feature", "fitted.mean", "fitted.std", "if(fitted.std = 0, 1D, fitted.std) AS scale"
     )
-    entries = F.array(
-        *[
-            F.struct(F.lit(i).alias("position"), F.lit(c).alias("feature"), F.col(c).alias("fitted"))
-            for i, c in enumerate(columns)
-        ]
-    )
-    constant = F.col("std") == 0
-    return stats.select(F.inline(entries)).select(
-        "position", "feature", "fitted.mean", "fitted.std"
-    ).withColumn("scale", F.when(constant, 1.0).otherwise(F.col("std")))
 
 
 def scale(df: DataFrame, stats: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Standardise ``columns`` with fitted statistics; one row of them reaches every task."""
+    """Standardise ``columns`` with fitted statistics; one row of them reaches every task.
+
+    The row holds reciprocals, so that the wide projection stays a short method.
+    """
     fitted = stats.agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("feature", F.struct("mean", "scale").alias("fitted")))
-        ).alias("_map")
-    ).select(*[F.col("_map")[c].alias(f"_fit_{c}") for c in columns])
-    scaled = {
-        c: (F.col(c) - F.col(f"_fit_{c}.mean")) / F.col(f"_fit_{c}.scale") for c in columns
-    }
-    return df.crossJoin(F.broadcast(fitted)).withColumns(scaled).select(*df.columns)
+        F.map_from_entries(F.collect_list(F.expr("struct(feature, struct(mean, 1 / scale AS factor))"))).alias("_fit")
+    ).selectExpr(*[f"_fit['{c}'].{part} AS `_{part}_{c}`" for c in columns for part in ("mean", "factor")])
+    scaled = {c: f"(`{c}` - `_mean_{c}`) * `_factor_{c}` AS `{c}`" for c in columns}
+    return df.crossJoin(F.broadcast(fitted)).selectExpr(*[scaled.get(c, f"`{c}`") for c in df.columns])

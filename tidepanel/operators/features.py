@@ -102,3 +102,10 @@ def feature_frame(df: DataFrame, spec: PanelSpec) -> DataFrame:
 def duplicate_keys(df: DataFrame, keys) -> DataFrame:
     """Keys that occur more than once; a panel must have none."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
+
+
+def require_unique(df: DataFrame, keys) -> None:
+    """Raise when a key occurs twice: look-backs would then depend on the row order."""
+    found = duplicate_keys(df, keys).take(3)
+    if found:
+        raise ValueError(f"{list(keys)} must be unique; repeated: {[tuple(row) for row in found]}")

@@ -101,36 +101,30 @@ def autocorrelation(
         max_lag,
     )
     before = Window.partitionBy("_block", *keys).orderBy(*order_by)
-    lagged = blocks.withColumns(
-        {f"_lag_{k}": F.lag("_e", k).over(before) for k in range(1, max_lag + 1)}
-    ).where("_own")
-    sums = [F.count("_e").alias("_n"), F.sum("_e").alias("_s"), F.sum(F.col("_e") * F.col("_e")).alias("_ss")]
-    for k in range(1, max_lag + 1):
-        past = F.col(f"_lag_{k}")
-        pair = F.struct(
-            F.count(past).alias("n"),
-            F.sum(F.col("_e") * past).alias("products"),
-            F.sum(F.when(past.isNotNull(), F.col("_e")) + past).alias("both"),
-        )
-        sums.append(pair.alias(f"_at_{k}"))
-    totals = lagged.groupBy(*keys).agg(*sums)
-    mean = F.col("_s") / F.col("_n")
-    spread = F.col("_ss") - F.col("_s") * mean
-    rows = [F.struct(F.lit(0).alias("lag"), F.when(spread > 0, F.lit(1.0)).alias("acf"))]
-    for k in range(1, max_lag + 1):
-        at = F.col(f"_at_{k}")
-        covariance = at["products"] - mean * at["both"] + at["n"] * mean * mean
-        rows.append(F.struct(F.lit(k).alias("lag"), F.try_divide(covariance, spread).alias("acf")))
-    table = (
-        totals.where("_n > 0")
-        .select(*keys, "_n", F.inline(F.array(*rows)))
-        .where(F.col("lag") < F.col("_n"))
+    # Entry k of the array is the value k rows back; entry 0 is the row's own.
+    look_back = F.array("_e", *[F.lag("_e", k).over(before) for k in range(1, max_lag + 1)])
+    pairs = (
+        blocks.withColumn("_back", look_back)
+        .where("_own")
+        .select(*keys, "_e", F.posexplode("_back").alias("lag", "_past"))
+        .where("_past IS NOT NULL")
+    )
+    totals = pairs.groupBy(*keys, "lag").agg(
+        F.count("_e").alias("_pairs"),
+        F.sum(F.col("_e") * F.col("_past")).alias("_products"),
+        F.sum(F.col("_e") + F.col("_past")).alias("_both"),
     )
     # max_lag + 1 rows per key from here on.
-    shorter = Window.partitionBy(*keys).orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)
+    series = Window.partitionBy(*keys)
+    at_zero = [F.max(F.when(F.col("lag") == 0, F.col(c))).over(series) for c in ("_pairs", "_products", "_both")]
+    mean = F.col("_sum") / F.col("_n")
+    covariance = F.col("_products") - mean * F.col("_both") + F.col("_pairs") * mean * mean
+    spread = F.col("_squares") - F.col("_sum") * mean
+    correlated = totals.select(
+        "*", at_zero[0].alias("_n"), at_zero[1].alias("_squares"), (at_zero[2] / 2).alias("_sum")
+    ).withColumn("acf", F.try_divide(covariance, F.when(spread > 0, spread)))
+    shorter = series.orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.sum(F.when(F.col("lag") > 0, F.col("acf") * F.col("acf"))).over(shorter)
-    variance = F.when(F.col("lag") == 0, 0.0).otherwise(
-        (1 + 2 * F.coalesce(earlier, F.lit(0.0))) / F.col("_n")
-    )
-    banded = table.withColumn("_margin", NORMAL_95 * F.sqrt(variance))
+    variance = F.when(F.col("lag") == 0, 0.0).otherwise((1 + 2 * F.coalesce(earlier, F.lit(0.0))) / F.col("_n"))
+    banded = correlated.withColumn("_margin", NORMAL_95 * F.sqrt(variance))
     return banded.select(*keys, "lag", "acf", (-F.col("_margin")).alias("lower"), F.col("_margin").alias("upper"))

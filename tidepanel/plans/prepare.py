@@ -76,10 +76,12 @@ def prepare(df: DataFrame, spec: PanelSpec) -> Prepared:
 
 
 def feature_order(prepared: Prepared) -> DataFrame:
-    """(position, feature): model inputs in order, scaled ones first."""
-    names = F.array(*[F.lit(f) for f in prepared.features])
-    one_row = prepared.scaler.agg(F.count(F.lit(1)))
-    return one_row.select(F.posexplode(names).alias("position", "feature"))
+    """(position, feature): model inputs in order, the scaled ones first."""
+    scaled = prepared.scaler.select("position", "feature")
+    passed = [f for f in prepared.features if f in (prepared.spec.group_code, "is_december")]
+    entries = ", ".join(f"struct(int(n + {i}) AS position, '{f}' AS feature)" for i, f in enumerate(passed))
+    rest = scaled.agg(F.count(F.lit(1)).alias("n")).selectExpr(f"inline(array({entries}))")
+    return scaled.unionByName(rest)
 
 
 def save_prepared(prepared: Prepared, path: str) -> None:
