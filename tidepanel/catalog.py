@@ -437,7 +437,7 @@ def cv_folds_date(spark, sf_dir):
 
 @query(sql.folds("row_number() OVER (ORDER BY grp, date)"))
 def cv_folds_row(spark, sf_dir):
-    numbered = ordered_index(_train_side(spark, sf_dir), ["grp", "date"], "unit")
+    numbered = ordered_index(_train_side(spark, sf_dir), ["grp", "date"], "unit", written=True)
     return split.expanding_folds(numbered, "unit")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -48,27 +52,38 @@ def lag_columns(column: str, distances, order: WindowSpec, stem: str) -> dict[st
     return {f"{stem}_{k}": F.lag(column, k).over(order) for k in distances}
 
 
-def _full_window(aggregate, column: str, rows: int, order: WindowSpec) -> Column:
-    """Aggregate over the ``rows`` rows before this one; NULL unless all have a value."""
-    past = order.rowsBetween(-rows, -1)
-    return F.when(F.count(column).over(past) == rows, aggregate(column).over(past))
+def _mean(values: Sequence[Column]) -> Column:
+    return reduce(add, values) / len(values)
+
+
+def _sample_std(values: Sequence[Column]) -> Column:
+    mean = _mean(values)
+    return F.sqrt(reduce(add, [(v - mean) * (v - mean) for v in values]) / (len(values) - 1))
 
 
-def rolling_columns(column: str, order: WindowSpec) -> dict[str, Column]:
-    means = {f"rolling_mean_{k}": _full_window(F.avg, column, k, order) for k in ROLLING_MEANS}
-    stds = {f"rolling_std_{k}": _full_window(F.stddev_samp, column, k, order) for k in ROLLING_STDS}
+def rolling_columns(past: Sequence[Column]) -> dict[str, Column]:
+    """Rolling statistics from the values 1, 2, ... rows back.
+
+    A missing value makes the sum NULL, so a window counts only when it is full.
+    Plain arithmetic on the lags needs no window frame of its own.
+    """
+    means = {f"rolling_mean_{k}": _mean(past[:k]) for k in ROLLING_MEANS}
+    stds = {f"rolling_std_{k}": _sample_std(past[:k]) for k in ROLLING_STDS}
     return means | stds
 
 
-def past_columns(df: DataFrame, spec: PanelSpec, order: WindowSpec) -> dict[str, Column]:
-    """All look-back features the panel's columns allow, on one window specification."""
-    columns = lag_columns(spec.target, range(1, spec.n_lags + 1), order, "lag")
+def past_columns(df: DataFrame, spec: PanelSpec, order: WindowSpec) -> DataFrame:
+    """Add all look-back features the panel's columns allow, on one window specification."""
+    target_lags = max(spec.n_lags, *ROLLING_MEANS, *ROLLING_STDS)
+    lags = lag_columns(spec.target, range(1, target_lags + 1), order, "lag")
     for measure, name in ((spec.admissions, "admissions"), (spec.weight, "headcount")):
         if measure in df.columns:
-            columns |= lag_columns(measure, EXOGENOUS_LAGS, order, f"{name}_lag")
+            lags |= lag_columns(measure, EXOGENOUS_LAGS, order, f"{name}_lag")
     for component in spec.present_components(df.columns):
-        columns |= lag_columns(component, COMPONENT_LAGS, order, f"{component}_lag")
-    return columns | rolling_columns(spec.target, order)
+        lags |= lag_columns(component, COMPONENT_LAGS, order, f"{component}_lag")
+    rolling = rolling_columns([F.col(f"lag_{k}") for k in range(1, target_lags + 1)])
+    only_for_rolling = [f"lag_{k}" for k in range(spec.n_lags + 1, target_lags + 1)]
+    return df.withColumns(lags).withColumns(rolling).drop(*only_for_rolling)
 
 
 def with_past(df: DataFrame, spec: PanelSpec, block_rows: int = BLOCK_ROWS, tie_break=()) -> DataFrame:
@@ -81,15 +96,11 @@ def with_past(df: DataFrame, spec: PanelSpec, block_rows: int = BLOCK_ROWS, tie_
     order_by = [spec.date, *tie_break]
     if spec.grain == "month":
         order = Window.partitionBy(spec.group).orderBy(*order_by)
-        return df.withColumns(past_columns(df, spec, order))
+        return past_columns(df, spec, order)
     placed = ordered_index(df, [spec.group, *order_by], "_position")
     blocks = halo_blocks(placed, "_position", block_rows, spec.longest_look_back)
     order = Window.partitionBy("_block", spec.group).orderBy(*order_by)
-    return (
-        blocks.withColumns(past_columns(df, spec, order))
-        .where("_own")
-        .drop("_position", "_block", "_own")
-    )
+    return past_columns(blocks, spec, order).where("_own").drop("_position", "_block", "_own")
 
 
 def feature_frame(df: DataFrame, spec: PanelSpec) -> DataFrame:

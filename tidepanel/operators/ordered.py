@@ -25,54 +25,64 @@ def _range_count(df: DataFrame) -> int:
     return max(16, min(MAX_RANGES, partitions))
 
 
-def _range_bounds(df: DataFrame, key: Column, ranges: int, step: int) -> DataFrame:
-    """One row: evenly spaced bounds, and every ``step``-th of them for a quick look-up.
+def _range_edges(df: DataFrame, order_by: Sequence[str], ranges: int) -> DataFrame:
+    """One row with ``ranges - 1`` evenly spaced keys of the table, in order.
 
-    The sample is the rows with the smallest key hashes, so it is uniform over
-    the keys, the same on every run, and never larger than the limit.
+    They come from a sample: the rows with the smallest key hashes. That is
+    uniform over the keys, the same on every run, and never above the limit.
     """
     sample = (
-        df.select(key.alias("k"))
-        .orderBy(F.xxhash64("k"), "k")
+        df.select(F.struct(*order_by).alias("key"))
+        .orderBy(F.xxhash64("key"), "key")
         .limit(ranges * SAMPLE_PER_RANGE)
-        .agg(F.sort_array(F.collect_list("k")).alias("sample"))
+        .agg(F.sort_array(F.collect_list("key")).alias("sample"))
     )
-    places = F.sequence(F.lit(1), F.lit(ranges - 1))
-    fine = F.transform(
-        places, lambda i: F.get("sample", F.floor(i * F.size("sample") / ranges).cast("int"))
-    )
-    return sample.select(fine.alias("_fine")).select(
-        "_fine", F.filter("_fine", lambda bound, i: i % step == step - 1).alias("_coarse")
+    place = f"int(i * size(sample) div {ranges})"
+    return sample.selectExpr(f"transform(sequence(1, {ranges - 1}), i -> get(sample, {place})) AS edges")
+
+
+def _intervals(edges: DataFrame, ranges: int, step: int, prefix: str, *more: str) -> DataFrame:
+    """One row per ``step`` neighbouring ranges: from the edge below to the edge above."""
+    low, high = f"get(edges, i * {step} - 1)", f"get(edges, (i + 1) * {step} - 1)"
+    columns = [f"i AS {prefix}", f"{low} AS {prefix}_low", f"{high} AS {prefix}_high", *more]
+    count = -(-ranges // step)
+    return edges.selectExpr(f"inline(transform(sequence(0, {count - 1}), i -> struct({', '.join(columns)})))")
+
+
+def _inside(prefix: str) -> Column:
+    return F.expr(
+        f"({prefix}_low IS NULL OR _key >= {prefix}_low) AND ({prefix}_high IS NULL OR _key < {prefix}_high)"
     )
 
 
 def _with_range(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Add ``_range``: how many bounds are at or below the row's order key."""
+    """Add ``_range``: which interval between the edges holds the row's order key.
+
+    Both interval tables have at most MAX_RANGES rows. A row is compared with
+    the wide intervals first and then with the narrow ones inside its own.
+    """
     ranges = _range_count(df)
     step = math.isqrt(ranges)
-    key = F.struct(*order_by)
-    bounds = _range_bounds(df, key, ranges, step)
-
-    def at_or_below(part: Column) -> Column:
-        return F.size(F.filter(part, lambda bound: bound <= F.col("_key")))
-
-    skipped = F.col("_skipped") * step
+    edges = _range_edges(df, order_by, ranges)
+    wide = _intervals(edges, ranges, step, "_wide")
+    narrow = _intervals(edges, ranges, 1, "_range", f"i div {step} AS _in_wide")
     return (
-        df.crossJoin(F.broadcast(bounds))  # one row
-        .withColumn("_key", key)
-        .withColumn("_skipped", at_or_below(F.col("_coarse")))
-        .withColumn("_range", skipped + at_or_below(F.slice("_fine", skipped + 1, step)))
-        .drop("_key", "_skipped", "_fine", "_coarse")
+        df.withColumn("_key", F.struct(*order_by))
+        .join(F.broadcast(wide), _inside("_wide"))
+        .join(F.broadcast(narrow), (F.col("_wide") == F.col("_in_wide")) & _inside("_range"))
+        .select(*df.columns, "_range")
     )
 
 
-def prefix_sums(df: DataFrame, order_by: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
+def prefix_sums(
+    df: DataFrame, order_by: Sequence[str], sums: Mapping[str, Column], written: bool = False
+) -> DataFrame:
     """Add, per entry of ``sums``, its total over all rows ordered before the row.
 
-    ``order_by`` must identify a row. The input is written once, since bounds,
-    range totals and rows are three passes over it.
+    ``order_by`` must identify a row. Edges, range totals and rows are three
+    passes, so the input is written once unless it is ``written`` already.
     """
-    ranged = _with_range(materialise(df, "ordered"), order_by)
+    ranged = _with_range(df if written else materialise(df, "ordered"), order_by)
     totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()])
     # At most one row per range (MAX_RANGES), whatever the size of the data.
     earlier_ranges = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,9 +101,9 @@ def prefix_sums(df: DataFrame, order_by: Sequence[str], sums: Mapping[str, Colum
     )
 
 
-def ordered_index(df: DataFrame, order_by: Sequence[str], name: str) -> DataFrame:
+def ordered_index(df: DataFrame, order_by: Sequence[str], name: str, written: bool = False) -> DataFrame:
     """Add the 0-based position of each row in the given total order."""
-    return prefix_sums(df, order_by, {name: F.lit(1).cast("bigint")})
+    return prefix_sums(df, order_by, {name: F.lit(1).cast("bigint")}, written)
 
 
 def halo_blocks(df: DataFrame, position: str, block_rows: int, halo: int) -> DataFrame:

@@ -86,11 +86,11 @@ def trend_interval(
     drawn = df.select(
         date,
         *values,
-        F.col(row_key).cast("string").alias("_key"),
+        F.concat_ws("|", F.col(row_key).cast("string"), F.col(date).cast("string")).alias("_key"),
         F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"),
     ).withColumn(
         "_hash",
-        F.md5(F.concat_ws("|", "_key", F.col(date).cast("string"), F.col("_chunk").cast("string")).cast("binary")),
+        F.md5(F.concat_ws("|", "_key", F.col("_chunk").cast("string")).cast("binary")),
     )
     weights = {
         f"_w{j}": _poisson_weight(F.substring("_hash", 8 * j + 1, 8)) for j in range(DRAWS_PER_HASH)

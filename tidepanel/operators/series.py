@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidepanel.operators.ordered import halo_blocks, ordered_index
+from tidepanel.storage import materialise
 
 PERIOD = 12
 SHORTEST_SERIES = 2 * PERIOD
@@ -91,7 +92,8 @@ def autocorrelation(
     a series that is correlated up to the lag before.
     """
     kept = df.where(F.col(value).isNotNull()).select(*keys, *order_by, F.col(value).cast("double").alias("_e"))
-    placed = ordered_index(kept, [*keys, *order_by], "_position")
+    kept = materialise(kept, "residuals")
+    placed = ordered_index(kept, [*keys, *order_by], "_position", written=True)
     # Taking the overall mean off first keeps the sums below well conditioned.
     centre = kept.agg(F.avg("_e").alias("_centre"))
     blocks = halo_blocks(
@@ -102,12 +104,11 @@ def autocorrelation(
     )
     before = Window.partitionBy("_block", *keys).orderBy(*order_by)
     # Entry k of the array is the value k rows back; entry 0 is the row's own.
-    look_back = F.array("_e", *[F.lag("_e", k).over(before) for k in range(1, max_lag + 1)])
+    look_back = F.reverse(F.collect_list("_e").over(before.rowsBetween(-max_lag, 0)))
     pairs = (
         blocks.withColumn("_back", look_back)
         .where("_own")
         .select(*keys, "_e", F.posexplode("_back").alias("lag", "_past"))
-        .where("_past IS NOT NULL")
     )
     totals = pairs.groupBy(*keys, "lag").agg(
         F.count("_e").alias("_pairs"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +61,8 @@ def prepare(df: DataFrame, spec: PanelSpec) -> Prepared:
     spec = spec.resolve(df.columns)
     rows, codes = split_features(df, spec)
     numeric, passed = feature_columns(rows.columns, spec)
-    stats = scaler_stats(rows.where("split = 'train'"), numeric)
+    # Written, since it is a pass over the train side and every use of the rows needs it.
+    stats = materialise(scaler_stats(rows.where("split = 'train'"), numeric), "scaler")
     ready = rows.select(
         spec.group,
         spec.date,
@@ -104,10 +105,4 @@ def load_prepared(spark: SparkSession, path: str, spec: PanelSpec) -> Prepared:
 
 def written(prepared: Prepared) -> Prepared:
     """The same preparation with its rows written, for model fits that read them many times."""
-    return Prepared(
-        prepared.spec,
-        materialise(prepared.rows, "prepared"),
-        prepared.features,
-        materialise(prepared.scaler, "scaler"),
-        prepared.codes,
-    )
+    return replace(prepared, rows=materialise(prepared.rows, "prepared"))
