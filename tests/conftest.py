@@ -38,5 +38,6 @@ def sf_dir():
 def prepared(spark, sf_dir):
     """Supplier panel of the smallest tables, prepared and written once."""
     from tidepanel import catalog
+    from tidepanel.plans.prepare import written
 
-    return catalog._model_input(spark, sf_dir)
+    return written(catalog.prepared_supplier(spark, sf_dir))

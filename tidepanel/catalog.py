@@ -93,8 +93,8 @@ def scored_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(scored(spark, sf_dir), "scored")
 
 
-def prepared_supplier(spark: SparkSession, sf_dir: str, **settings) -> prepare.Prepared:
-    return prepare.prepare(suppliers(spark, sf_dir), replace(SUPPLIER, **settings))
+def prepared_supplier(spark: SparkSession, sf_dir: str) -> prepare.Prepared:
+    return prepare.prepare(suppliers(spark, sf_dir), SUPPLIER)
 
 
 # --- panels and scalar work -------------------------------------------------
@@ -444,16 +444,12 @@ def cv_folds_row(spark, sf_dir):
 # --- models -----------------------------------------------------------------
 
 
-def _model_input(spark, sf_dir, **settings) -> prepare.Prepared:
-    return prepare.written(prepared_supplier(spark, sf_dir, **settings))
-
-
 def _boosted(label="y", **settings) -> ForecastSpec:
     return ForecastSpec("boosted", SMALL_BOOSTED, label=label, **settings)
 
 
 def _classifier(spark, sf_dir):
-    ready = forecast.with_label(_model_input(spark, sf_dir), "high", F.col("y") >= HIGH_RATE)
+    ready = forecast.with_label(prepared_supplier(spark, sf_dir), "high", F.col("y") >= HIGH_RATE)
     trained = forecast.train_classifier(
         ready.train, ready.test, ready.features, ready.keys, "high", SMALL_FOREST
     )
@@ -462,18 +458,18 @@ def _classifier(spark, sf_dir):
 
 @query()
 def rf_forecast(spark, sf_dir):
-    return forecast.train(_model_input(spark, sf_dir), ForecastSpec("forest", SMALL_FOREST)).scored
+    return forecast.train(prepared_supplier(spark, sf_dir), ForecastSpec("forest", SMALL_FOREST)).scored
 
 
 @query()
 def gbt_forecast(spark, sf_dir):
-    return forecast.train(_model_input(spark, sf_dir), _boosted()).scored
+    return forecast.train(prepared_supplier(spark, sf_dir), _boosted()).scored
 
 
 @query()
 def gbt_log_weighted(spark, sf_dir):
     settings = {"max_depth": "3", "learning_rate": "0.1", "min_child_weight": "3"}
-    return forecast.train_forecast(_model_input(spark, sf_dir), settings, rounds=5).metrics
+    return forecast.train_forecast(prepared_supplier(spark, sf_dir), settings, rounds=5).metrics
 
 
 @query()
@@ -483,7 +479,7 @@ def rf_classifier(spark, sf_dir):
 
 def _comparison(spark, sf_dir):
     params = {"RandomForest": SMALL_FOREST, "GradientBoosting": SMALL_BOOSTED}
-    return forecast.compare_models(_model_input(spark, sf_dir), params)
+    return forecast.compare_models(prepare.written(prepared_supplier(spark, sf_dir)), params)
 
 
 @query()
@@ -498,12 +494,12 @@ def benchmark_weighted_residuals(spark, sf_dir):
 
 @query()
 def evaluation_report(spark, sf_dir):
-    trained = forecast.train(_model_input(spark, sf_dir), _boosted(log_target=True, weight="weight"))
+    trained = forecast.train(prepared_supplier(spark, sf_dir), _boosted(log_target=True, weight="weight"))
     return forecast.evaluation_report(trained.scored, "prediction", ["grp", "date"])
 
 
 def _search(spark, sf_dir):
-    ready = _model_input(spark, sf_dir)
+    ready = prepared_supplier(spark, sf_dir)
     base = ForecastSpec("boosted", label="y", weight="weight", log_target=True)
     grid = search.random_candidates(search.param_grid(spark, SMALL_SEARCH), 2)
     candidates = [row.asDict() for row in grid.collect()]  # n_iter rows
@@ -530,7 +526,7 @@ def tuned_best_refit(spark, sf_dir):
 
 
 def _explained(spark, sf_dir):
-    ready = _model_input(spark, sf_dir)
+    ready = prepared_supplier(spark, sf_dir)
     return ready, forecast.train(ready, _boosted()).model
 
 
@@ -587,7 +583,7 @@ def io_prepared_bundle(spark, sf_dir):
 
 @query()
 def io_model_roundtrip(spark, sf_dir):
-    ready = _model_input(spark, sf_dir)
+    ready = prepared_supplier(spark, sf_dir)
     path = new_path(spark, "model")
     files.save_model(forecast.train(ready, ForecastSpec("forest", SMALL_FOREST)).model, path)
     loaded = load_model("forest", path)

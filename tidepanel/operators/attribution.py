@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import json
 import math
+import sys
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,19 +32,15 @@ TABLE_PATTERNS = 256
 SUMMARY_BINS = 20
 
 
-@dataclass(frozen=True)
-class Leaf:
-    """One leaf as a product of per-feature intervals.
+# Executors need only this module's array functions; sending them along spares
+# the cluster an installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-    A row meets feature ``features[i]`` when lower[i] < x <= upper[i]; ``shares[i]``
-    is the share of training weight that follows the path at that feature's splits.
-    """
-
-    value: float
-    features: np.ndarray
-    lower: np.ndarray
-    upper: np.ndarray
-    shares: np.ndarray
+# A leaf is (value, features, lower, upper, shares): a row meets feature
+# features[i] when lower[i] < x <= upper[i], and shares[i] is the share of
+# training weight that follows the leaf's path at that feature's splits. A
+# plain tuple, since a broadcast is unpickled without this module.
+Leaf = tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _tree_weights(spark: SparkSession, path: str) -> dict[int, float]:
@@ -84,7 +81,7 @@ def tree_leaves(spark: SparkSession, model: Model) -> tuple[list[Leaf], float]:
                 value = weight * _node_value(node.impurityStats, node.prediction, classes)
                 if path_so_far and value:
                     bounds = np.array(list(path_so_far.values()))
-                    leaves.append(Leaf(value, np.array(list(path_so_far)), *bounds.T))
+                    leaves.append((value, np.array(list(path_so_far)), *bounds.T))
                 continue
             feature, cut = node.split.featureIndex, node.split.leftCategoriesOrThreshold[0]
             for child_id, goes_left in ((node.leftChild, True), (node.rightChild, False)):
@@ -101,7 +98,6 @@ def _cover(node, classes: bool) -> float:
     return sum(node.impurityStats) if classes else node.impurityStats[0]
 
 
-@lru_cache(maxsize=None)
 def _coalition_weights(size: int) -> np.ndarray:
     """Shapley weight of a coalition by its number of members, among ``size`` features."""
     return np.array([1.0 / (size * math.comb(size - 1, s)) for s in range(size)])
@@ -131,10 +127,10 @@ def _leaf_shares(met: np.ndarray, shares: np.ndarray) -> np.ndarray:
 
 def _share_table(leaf: Leaf) -> np.ndarray | None:
     """Shares for every pattern of a short path, to look rows up in."""
-    size = len(leaf.features)
-    if 2**size > TABLE_PATTERNS:
+    shares = leaf[4]
+    if 2 ** len(shares) > TABLE_PATTERNS:
         return None
-    return _leaf_shares(_bits(np.arange(2**size), size), leaf.shares)
+    return _leaf_shares(_bits(np.arange(2 ** len(shares)), len(shares)), shares)
 
 
 def _bits(codes: np.ndarray, size: int) -> np.ndarray:
@@ -143,13 +139,13 @@ def _bits(codes: np.ndarray, size: int) -> np.ndarray:
 
 def _attribute(x: np.ndarray, leaves: Sequence[Leaf], tables: Sequence[np.ndarray | None]) -> np.ndarray:
     phi = np.zeros_like(x)
-    for leaf, table in zip(leaves, tables):
-        seen = x[:, leaf.features]
-        code = ((seen > leaf.lower) & (seen <= leaf.upper)) @ (1 << np.arange(seen.shape[1]))
+    for (value, features, lower, upper, shares), table in zip(leaves, tables):
+        seen = x[:, features]
+        code = ((seen > lower) & (seen <= upper)) @ (1 << np.arange(len(features)))
         if table is None:
             patterns, code = np.unique(code, return_inverse=True)
-            table = _leaf_shares(_bits(patterns, seen.shape[1]), leaf.shares)
-        phi[:, leaf.features] += leaf.value * table[code]
+            table = _leaf_shares(_bits(patterns, len(features)), shares)
+        phi[:, features] += value * table[code]
     return phi
 
 

@@ -43,31 +43,25 @@ def row_weight(df: DataFrame, weight: str) -> Column:
     return F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight in df.columns else F.lit(1.0)
 
 
-def split_features(df: DataFrame, spec: PanelSpec) -> tuple[DataFrame, DataFrame]:
-    """Encoded and split feature rows, not scaled yet, and the label codes.
+def prepare(df: DataFrame, spec: PanelSpec) -> Prepared:
+    """Features, label codes, time split, weights, and scaling fitted on the train side only.
 
-    The feature frame is written once: codes, split date, scaler and rows all
-    read it, and the aggregation and windows before it run a single time.
+    The feature frame is written once, and so is what is fitted on it: the
+    split date, the label codes and the scaler. A later pass over the rows is
+    then a scan with a projection, and the windows run a single time.
     """
-    frame = materialise(feature_frame(df, spec), "features")
-    codes = label_codes(frame, spec.group, spec.group_code)
-    coded = add_label_code(frame, spec.group, codes, spec.group_code)
-    point = split_point(frame, spec.date, spec.grain)
-    return time_split(coded, spec.date, point), codes
-
-
-def prepare(df: DataFrame, spec: PanelSpec) -> Prepared:
-    """Features, label codes, time split, weights, and scaling fitted on the train side only."""
     spec = spec.resolve(df.columns)
-    rows, codes = split_features(df, spec)
-    numeric, passed = feature_columns(rows.columns, spec)
-    # Written, since it is a pass over the train side and every use of the rows needs it.
-    stats = materialise(scaler_stats(rows.where("split = 'train'"), numeric), "scaler")
-    ready = rows.select(
+    frame = materialise(feature_frame(df, spec), "features")
+    point = materialise(split_point(frame, spec.date, spec.grain), "split-point")
+    sided = time_split(frame, spec.date, point)
+    numeric, passed = feature_columns([*frame.columns, spec.group_code], spec)
+    stats = materialise(scaler_stats(sided.where("split = 'train'"), numeric), "scaler")
+    codes = materialise(label_codes(frame, spec.group, spec.group_code), "codes")
+    ready = add_label_code(sided, spec.group, codes, spec.group_code).select(
         spec.group,
         spec.date,
         spec.target,
-        row_weight(rows, spec.weight).alias("weight"),
+        row_weight(frame, spec.weight).alias("weight"),
         F.col("lag_1").alias("naive"),
         "split",
         *numeric,
@@ -104,5 +98,5 @@ def load_prepared(spark: SparkSession, path: str, spec: PanelSpec) -> Prepared:
 
 
 def written(prepared: Prepared) -> Prepared:
-    """The same preparation with its rows written, for model fits that read them many times."""
+    """The same preparation with its rows written, for several fits on them."""
     return replace(prepared, rows=materialise(prepared.rows, "prepared"))
