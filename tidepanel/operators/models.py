@@ -25,6 +25,8 @@ from tidepanel.storage import shared_folder
 
 SEED = 42
 TREES = 100
+ROWS_PER_PARTITION = 10_000
+MOST_TRAINING_PARTITIONS = 20_000
 
 # Search setting -> MLlib parameter.
 BOOSTING_PARAMS = {
@@ -99,11 +101,12 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def training_layout(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Spread rows by the hash of their key and order them inside each partition.
 
-    The same rows then always sit in the same places, so a seed gives the same
-    bootstrap samples; a key with many rows is spread like any other.
+    The number of partitions follows from the number of rows, so the same rows
+    sit in the same places on any cluster and a seed gives the same bootstrap
+    samples; a key with many rows is spread like any other.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(partitions, *keys).sortWithinPartitions(*keys)
+    partitions = min(MOST_TRAINING_PARTITIONS, -(-df.count() // ROWS_PER_PARTITION))
+    return df.repartition(max(1, partitions), *keys).sortWithinPartitions(*keys)
 
 
 def fit(train: DataFrame, features: Sequence[str], spec: ForecastSpec, keys: Sequence[str]) -> Model:
