@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import random
 import re
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -12,8 +13,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidepanel import catalog
 from tidepanel.operators import features, metrics, report, series
 from tidepanel.operators.ordered import halo_blocks, ordered_index, prefix_sums
+from tidepanel.plans.prepare import prepare
 from tidepanel.spec import PanelSpec
 
 
@@ -76,6 +79,16 @@ def test_a_later_value_never_changes_an_earlier_feature(skewed):
     assert before.exceptAll(after).count() == 0
 
 
+def test_preparation_is_the_same_at_both_grains(spark, sf_dir, prepared):
+    panel = catalog.suppliers(spark, sf_dir)
+    long_groups = prepare(panel, replace(catalog.SUPPLIER, grain="row")).rows
+    sides = [
+        df.select(*[F.round(c, 9).alias(c) if kind == "double" else c for c, kind in sorted(prepared.rows.dtypes)])
+        for df in (prepared.rows, long_groups)
+    ]
+    assert sides[0].exceptAll(sides[1]).count() == 0 and sides[1].count() == 706
+
+
 def direct_acf(values, lags):
     e = np.array(values) - np.mean(values)
     return [float((e[k:] * e[: len(e) - k]).sum() / (e * e).sum()) for k in range(lags + 1)]
@@ -165,8 +178,6 @@ def test_features_share_one_window_and_stay_in_the_jvm(spark, sf_dir):
 
 
 def test_group_filter_reaches_the_scan(spark, sf_dir):
-    from tidepanel import catalog
-
     plan = executed_plan(catalog.lagged(spark, sf_dir).where("grp = 3"))
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(l_suppkey,3\)", plan)
 

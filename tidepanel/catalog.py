@@ -495,7 +495,7 @@ def benchmark_weighted_residuals(spark, sf_dir):
 @query()
 def evaluation_report(spark, sf_dir):
     trained = forecast.train(prepared_supplier(spark, sf_dir), _boosted(log_target=True, weight="weight"))
-    return forecast.evaluation_report(trained.scored, "prediction", ["grp", "date"])
+    return forecast.evaluation_report(materialise(trained.scored, "scored"), "prediction", ["grp", "date"])
 
 
 def _search(spark, sf_dir):
@@ -536,6 +536,19 @@ def tree_attribution(spark, sf_dir):
     return attribution.melt_attributions(forecast.explain(ready, model), ready.features, ready.keys)
 
 
+@query(sql.features("SELECT grp, date, true AS additive FROM sided WHERE split = 'test'"))
+def attribution_additivity(spark, sf_dir):
+    """Base value and attributions add up to the model's prediction, row by row."""
+    ready, model = _explained(spark, sf_dir)
+    totals = forecast.explain(ready, model).selectExpr(
+        "grp", "date", " + ".join(["base", *[f"`phi_{f}`" for f in ready.features]]) + " AS total"
+    )
+    predicted = forecast.scored_test(ready, {"prediction": model}).select("grp", "date", "prediction")
+    return totals.join(predicted, ["grp", "date"]).selectExpr(
+        "grp", "date", "abs(total - prediction) < 1e-9D AS additive"
+    )
+
+
 @query()
 def attribution_classifier(spark, sf_dir):
     ready, trained = _classifier(spark, sf_dir)
@@ -581,13 +594,15 @@ def io_prepared_bundle(spark, sf_dir):
     return loaded.test.select("grp", "date", "y", "weight", "split")
 
 
-@query()
+@query(sql.features("SELECT grp, date, true AS same FROM sided WHERE split = 'test'"))
 def io_model_roundtrip(spark, sf_dir):
+    """A loaded model predicts what the fitted one does, row by row."""
     ready = prepared_supplier(spark, sf_dir)
     path = new_path(spark, "model")
-    files.save_model(forecast.train(ready, ForecastSpec("forest", SMALL_FOREST)).model, path)
-    loaded = load_model("forest", path)
-    return predict(loaded, ready.test, ready.features, "prediction").select("grp", "date", "prediction")
+    fitted = forecast.train(ready, ForecastSpec("forest", SMALL_FOREST)).model
+    files.save_model(fitted, path)
+    both = predict(load_model("forest", path), predict(fitted, ready.test, ready.features, "a"), ready.features, "b")
+    return both.select("grp", "date", (F.col("a") == F.col("b")).alias("same"))
 
 
 @query(ORACLES["naive_forecast"])

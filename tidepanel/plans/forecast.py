@@ -116,8 +116,7 @@ def compare_models(prepared: Prepared, params: Mapping[str, Mapping[str, object]
 
 def evaluation_report(scored: DataFrame, predicted: str, order_by: Sequence[str]) -> DataFrame:
     """One row: MAE, RMSE, the accuracy test against the mean forecast, and the lag-1 residual
-    autocorrelation with its upper band."""
-    scored = materialise(scored, "scored")
+    autocorrelation with its upper band. Reads ``scored`` several times: pass a written table."""
     with_mean = metrics.mean_baseline(scored, "actual")
     residuals = scored.withColumn("residual", F.col("actual") - F.col(predicted))
     acf = autocorrelation(residuals, "residual", order_by)

@@ -40,8 +40,8 @@ def save_model(model: MLWritable, path: str) -> None:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """Metric tables, a few rows: one file."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """Metric tables, a few rows: one file. The work before it stays distributed."""
+    df.repartition(1).write.mode("overwrite").json(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:

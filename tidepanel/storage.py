@@ -22,15 +22,15 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session without the setting gets a temporary folder; on a
     cluster a machine-local folder would lose data, so the setting is required.
     """
-    folder = spark.conf.get(SHARED_FOLDER, None)
-    if folder:
-        return folder.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError(f"set {SHARED_FOLDER} to a folder that every executor can reach")
-    folder = _local_folder(context.applicationId)
-    context.setCheckpointDir(folder)
-    return folder
+    folder = spark.conf.get(SHARED_FOLDER, None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError(f"set {SHARED_FOLDER} to a folder that every executor can reach")
+        folder = _local_folder(context.applicationId)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
