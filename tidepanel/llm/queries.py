@@ -4,9 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidepanel.llm import language, shared
+from tidepanel.llm import bpe, counts, language, packing, search, sharding, shared
+from tidepanel.llm.queries_sql import ORACLES as ORACLES
+
+SHARDS = 8
+NEIGHBOURS = 5
+EVERY = 50
+
+
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of nearly equal bytes."""
+    sharded = sharding.byte_shards(shared.table(spark, sf_dir, "documents"), SHARDS)
+    return sharded.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +29,47 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", shared.held_out(), "text"), model, ("doc_id", "held_out"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, as pieces packed into sequences of 4096 tokens."""
+    docs = shared.table(spark, sf_dir, "documents")
+    packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors, by integer inner product, of every fiftieth one."""
+    vectors = shared.table(spark, sf_dir, "embeddings").filter(search.usable("embedding"))
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), search.quantised("embedding").alias("vector"))
+    return search.top_k(vectors.filter(F.col("vec_id") % EVERY == 0), vectors, NEIGHBOURS)
+
+
+def op7_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document, and the bytes they decode to, as digests."""
+    docs = shared.table(spark, sf_dir, "documents")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.encode(docs, path, public_tokenizers.PATTERN)
+    joined = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(joined, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every document."""
+    docs = shared.table(spark, sf_dir, "documents")
+    return counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_shards": op2_shards,
     "op3_language": op3_language,
+    "op4_packing": op4_packing,
+    "op6_search": op6_search,
+    "op7_bytes": op7_bytes,
+    "op9_token_counts": op9_token_counts,
 }
-
-ORACLES: dict[str, str] = {}
