@@ -43,6 +43,10 @@ def codes(text: str) -> np.ndarray:
     return c
 
 
+def counted(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    return shared.dense_counts(texts, ORDERS, BUCKETS, codes)
+
+
 def softmax(scores: np.ndarray) -> np.ndarray:
     e = np.exp(scores - scores.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -102,7 +106,7 @@ def fit(docs: DataFrame, train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> La
 
     Rows without text or language teach nothing. None if no row is left.
     """
-    frequencies, documents = shared.document_frequencies(docs, ORDERS, BUCKETS, codes)
+    frequencies, documents = shared.document_frequencies(docs, counted, BUCKETS)
     weights = shared.idf(frequencies, documents)
     usable = train.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
     sample = shared.bounded_sample(usable, sample_rows, "lang")
@@ -110,7 +114,7 @@ def fit(docs: DataFrame, train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> La
     def start():
         def step(batch):
             places, values = [], []
-            for _, counts in shared.dense_counts(shared.texts_of(batch), ORDERS, BUCKETS, codes):
+            for _, counts in counted(shared.texts_of(batch)):
                 for row in shared.tfidf(counts, weights):
                     at = np.flatnonzero(row).astype(np.int32)
                     places.append(at.tobytes())
@@ -152,7 +156,7 @@ def has_letter(text: str) -> bool:
 
 def probabilities(model: LanguageModel, texts: list[str]) -> Iterator[np.ndarray]:
     """Calibrated probabilities of the languages, for blocks of rows in order."""
-    for _, counts in shared.dense_counts(texts, ORDERS, BUCKETS, codes):
+    for _, counts in counted(texts):
         scores = shared.tfidf(counts, model.idf) @ model.weights + model.bias
         yield softmax(scores / model.temperature)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, counts, language, packing, search, sharding, shared
+from tidepanel.llm import bpe, counts, language, packing, quality, search, sharding, shared, toxicity
 from tidepanel.llm.queries_sql import ORACLES as ORACLES
 
 SHARDS = 8
@@ -16,6 +16,13 @@ NEIGHBOURS = 5
 EVERY = 50
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = shared.table(spark, sf_dir, "documents")
+    model = quality.fit(docs, shared.table(spark, sf_dir, "labels"))
+    return quality.predict(docs.select("doc_id", shared.held_out(), "text"), model, ("doc_id", "held_out"))
+
+
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of nearly equal bytes."""
     sharded = sharding.byte_shards(shared.table(spark, sf_dir, "documents"), SHARDS)
@@ -38,6 +45,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = shared.table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, shared.table(spark, sf_dir, "labels"))
+    return toxicity.predict(docs.select("doc_id", shared.held_out(), "text"), model, ("doc_id", "held_out"))
+
+
 def op6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors, by integer inner product, of every fiftieth one."""
     vectors = shared.table(spark, sf_dir, "embeddings").filter(search.usable("embedding"))
@@ -66,9 +80,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_shards": op2_shards,
     "op3_language": op3_language,
     "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_search": op6_search,
     "op7_bytes": op7_bytes,
     "op9_token_counts": op9_token_counts,

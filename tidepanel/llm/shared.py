@@ -139,15 +139,18 @@ def summed(df: DataFrame, size: int, count: Callable[[], tuple[Callable, Callabl
 
 
 def document_frequencies(
-    df: DataFrame, orders: Sequence[int], buckets: int, codes_of: Callable[[str], np.ndarray], column: str = "text"
+    df: DataFrame, counted: Callable[[list[str]], Iterator[tuple[int, np.ndarray]]], buckets: int, column: str = "text"
 ) -> tuple[np.ndarray, float]:
-    """In how many of all documents each bucket occurs, and how many documents there are."""
+    """In how many of all documents each bucket occurs, and how many documents there are.
+
+    ``counted`` gives the counts of texts in blocks, as ``dense_counts`` does.
+    """
 
     def count():
         seen = np.zeros(buckets + 1)
 
         def add(batch):
-            for _, counts in dense_counts(texts_of(batch, column), orders, buckets, codes_of):
+            for _, counts in counted(texts_of(batch, column)):
                 seen[:buckets] += (counts > 0).sum(axis=0)
                 seen[buckets] += len(counts)
 
@@ -168,29 +171,34 @@ def tfidf(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.divide(rows, norms, out=rows, where=norms > 0)
 
 
-def bounded_sample(df: DataFrame, bound: int, classes: str, key: str = "doc_id") -> DataFrame:
-    """About ``bound`` rows at most, evenly from the values of ``classes``, by the hash of ``key``.
+def bounded_sample(df: DataFrame, bound: int, classes: str, even: bool = True, key: str = "doc_id") -> DataFrame:
+    """About ``bound`` rows at most, by the hash of ``key``; the same rows come on every run.
 
-    The rate of a class follows from its count; the same rows come on every run.
+    Either evenly from the values of ``classes`` (a rare one is taken whole) or,
+    with ``even=False``, in their own proportions.
     """
     counts = {r[0]: r[1] for r in df.groupBy(classes).count().collect()}
     if not counts:
         return df
-    share = bound / len(counts)
     keep = F.lit(False)
     for value, n in counts.items():
-        part = F.pmod(F.xxhash64(F.lit(97), F.col(key)), F.lit(1 << 20)) < int(min(1.0, share / n) * (1 << 20))
+        rate = min(1.0, bound / len(counts) / n if even else bound / sum(counts.values()))
+        part = F.pmod(F.xxhash64(F.lit(97), F.col(key)), F.lit(1 << 20)) < int(rate * (1 << 20))
         keep = keep | (F.col(classes).eqNullSafe(F.lit(value)) & part)
     return df.filter(keep)
 
 
-def learnt_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
+def learnable(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of the labelled ids that may be learnt from; the greatest label of a repeated id."""
+    usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
+    return usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+
+
+def learnt_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int, even: bool = True) -> DataFrame:
     """(doc_id, text, label) of at most about ``bound`` labelled rows that may be learnt from.
 
     The sample of label rows is bounded, so it is broadcast and no text is shuffled.
     """
-    usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
-    usable = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    sample = bounded_sample(usable, bound, "label").select(F.col("doc_id").alias("_learnt"), "label")
+    sample = bounded_sample(learnable(labels, label), bound, "label", even).select(F.col("doc_id").alias("_learnt"), "label")
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
     return rows.join(F.broadcast(sample), F.col("doc_id") == F.col("_learnt")).select("doc_id", "text", "label")
