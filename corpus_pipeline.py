@@ -2,18 +2,50 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidepanel.llm import language, shared
+from tidepanel.llm import language, neardup, packing, shared, toxicity
+from tidepanel.storage import materialise
+
+# Near duplicates share 80 per cent of their shingles of five words.
+NEAR = neardup.Shape(width=5, percent=80)
+TOKENIZER = "word_bpe_49k.json"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; the others go."""
+    """Documents in a language that the labelled ones teach; the others go.
+
+    Gone are texts that are null or without a letter, and those of which no
+    language has a probability of a half.
+    """
     return language.keep(docs, language.fit(docs, language.trainable(docs)))
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose restored text does not score as toxic."""
+    return toxicity.keep(docs, toxicity.fit(docs, shared.table(spark, sf_dir, "labels")))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return neardup.keep_first(docs, NEAR)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as pieces of packed sequences, one row per piece."""
+    packed = packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 STAGES = [
     ("language ID", language_stage),
+    ("toxicity", toxicity_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("packing", packing_stage),
 ]
 
 # Learnt models decide the rows, which SQL cannot express; tests hold the stages against brute force.
@@ -22,8 +54,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written and read again."""
-    from tidepanel.storage import materialise
-
     docs = shared.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

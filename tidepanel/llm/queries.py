@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, counts, language, packing, quality, search, sharding, shared, toxicity
+from tidepanel.llm import bpe, counts, fingerprint, language, neardup, packing, quality, search, sharding, shared, toxicity
 from tidepanel.llm.queries_sql import ORACLES as ORACLES
 
 SHARDS = 8
 NEIGHBOURS = 5
+NEAR = neardup.Shape(width=3, percent=85)
 EVERY = 50
 
 
@@ -73,12 +74,22 @@ def op7_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share 85 per cent of their shingles of three words."""
+    return neardup.near_duplicates(shared.table(spark, sf_dir, "documents"), NEAR)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token counts of every document."""
     docs = shared.table(spark, sf_dir, "documents")
     return counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprint.compare_with_next(shared.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_shards": op2_shards,
@@ -87,5 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_search": op6_search,
     "op7_bytes": op7_bytes,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_token_counts": op9_token_counts,
+    "op10_fingerprints": op10_fingerprints,
 }
