@@ -46,22 +46,32 @@ def encoder(tokenizer_json: str) -> Callable[[str], bytes]:
             text = text.encode().decode("latin-1").translate(letters)
         return [t.id for t in model.tokenize(text)]
 
-    def ids(word: str) -> list[int]:
-        if PLAIN.fullmatch(word):
-            return part(word.lower())
-        if PRINTABLE.fullmatch(word) and "<|" not in word:
-            return [i for p in ASCII_PARTS.findall(word.lower()) for i in part(p)]
-        head = PLAIN.match(word)
-        if head and PRINTABLE.fullmatch(tail := word[head.end() :]) and not tail[0].isalnum() and "<|" not in tail and "'" not in tail:
-            return part(head[0].lower()) + [i for p in ASCII_PARTS.findall(tail.lower()) for i in part(p)]
-        return tokenizer.encode(word, add_special_tokens=False).ids
+    def packed(ids: list[int]) -> bytes:
+        return np.array(ids, dtype="<u4").tobytes()
 
     class Known(dict):
         def __missing__(self, word: str) -> bytes:
             if len(self) >= REMEMBERED:
                 self.clear()
-            found = self[word] = np.array(ids(word), dtype="<u4").tobytes()
+            found = self[word] = self.new(word)
             return found
 
+        def new(self, word: str) -> bytes:
+            """Through the lower-case word or its parts, which many words share, where they are plain."""
+            lower = word.lower()
+            head = PLAIN.match(word)
+            if head and head.end() == len(word):
+                return packed(part(word)) if lower == word else self[lower]
+            if "<|" not in word:
+                if PRINTABLE.fullmatch(word):
+                    parts = ASCII_PARTS.findall(lower)
+                    return self.joined(parts) if len(parts) > 1 else packed(part(lower))
+                if head and PRINTABLE.fullmatch(tail := word[head.end() :]) and not tail[0].isalnum() and "'" not in tail:
+                    return self[head[0]] + self[tail]
+            return packed(tokenizer.encode(word, add_special_tokens=False).ids)
+
+        def joined(self, parts: list[str]) -> bytes:
+            return b"".join([self[p] for p in parts])
+
     known = Known()
     return lambda text: b"".join(map(known.__getitem__, WORD.findall(text)))
