@@ -8,6 +8,7 @@ joins the raw bytes of the ids.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -67,10 +68,14 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, kept: tuple[str, ...] =
         encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
 
         def step(batch):
-            ids = [encode_text(encoding, text) for text in shared.texts_of(batch)]
-            decoded = [encoding.decode_bytes(i) for i in ids]
-            columns = [batch.column(c) for c in kept]
-            columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())]
+            values, ends, decoded = array("i"), [0], []
+            for text in shared.texts_of(batch):
+                ids = encode_text(encoding, text)
+                values.extend(ids)
+                ends.append(len(values))
+                decoded.append(encoding.decode_bytes(ids))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+            columns = [*[batch.column(c) for c in kept], lists, pa.array(decoded, pa.binary())]
             return pa.record_batch(columns, schema.names)
 
         return step

@@ -247,7 +247,8 @@ def compare_with_next(df: DataFrame, key: str = "doc_id") -> DataFrame:
             yield out([before[0] | {"_last": before[1]}])
 
     walked = materialise(ranged.mapInArrow(run, schema), "walks")
-    complete = walked.filter("_last IS NULL").drop("_part", "_first", "_last")
+    columns = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    complete = walked.filter("_last IS NULL").select(*columns)
     # One first and one last text for each range; the ranges follow one another.
     ranges = sorted(r[0] for r in walked.filter("_last IS NOT NULL").select("_part").collect())
     if not ranges:
@@ -273,8 +274,7 @@ def compare_with_next(df: DataFrame, key: str = "doc_id") -> DataFrame:
         return step
 
     finished = shared.map_batches(ends.select(*kept, "_text", "_after", "_after_print"), finish, end_schema)
-    columns = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    return complete.unionByName(finished).select(*columns)
+    return complete.unionByName(finished)
 
 
 def band_keys(fingerprint: str) -> list[str]:

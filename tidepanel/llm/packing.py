@@ -49,10 +49,12 @@ def place(demands: np.ndarray, limits: np.ndarray) -> list[list[int]]:
     ``demands`` has a row per example, none above ``limits``. Ties go to the
     earlier example, so the same rows give the same sequences.
     """
+    if not len(demands):
+        return []
     share = demands / limits
     weights = share.mean(axis=0)
     # Larger examples first, so that an equal score prefers them and scans stay in order.
-    left = np.lexsort((np.arange(len(share)), -share.max(axis=1, initial=0)))
+    left = np.lexsort((np.arange(len(share)), -share.max(axis=1)))
     share = share[left]
     bins: list[list[int]] = []
     alive = np.ones(len(left), dtype=bool)

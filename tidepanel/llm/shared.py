@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 BLOCK_CHARS = 1 << 18
 # Rows whose dense counts a task holds at a time.
 BLOCK_ROWS = 256
+# Rows of an Arrow batch that a row map works on at a time.
+SLICE_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,15 +29,17 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def map_batches(
-    df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: T.StructType
+    df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType
 ) -> DataFrame:
-    """Apply to each Arrow batch the function that ``start`` makes once per task."""
+    """Apply to slices of each Arrow batch the function that ``start`` makes once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for batch in batches:
-            if batch.num_rows and (out := step(batch)) is not None and out.num_rows:
-                yield out
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                out = step(batch.slice(at, SLICE_ROWS))
+                if out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
