@@ -75,8 +75,8 @@ def lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.with_past(suppliers(spark, sf_dir), SUPPLIER)
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(grp, date, actual, headcount, naive, smooth) where both forecasts exist."""
+def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(grp, date, actual, headcount, naive, smooth) of every panel row; a forecast may be missing."""
     columns = [
         "grp",
         "date",
@@ -85,12 +85,17 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lag_1").alias("naive"),
         F.col("rolling_mean_3").alias("smooth"),
     ]
-    return lagged(spark, sf_dir).select(*columns).dropna(subset=["naive", "smooth"])
+    return lagged(spark, sf_dir).select(*columns)
 
 
-def scored_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, written, for operators that read it more than once."""
-    return materialise(scored(spark, sf_dir), "scored")
+def naive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that have a lag-1 forecast."""
+    return forecasts(spark, sf_dir).dropna(subset=["naive"]).drop("smooth")
+
+
+def common_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that have both forecasts, written, for comparisons that read them more than once."""
+    return materialise(forecasts(spark, sf_dir).dropna(subset=["naive", "smooth"]), "scored")
 
 
 def prepared_supplier(spark: SparkSession, sf_dir: str) -> prepare.Prepared:
@@ -269,37 +274,34 @@ def feature_order(spark, sf_dir):
 # --- scores -----------------------------------------------------------------
 
 
-@query(sql.scored("SELECT grp, date, {actual}, {naive}, " + sql.rounded("actual - naive", "residual") + " FROM scored"))
+@query(sql.naive("SELECT grp, date, {actual}, {naive}, " + sql.rounded("actual - naive", "residual") + " FROM scored"))
 def naive_forecast(spark, sf_dir):
-    return scored(spark, sf_dir).select(
+    return naive_rows(spark, sf_dir).select(
         "grp", "date", "actual", "naive", (F.col("actual") - F.col("naive")).alias("residual")
     )
 
 
-@query(sql.scored("SELECT grp, date, {actual}, " + sql.rounded("avg(actual) OVER ()", "mean_forecast") + " FROM scored"))
+@query(sql.naive("SELECT grp, date, {actual}, " + sql.rounded("avg(actual) OVER ()", "mean_forecast") + " FROM lagged"))
 def mean_baseline(spark, sf_dir):
-    return metrics.mean_baseline(scored(spark, sf_dir).select("grp", "date", "actual"), "actual")
+    return metrics.mean_baseline(forecasts(spark, sf_dir).select("grp", "date", "actual"), "actual")
 
 
-@query(sql.scored("SELECT " + sql.metrics("naive") + " FROM scored"))
+@query(sql.naive("SELECT " + sql.metrics("naive") + " FROM scored"))
 def regression_metrics(spark, sf_dir):
-    return metrics.regression_metrics(scored(spark, sf_dir), "actual", "naive")
+    return metrics.regression_metrics(forecasts(spark, sf_dir), "actual", "naive")
 
 
 @query(sql.METRICS_BY_MODEL)
 def metrics_by_model(spark, sf_dir):
-    with_mean = metrics.mean_baseline(scored(spark, sf_dir), "actual")
+    with_mean = metrics.mean_baseline(common_rows(spark, sf_dir), "actual")
     return metrics.metrics_by_model(with_mean, "actual", ["naive", "smooth", "mean_forecast"])
 
 
 @query(sql.DM_TEST)
 def dm_test(spark, sf_dir):
-    with_mean = metrics.mean_baseline(scored(spark, sf_dir), "actual")
+    with_mean = metrics.mean_baseline(common_rows(spark, sf_dir), "actual")
     pairs = [("naive", "mean_forecast"), ("smooth", "mean_forecast"), ("naive", "naive")]
-    tests = [
-        metrics.dm_test(with_mean, "actual", a, b).select(F.lit(f"{a} vs {b}").alias("pair"), "*") for a, b in pairs
-    ]
-    return tests[0].unionByName(tests[1]).unionByName(tests[2])
+    return metrics.dm_tests(with_mean, "actual", pairs)
 
 
 @query(sql.acf(keys=()))
@@ -358,10 +360,11 @@ def seasonal_decomposition_by_group(spark, sf_dir):
 
 @query(sql.DECOMPOSITION_GUARD)
 def decomposition_guard(spark, sf_dir):
-    """Per group, only histories of two years or more are decomposed: yearly slices have none."""
-    yearly = suppliers(spark, sf_dir).withColumn("year", F.year("date"))
-    regular = series.regular_months(series.mean_series(yearly, "date", "y", ["grp", "year"]), ["grp", "year"])
-    kept = series.seasonal_decompose(regular, ["grp", "year"])
+    """Only histories of two years or more are decomposed: odd groups are cut into years, even ones are whole."""
+    part = F.when(F.col("grp") % 2 == 0, 0).otherwise(F.year("date"))
+    parts = suppliers(spark, sf_dir).withColumn("part", part)
+    regular = series.regular_months(series.mean_series(parts, "date", "y", ["grp", "part"]), ["grp", "part"])
+    kept = series.seasonal_decompose(regular, ["grp", "part"])
     return regular.agg(F.count(F.lit(1)).alias("n_months")).crossJoin(
         F.broadcast(kept.agg(F.count(F.lit(1)).alias("n_decomposed")))
     )
@@ -370,37 +373,40 @@ def decomposition_guard(spark, sf_dir):
 # --- report -----------------------------------------------------------------
 
 
-@query(sql.scored("SELECT date, " + sql.WEIGHTED + " FROM scored GROUP BY date"))
+@query(sql.naive("SELECT date, " + sql.WEIGHTED + " FROM scored GROUP BY date"))
 def weighted_series(spark, sf_dir):
-    return report.weighted_series(scored(spark, sf_dir), "date", ["actual", "naive"], "headcount")
+    return report.weighted_series(naive_rows(spark, sf_dir), "date", ["actual", "naive"], "headcount")
 
 
 @query(sql.WEIGHTED_RESIDUALS)
 def weighted_residuals(spark, sf_dir):
-    means = report.weighted_series(scored(spark, sf_dir), "date", ["actual", "naive"], "headcount")
+    means = report.weighted_series(naive_rows(spark, sf_dir), "date", ["actual", "naive"], "headcount")
     return report.weighted_residuals(means, "actual", "naive")
 
 
 @query(sql.EXPOSURE_JOIN)
 def exposure_join(spark, sf_dir):
+    """Exposure from another source: a customer's orders of the month, where the number and month have any."""
     predictions = naive_forecast(spark, sf_dir).select("grp", "date", "naive")
-    known = suppliers(spark, sf_dir).where(F.col("headcount") > 5)
+    known = table(spark, sf_dir, "orders").groupBy(
+        F.col("o_custkey").alias("grp"), F.trunc("o_orderdate", "MM").alias("date")
+    ).agg(F.count(F.lit(1)).alias("headcount"))
     return report.attach_exposure(predictions, known, ["grp", "date"], "headcount")
 
 
-@query(sql.scored("SELECT date, type, round(value, 6) + 0.0::DOUBLE AS value FROM (SELECT date, unnest(['actual', 'naive']) AS type, unnest([actual, naive]) AS value FROM scored)"))
+@query(sql.naive("SELECT date, type, round(value, 6) + 0.0::DOUBLE AS value FROM (SELECT date, unnest(['actual', 'naive']) AS type, unnest([actual, naive]) AS value FROM scored)"))
 def melt_long(spark, sf_dir):
-    return report.melt(scored(spark, sf_dir), ["date"], ["actual", "naive"])
+    return report.melt(naive_rows(spark, sf_dir), ["date"], ["actual", "naive"])
 
 
-@query(sql.scored("SELECT date, type, " + sql.rounded("avg(value)", "mean") + " FROM (SELECT date, unnest(['actual', 'naive']) AS type, unnest([actual, naive]) AS value FROM scored) GROUP BY 1, 2"))
+@query(sql.naive("SELECT date, type, " + sql.rounded("avg(value)", "mean") + " FROM (SELECT date, unnest(['actual', 'naive']) AS type, unnest([actual, naive]) AS value FROM scored) GROUP BY 1, 2"))
 def trend_mean(spark, sf_dir):
-    return report.trend_mean(scored(spark, sf_dir), "date", ["actual", "naive"])
+    return report.trend_mean(naive_rows(spark, sf_dir), "date", ["actual", "naive"])
 
 
 @query(sql.trend_ci(report.poisson_steps(), report.BOOT_REPLICATES))
 def trend_ci(spark, sf_dir):
-    rows = scored_once(spark, sf_dir)
+    rows = materialise(naive_rows(spark, sf_dir), "scored")
     sided = split.time_split(rows, "date", split.split_point(rows, "date"))
     return report.trend_interval(sided.where("split = 'test'"), "date", "grp", ["actual", "naive"])
 
@@ -418,7 +424,7 @@ def month_outliers(spark, sf_dir):
 
 @query(sql.SCATTER_BINS)
 def scatter_bins(spark, sf_dir):
-    return report.scatter_bins(scored(spark, sf_dir), "actual", "naive")
+    return report.scatter_bins(naive_rows(spark, sf_dir), "actual", "naive")
 
 
 # --- folds ------------------------------------------------------------------
@@ -437,7 +443,7 @@ def cv_folds_date(spark, sf_dir):
 
 @query(sql.folds("row_number() OVER (ORDER BY grp, date)"))
 def cv_folds_row(spark, sf_dir):
-    numbered = ordered_index(_train_side(spark, sf_dir), ["grp", "date"], "unit", written=True)
+    numbered = ordered_index(_train_side(spark, sf_dir), ["grp", "date"], "unit")
     return split.expanding_folds(numbered, "unit")
 
 

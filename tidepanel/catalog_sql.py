@@ -211,17 +211,26 @@ LOG_ROUNDTRIP = select(
 
 # --- scores -----------------------------------------------------------------
 
-_SCORED = f"""{SUPPLIER.strip()},
+_LAGGED = f"""{SUPPLIER.strip()},
 lagged AS (
   SELECT grp, date, y AS actual, headcount::DOUBLE AS headcount, lag(y) OVER w AS naive,
          CASE WHEN count(y) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) = 3
               THEN avg(y) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) END AS smooth
-  FROM panel WINDOW w AS (PARTITION BY grp ORDER BY date)),
+  FROM panel WINDOW w AS (PARTITION BY grp ORDER BY date))"""
+_COMMON = _LAGGED + """,
 scored AS (SELECT * FROM lagged WHERE naive IS NOT NULL AND smooth IS NOT NULL)"""
+_NAIVE = _LAGGED + """,
+scored AS (SELECT * FROM lagged WHERE naive IS NOT NULL)"""
+
+
+def common(body: str) -> str:
+    """Table ``scored``: the rows with both forecasts."""
+    return _with(_COMMON, body)
 
 
-def scored(body: str) -> str:
-    return _with(_SCORED, body)
+def naive(body: str) -> str:
+    """Table ``scored``: the rows with a lag-1 forecast; ``lagged``: all rows."""
+    return _with(_NAIVE, body)
 
 
 def metrics(predicted: str) -> str:
@@ -236,7 +245,7 @@ def metrics(predicted: str) -> str:
     )
 
 
-METRICS_BY_MODEL = scored(
+METRICS_BY_MODEL = common(
     "SELECT model, "
     + metrics("predicted")
     + """ FROM (
@@ -245,7 +254,7 @@ METRICS_BY_MODEL = scored(
   FROM scored) GROUP BY model"""
 )
 
-DM_TEST = scored("""
+DM_TEST = common("""
 SELECT pair, round(stat, 6) + 0.0::DOUBLE AS dm_stat, abs(stat) > 1.96::DOUBLE AS dm_significant
 FROM (
   SELECT pair, CASE WHEN var_pop(d) = 0 THEN 0.0::DOUBLE ELSE avg(d) / sqrt(var_pop(d) / count(*)) END AS stat
@@ -263,7 +272,7 @@ def acf(keys: tuple[str, ...], max_lag: int = 20) -> str:
     within = f"PARTITION BY {', '.join(keys)}" if keys else ""
     by = "".join(f"{k}, " for k in keys)
     order = "date" if keys else "grp, date"
-    ctes = f"""{_SCORED},
+    ctes = f"""{_NAIVE},
 centred AS (
   SELECT grp, date, actual - naive - avg(actual - naive) OVER ({within}) AS e,
          count(*) OVER ({within}) AS n, row_number() OVER ({within} ORDER BY {order}) AS i
@@ -363,15 +372,16 @@ seasons AS (SELECT {by}phase, m - avg(m) OVER ({within}) AS seasonal FROM phases
 
 DECOMPOSITION_GUARD = select(
     SUPPLIER,
-    """SELECT sum(date_diff('month', first, last) + 1)::BIGINT AS n_months, 0::BIGINT AS n_decomposed
-FROM (SELECT min(date) AS first, max(date) AS last FROM panel GROUP BY grp, year(date))""",
+    """SELECT sum(n)::BIGINT AS n_months, coalesce(sum(n) FILTER (WHERE n >= 24), 0)::BIGINT AS n_decomposed
+FROM (SELECT date_diff('month', min(date), max(date)) + 1 AS n FROM panel
+      GROUP BY grp, CASE WHEN grp % 2 = 0 THEN 0 ELSE year(date) END)""",
 )
 
 # --- report -----------------------------------------------------------------
 
 WEIGHTED = ", ".join(rounded(f"sum({v} * headcount) / nullif(sum(headcount), 0)", v) for v in ("actual", "naive"))
 
-WEIGHTED_RESIDUALS = scored(
+WEIGHTED_RESIDUALS = naive(
     "SELECT date, {actual}, {naive}, "
     + rounded("actual - naive", "residual")
     + """, CASE WHEN actual - naive < 0 THEN 'over' ELSE 'under' END AS sign
@@ -379,14 +389,16 @@ FROM (SELECT date, sum(actual * headcount) / sum(headcount) AS actual,
              sum(naive * headcount) / sum(headcount) AS naive FROM scored GROUP BY date)"""
 )
 
-EXPOSURE_JOIN = scored("""
-SELECT s.grp, s.date, {naive}, coalesce(p.headcount::DOUBLE, 1.0::DOUBLE) AS headcount
-FROM scored s LEFT JOIN (SELECT * FROM panel WHERE headcount > 5) p ON s.grp = p.grp AND s.date = p.date""")
+EXPOSURE_JOIN = naive("""
+SELECT s.grp, s.date, {naive}, coalesce(k.n::DOUBLE, 1.0::DOUBLE) AS headcount
+FROM scored s LEFT JOIN (
+  SELECT o_custkey, date_trunc('month', o_orderdate)::DATE AS date, count(*) AS n FROM orders GROUP BY 1, 2) k
+  ON s.grp = k.o_custkey AND s.date = k.date""")
 
 
 def trend_ci(steps: list[str], replicates: int) -> str:
     weight = " ".join(f"WHEN u < '{step}' THEN {k}" for k, step in enumerate(steps))
-    ctes = f"""{_SCORED},
+    ctes = f"""{_NAIVE},
 dates AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n
           FROM (SELECT DISTINCT date FROM scored)),
 test AS (SELECT * FROM scored
@@ -430,9 +442,10 @@ FROM box JOIN (
 
 MONTH_OUTLIERS = _with(_BOX, "SELECT grp, date, month::INTEGER AS month, {y} FROM placed WHERE beyond")
 
-SCATTER_BINS = scored(f"""
+SCATTER_BINS = naive(f"""
 SELECT actual_bin, predicted_bin, count(*) AS n, {rounded("any_value(bound)", "bound")}
-FROM (SELECT floor(actual / (bound / 20))::INTEGER AS actual_bin, floor(naive / (bound / 20))::INTEGER AS predicted_bin, bound
+FROM (SELECT CASE WHEN actual < 0 THEN -1 ELSE floor(actual / (bound / 20)) END::INTEGER AS actual_bin,
+             CASE WHEN naive < 0 THEN -1 ELSE floor(naive / (bound / 20)) END::INTEGER AS predicted_bin, bound
       FROM scored, (SELECT greatest(max(actual), max(naive)) * 1.05::DOUBLE AS bound FROM scored))
 GROUP BY 1, 2""")
 

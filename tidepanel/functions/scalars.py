@@ -27,8 +27,12 @@ def month_name(date: Column) -> Column:
 
 
 def coerce_number(text: Column) -> Column:
-    """Text to double; anything that is not a plain number becomes 0."""
-    trimmed = F.trim(text)
+    """Text to double; anything that is not a plain number becomes 0.
+
+    White space around the number does not count. An infinite rate is no
+    number, however it is spelt.
+    """
+    trimmed = F.trim(text, F.lit(" \t\r\n"))
     number = F.when(trimmed.rlike(NUMBER_PATTERN), trimmed.try_cast("double"))
     return F.coalesce(number, F.lit(0.0))
 

@@ -26,8 +26,8 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[
 
 
 def metrics_by_model(df: DataFrame, actual: str, models: Sequence[str]) -> DataFrame:
-    """The same per model column, after melting the models into rows."""
-    long = df.unpivot([actual], list(models), "model", "predicted")
+    """The same per model column, over the rows that every model forecasts."""
+    long = df.dropna(subset=[actual, *models]).unpivot([actual], list(models), "model", "predicted")
     return regression_metrics(long, actual, "predicted", ["model"])
 
 
@@ -36,13 +36,26 @@ def mean_baseline(df: DataFrame, actual: str, name: str = "mean_forecast") -> Da
     return df.crossJoin(F.broadcast(df.agg(F.avg(actual).alias(name))))
 
 
+def dm_tests(df: DataFrame, actual: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(pair, dm_stat, dm_significant): whether the two forecasts of each pair differ in accuracy.
+
+    Negative means the first is better. A pair counts the rows that have both
+    forecasts; all pairs are one aggregate.
+    """
+    tests = [
+        F.struct(
+            F.lit(f"{first} vs {second}").alias("pair"),
+            agg.diebold_mariano(F.col(actual), F.col(first), F.col(second)).alias("dm_stat"),
+        )
+        for first, second in pairs
+    ]
+    rows = df.agg(F.array(*tests).alias("_tests")).select(F.inline("_tests"))
+    return rows.withColumn("dm_significant", F.abs("dm_stat") > DM_SIGNIFICANT)
+
+
 def dm_test(df: DataFrame, actual: str, first: str, second: str) -> DataFrame:
-    """Whether two forecasts differ in accuracy; negative means the first is better."""
-    columns = [F.col(c) for c in (actual, first, second)]
-    complete = df.where(columns[0].isNotNull() & columns[1].isNotNull() & columns[2].isNotNull())
-    return complete.agg(agg.diebold_mariano(*columns).alias("dm_stat")).withColumn(
-        "dm_significant", F.abs("dm_stat") > DM_SIGNIFICANT
-    )
+    """The same for one pair: (dm_stat, dm_significant)."""
+    return dm_tests(df, actual, [(first, second)]).drop("pair")
 
 
 def classification_metrics(df: DataFrame, label: str, predicted: str) -> DataFrame:

@@ -1,14 +1,13 @@
 """Global order without a global sort in one task.
 
 Positions, cumulative sums and neighbour windows over a whole table are split
-by *value ranges*: a small sample gives range bounds, each range is ordered by
-its own task, and the totals of the earlier ranges are added. The bounds only
-decide how even the ranges are; the result never depends on them.
+by *value ranges*: Spark's range partitioning deals the rows to ordered parts,
+each part is summed by its own task, and the totals of the earlier parts are
+added. How even the parts are never changes the result.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,75 +15,29 @@ from pyspark.sql import functions as F
 
 from tidepanel.storage import materialise
 
-SAMPLE_PER_RANGE = 8
-MAX_RANGES = 4096
+ROWS_PER_RANGE = 1_000_000
 
 
-def _range_count(df: DataFrame) -> int:
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, min(MAX_RANGES, partitions))
+def range_count(df: DataFrame) -> int:
+    """One range per million rows, and one per core at least."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_RANGE))
 
 
-def _range_edges(df: DataFrame, order_by: Sequence[str], ranges: int) -> DataFrame:
-    """One row with ``ranges - 1`` evenly spaced keys of the table, in order.
-
-    They come from a sample: the rows with the smallest key hashes. That is
-    uniform over the keys, the same on every run, and never above the limit.
-    """
-    sample = (
-        df.select(F.struct(*order_by).alias("key"))
-        .orderBy(F.xxhash64("key"), "key")
-        .limit(ranges * SAMPLE_PER_RANGE)
-        .agg(F.sort_array(F.collect_list("key")).alias("sample"))
-    )
-    place = f"int(i * size(sample) div {ranges})"
-    return sample.selectExpr(f"transform(sequence(1, {ranges - 1}), i -> get(sample, {place})) AS edges")
-
-
-def _intervals(edges: DataFrame, ranges: int, step: int, prefix: str, *more: str) -> DataFrame:
-    """One row per ``step`` neighbouring ranges: from the edge below to the edge above."""
-    low, high = f"get(edges, i * {step} - 1)", f"get(edges, (i + 1) * {step} - 1)"
-    columns = [f"i AS {prefix}", f"{low} AS {prefix}_low", f"{high} AS {prefix}_high", *more]
-    count = -(-ranges // step)
-    return edges.selectExpr(f"inline(transform(sequence(0, {count - 1}), i -> struct({', '.join(columns)})))")
-
-
-def _inside(prefix: str) -> Column:
-    return F.expr(
-        f"({prefix}_low IS NULL OR _key >= {prefix}_low) AND ({prefix}_high IS NULL OR _key < {prefix}_high)"
-    )
-
-
-def _with_range(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Add ``_range``: which interval between the edges holds the row's order key.
-
-    Both interval tables have at most MAX_RANGES rows. A row is compared with
-    the wide intervals first and then with the narrow ones inside its own.
-    """
-    ranges = _range_count(df)
-    step = math.isqrt(ranges)
-    edges = _range_edges(df, order_by, ranges)
-    wide = _intervals(edges, ranges, step, "_wide")
-    narrow = _intervals(edges, ranges, 1, "_range", f"i div {step} AS _in_wide")
-    return (
-        df.withColumn("_key", F.struct(*order_by))
-        .join(F.broadcast(wide), _inside("_wide"))
-        .join(F.broadcast(narrow), (F.col("_wide") == F.col("_in_wide")) & _inside("_range"))
-        .select(*df.columns, "_range")
-    )
+def _ranged(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """The table in ordered parts, written once, with ``_range``: the number of the row's part."""
+    parts = df.repartitionByRange(range_count(df), *order_by).sortWithinPartitions(*order_by)
+    return materialise(parts.withColumn("_range", F.spark_partition_id()), "ordered")
 
 
-def prefix_sums(
-    df: DataFrame, order_by: Sequence[str], sums: Mapping[str, Column], written: bool = False
-) -> DataFrame:
+def prefix_sums(df: DataFrame, order_by: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
     """Add, per entry of ``sums``, its total over all rows ordered before the row.
 
-    ``order_by`` must identify a row. Edges, range totals and rows are three
-    passes, so the input is written once unless it is ``written`` already.
+    ``order_by`` must identify a row. The rows are counted, then written in
+    ranges; the totals and the rows are two passes over that copy.
     """
-    ranged = _with_range(df if written else materialise(df, "ordered"), order_by)
+    ranged = _ranged(df, order_by)
     totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()])
-    # At most one row per range (MAX_RANGES), whatever the size of the data.
+    # One row per range, a millionth of the table.
     earlier_ranges = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
         "_range",
@@ -101,9 +54,9 @@ def prefix_sums(
     )
 
 
-def ordered_index(df: DataFrame, order_by: Sequence[str], name: str, written: bool = False) -> DataFrame:
+def ordered_index(df: DataFrame, order_by: Sequence[str], name: str) -> DataFrame:
     """Add the 0-based position of each row in the given total order."""
-    return prefix_sums(df, order_by, {name: F.lit(1).cast("bigint")}, written)
+    return prefix_sums(df, order_by, {name: F.lit(1).cast("bigint")})
 
 
 def halo_blocks(df: DataFrame, position: str, block_rows: int, halo: int) -> DataFrame:

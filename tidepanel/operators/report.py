@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from tidepanel.functions.aggregates import weighted_mean
 from tidepanel.functions.scalars import month_name, residual_sign
 from tidepanel.operators.ordered import prefix_sums
+from tidepanel.storage import materialise
 
 WHISKER_REACH = 1.5  # in interquartile ranges
 AXIS_HEADROOM = 1.05
 BOOT_REPLICATES = 1000
 BOOT_LEVELS = (0.025, 0.975)
 DRAWS_PER_HASH = 4  # an md5 digest holds four numbers of eight hex digits
-
+HASHES_PER_ROW = 5  # digests side by side; a row is repeated for the others
 
 
 def poisson_steps() -> list[str]:
@@ -80,32 +81,37 @@ def trend_interval(
 
     Each row gets an independent Poisson(1) weight per replicate, drawn from a
     hash of its key, so the resample needs no shared random state and adds up
-    map-side. ``(date, row_key)`` must identify a row.
+    map-side. A row holds the weights of ``HASHES_PER_ROW`` digests side by side
+    and is repeated for the rest. ``(date, row_key)`` must identify a row.
     """
-    chunks = -(-replicates // DRAWS_PER_HASH)
+    draws = HASHES_PER_ROW * DRAWS_PER_HASH
+    chunks = -(-replicates // draws)
     drawn = df.select(
         date,
         *values,
         F.concat_ws("|", F.col(row_key).cast("string"), F.col(date).cast("string")).alias("_key"),
         F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"),
-    ).withColumn(
-        "_hash",
-        F.md5(F.concat_ws("|", "_key", F.col("_chunk").cast("string")).cast("binary")),
+    )
+    number = [(F.col("_chunk") * HASHES_PER_ROW + h).cast("string") for h in range(HASHES_PER_ROW)]
+    hashed = drawn.withColumns(
+        {f"_hash{h}": F.md5(F.concat_ws("|", "_key", number[h]).cast("binary")) for h in range(HASHES_PER_ROW)}
     )
     weights = {
-        f"_w{j}": _poisson_weight(F.substring("_hash", 8 * j + 1, 8)) for j in range(DRAWS_PER_HASH)
+        f"_w{h * DRAWS_PER_HASH + j}": _poisson_weight(F.substring(f"_hash{h}", 8 * j + 1, 8))
+        for h in range(HASHES_PER_ROW)
+        for j in range(DRAWS_PER_HASH)
     }
     means = [
         weighted_mean(F.col(v), F.col(w)).alias(f"{w}_{i}") for w in weights for i, v in enumerate(values)
     ]
-    per_chunk = drawn.withColumns(weights).groupBy(date, "_chunk").agg(*means)
+    per_chunk = hashed.withColumns(weights).groupBy(date, "_chunk").agg(*means)
     replicate = [
         F.struct(
-            (F.col("_chunk") * DRAWS_PER_HASH + j).alias("_replicate"),
+            (F.col("_chunk") * draws + j).alias("_replicate"),
             F.lit(v).alias("type"),
             F.col(f"_w{j}_{i}").alias("_mean"),
         )
-        for j in range(DRAWS_PER_HASH)
+        for j in range(draws)
         for i, v in enumerate(values)
     ]
     # `replicates` values per (date, type): a bounded exact percentile.
@@ -160,7 +166,7 @@ def _with_reach(box: DataFrame) -> DataFrame:
 
 def month_box(df: DataFrame, date: str, value: str) -> DataFrame:
     """Box statistics per calendar month, January first: quartiles, whiskers, outlier count."""
-    values = _month_values(df, date, value)
+    values = materialise(_month_values(df, date, value), "month-values")
     box = _with_reach(_month_quantiles(values, {"q1": 0.25, "median": 0.5, "q3": 0.75}))
     inside = (F.col("value") >= F.col("_low")) & (F.col("value") <= F.col("_high"))
     ends = (
@@ -207,17 +213,19 @@ def axis_bound(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 def scatter_bins(df: DataFrame, actual: str, predicted: str, bins: int = 20) -> DataFrame:
     """Actual against predicted as counts on a bins x bins grid from 0 to the axis bound.
 
-    Values below 0 fall outside the axes and count in no cell.
+    Values below 0 lie outside the axes, in bin -1; without a value above 0
+    there is one bin from 0 on. A row without either value counts in no cell.
     """
-    width = F.col("bound") / bins
-    cells = {
-        "actual_bin": F.floor(F.col(actual) / width).cast("int"),
-        "predicted_bin": F.floor(F.col(predicted) / width).cast("int"),
-    }
+    width = F.when(F.col("bound") > 0, F.col("bound") / bins)
+
+    def cell(value: str) -> Column:
+        place = F.coalesce(F.floor(F.col(value) / width).cast("int"), F.lit(0))
+        return F.when(F.col(value) < 0, F.lit(-1)).otherwise(place)
+
     return (
-        df.where((F.col(actual) >= 0) & (F.col(predicted) >= 0))
-        .crossJoin(F.broadcast(axis_bound(df, actual, predicted).where("bound > 0")))
-        .withColumns(cells)
+        df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
+        .crossJoin(F.broadcast(axis_bound(df, actual, predicted)))  # one row
+        .withColumns({"actual_bin": cell(actual), "predicted_bin": cell(predicted)})
         .groupBy("actual_bin", "predicted_bin")
         .agg(F.count(F.lit(1)).alias("n"), F.first("bound").alias("bound"))
     )

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidepanel.operators.ordered import halo_blocks, ordered_index
-from tidepanel.storage import materialise
 
 PERIOD = 12
 SHORTEST_SERIES = 2 * PERIOD
@@ -92,29 +91,26 @@ def autocorrelation(
     a series that is correlated up to the lag before.
     """
     kept = df.where(F.col(value).isNotNull()).select(*keys, *order_by, F.col(value).cast("double").alias("_e"))
-    kept = materialise(kept, "residuals")
-    placed = ordered_index(kept, [*keys, *order_by], "_position", written=True)
+    placed = ordered_index(kept, [*keys, *order_by], "_position")
     # Taking the overall mean off first keeps the sums below well conditioned.
-    centre = kept.agg(F.avg("_e").alias("_centre"))
-    blocks = halo_blocks(
-        placed.crossJoin(F.broadcast(centre)).withColumn("_e", F.col("_e") - F.col("_centre")),
-        "_position",
-        block_rows,
-        max_lag,
-    )
+    centre = placed.agg(F.avg("_e")).first()[0] or 0.0
+    blocks = halo_blocks(placed.withColumn("_e", F.col("_e") - centre), "_position", block_rows, max_lag)
     before = Window.partitionBy("_block", *keys).orderBy(*order_by)
-    # Entry k of the array is the value k rows back; entry 0 is the row's own.
-    look_back = F.reverse(F.collect_list("_e").over(before.rowsBetween(-max_lag, 0)))
-    pairs = (
-        blocks.withColumn("_back", look_back)
-        .where("_own")
-        .select(*keys, "_e", F.posexplode("_back").alias("lag", "_past"))
-    )
-    totals = pairs.groupBy(*keys, "lag").agg(
-        F.count("_e").alias("_pairs"),
-        F.sum(F.col("_e") * F.col("_past")).alias("_products"),
-        F.sum(F.col("_e") + F.col("_past")).alias("_both"),
+    past = {0: F.col("_e")} | {k: F.col(f"_past_{k}") for k in range(1, max_lag + 1)}
+    rows = blocks.withColumns({f"_past_{k}": F.lag("_e", k).over(before) for k in past if k}).where("_own")
+    # One row per key with the sums of every lag side by side, then a row per lag.
+    sums = rows.groupBy(*keys).agg(
+        *[F.count(p).alias(f"_pairs_{k}") for k, p in past.items()],
+        *[F.sum(F.col("_e") * p).alias(f"_products_{k}") for k, p in past.items()],
+        *[F.sum(F.col("_e") + p).alias(f"_both_{k}") for k, p in past.items()],
     )
+    per_lag = [
+        F.struct(
+            F.lit(k).alias("lag"), *[F.col(f"{n}_{k}").alias(n) for n in ("_pairs", "_products", "_both")]
+        )
+        for k in past
+    ]
+    totals = sums.select(*keys, F.inline(F.array(*per_lag))).where("_pairs > 0")
     # max_lag + 1 rows per key from here on.
     series = Window.partitionBy(*keys)
     at_zero = [F.max(F.when(F.col("lag") == 0, F.col(c))).over(series) for c in ("_pairs", "_products", "_both")]

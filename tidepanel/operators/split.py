@@ -71,11 +71,23 @@ def number_dates(df: DataFrame, date: str, grain: str = "month", name: str = "un
 
 
 def expanding_folds(df: DataFrame, unit: str, n_splits: int = 5) -> DataFrame:
-    """(row, fold, role) for every fold a row takes part in, from a numbered table."""
-    bounds = fold_bounds(df.agg((F.max(unit) + 1).alias("n")), n_splits)
-    role = F.when(F.col(unit) < F.col("test_from"), "train").otherwise("test")
-    return (
-        df.join(F.broadcast(bounds), F.col(unit) < F.col("test_to"))  # n_splits rows
-        .withColumn("role", role)
-        .drop("test_from", "test_to")
+    """(row, fold, role) for every fold a row takes part in, from a numbered table.
+
+    The ``n_splits`` bounds are settings: they are read first and become part of the plan.
+    """
+    bounds = fold_bounds(df.agg((F.max(unit) + 1).alias("n")), n_splits).collect()
+    folds = F.array(
+        *[
+            F.struct(
+                F.lit(b.fold).cast("int").alias("fold"),
+                F.lit(b.test_from).alias("test_from"),
+                F.lit(b.test_to).alias("test_to"),
+            )
+            for b in bounds
+        ]
     )
+    if not bounds:
+        return df.where("false").withColumns({"fold": F.lit(0), "role": F.lit("train")})
+    taken = df.withColumn("_fold", F.explode(F.filter(folds, lambda f: F.col(unit) < f["test_to"])))
+    role = F.when(F.col(unit) < F.col("_fold.test_from"), "train").otherwise("test")
+    return taken.select(*df.columns, F.col("_fold.fold").alias("fold"), role.alias("role"))

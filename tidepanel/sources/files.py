@@ -10,15 +10,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """A CSV file with a header line. Without a schema the types are inferred,
-    which reads the file twice; declare them for large files."""
-    reader = spark.read.option("header", True)
-    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
-
-
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+# Standard quoting: a quote inside a quoted value is doubled.
+QUOTING = {"header": True, "quote": '"', "escape": '"'}
+KEPT_BLANKS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType | str | None = None, multi_line: bool = False
+) -> DataFrame:
+    """A CSV file with a header line.
+
+    Without a schema the types are inferred, which reads the file twice;
+    declare them for large files, and a line that does not fit them raises.
+    ``multi_line`` allows line breaks inside quoted values; a file can then not
+    be split between tasks.
+    """
+    reader = spark.read.options(**QUOTING, multiLine=multi_line)
+    if schema is None:
+        return reader.option("inferSchema", True).csv(path)
+    return reader.option("mode", "FAILFAST").schema(schema).csv(path)
+
+
+def write_csv(df: DataFrame, path: str, multi_line: bool = False) -> None:
+    """Write with standard quoting. A value with a line break raises unless ``multi_line``
+    allows it, since other readers of split files would see two lines."""
+    if not multi_line:
+        broken = F.raise_error(F.lit("a value holds a line break: write and read it with multi_line"))
+        df = df.withColumns(
+            {
+                c: F.when(F.col(c).rlike("[\r\n]"), broken.cast("string")).otherwise(F.col(c))
+                for c, kind in df.dtypes
+                if kind == "string"
+            }
+        )
+    df.write.mode("overwrite").options(**QUOTING, **KEPT_BLANKS).csv(path)
 
 
 def write_bundle(prepared: DataFrame, path: str) -> None:
@@ -40,7 +65,7 @@ def save_model(model: MLWritable, path: str) -> None:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """Metric tables, a few rows: one file. The work before it stays distributed."""
+    """Metric and settings tables of a few rows, as one file; large tables belong to ``write_table``."""
     df.repartition(1).write.mode("overwrite").json(path)
 
 
