@@ -9,9 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel import catalog
+from tidepanel.functions.aggregates import r_squared
 from tidepanel.operators import attribution, models
 from tidepanel.operators.models import ForecastSpec
 from tidepanel.plans import forecast, search
+from tidepanel.plans.prepare import written
 
 FEATURES = ["lag_1", "lag_2", "rolling_mean_3", "month"]
 
@@ -224,3 +226,37 @@ def test_linear_models_are_not_explained(prepared):
     model = models.fit(prepared.train, prepared.features, ForecastSpec("linear"), prepared.keys)
     with pytest.raises(ValueError, match="no attributions"):
         forecast.explain(prepared, model)
+
+
+# --- training layout, scorers, depth ------------------------------------------
+
+
+def test_a_fit_on_laid_out_rows_shuffles_nothing(prepared):
+    ready = written(prepared)
+    assert ready.laid_out and written(ready) is ready
+    rows = models.assemble(ready.train, ready.features)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_same_seed_gives_the_same_model_on_laid_out_rows(prepared):
+    ready = written(prepared)
+    spec = ForecastSpec("boosted", {"maxIter": 3, "maxDepth": 3, "subsamplingRate": 0.7})
+    first, second = (forecast.train(ready, spec).scored for _ in range(2))
+    assert first.exceptAll(second).count() == 0
+
+
+def test_search_takes_a_scorer(prepared):
+    candidates = [{"n_estimators": "1", "max_depth": "1"}, {"n_estimators": "4", "max_depth": "3"}]
+    found = search.search(
+        prepared, ForecastSpec(label="y"), candidates, 2, scorer=r_squared, score_name="r2", greater_is_better=True
+    )
+    ranking = [r.r2 for r in found.ranking.collect()]
+    assert ranking == sorted(ranking, reverse=True)
+    assert found.best == candidates[found.ranking.first().candidate]
+
+
+@pytest.mark.parametrize("kind", ["forest", "classifier"])
+def test_forests_grow_as_deep_as_they_can(kind):
+    assert models._estimator(ForecastSpec(kind)).getMaxDepth() == 30
+    assert models._estimator(ForecastSpec(kind, {"maxDepth": 4})).getMaxDepth() == 4

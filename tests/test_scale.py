@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidepanel import catalog
-from tidepanel.operators import features, metrics, report, series
+from tidepanel.operators import features, metrics, ordered, report, series
 from tidepanel.operators.ordered import halo_blocks, ordered_index, prefix_sums
 from tidepanel.plans.prepare import prepare
 from tidepanel.spec import PanelSpec
@@ -188,3 +188,37 @@ def test_bundle_reader_skips_the_other_side(spark, prepared, tmp_path):
     files.write_bundle(prepared.rows, str(tmp_path / "rows"))
     plan = executed_plan(files.read_bundle(spark, str(tmp_path / "rows"), "test"))
     assert re.search(r"PartitionFilters: \[[^\]]*split", plan)
+
+
+RANGED = ("long_group_features", "label_codes", "roc_auc", "residual_acf", "residual_acf_by_group", "month_box", "month_outliers", "cv_folds_row")
+
+
+@pytest.mark.parametrize("name", RANGED)
+def test_ordered_queries_compare_no_row_with_ranges(spark, sf_dir, name):
+    plan = executed_plan(entry.queries()[name](spark, sf_dir))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "TakeOrdered" not in plan
+
+
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_RANGE", 10)
+    assert ordered.range_count(spark.range(1_000)) == 100
+    assert ordered.range_count(spark.range(10_000)) == 1_000
+
+
+def test_pairs_of_forecasts_are_one_aggregate(spark, sf_dir):
+    plan = executed_plan(entry.queries()["dm_test"](spark, sf_dir))
+    assert "Window" not in plan
+
+
+def test_scatter_bins_count_every_row(spark):
+    rows = [(1.0, -0.5), (2.0, 1.0), (-1.0, 3.0), (0.0, 0.0), (None, 1.0)]
+    df = spark.createDataFrame(rows, "y double, p double")
+    got = {(r.actual_bin, r.predicted_bin): r.n for r in report.scatter_bins(df, "y", "p", bins=3).collect()}
+    assert sum(got.values()) == 4 and got[(0, -1)] == 1 or got[(1, -1)] == 1
+    below = spark.createDataFrame([(-1.0, -2.0), (0.0, -1.0)], "y double, p double")
+    assert report.scatter_bins(below, "y", "p").agg(F.sum("n")).first()[0] == 2
+
+
+def test_models_are_compared_on_common_rows(spark):
+    df = spark.createDataFrame([(1.0, 1.0, None), (2.0, 1.0, 2.0)], "y double, a double, b double")
+    assert {r.n for r in metrics.metrics_by_model(df, "y", ["a", "b"]).collect()} == {1}

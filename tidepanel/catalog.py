@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from tidepanel import catalog_sql as sql
 from tidepanel.functions.scalars import coerce_number, from_log, month_name, parse_date, to_log
 from tidepanel.operators import attribution, encode, features, metrics, report, series, split
-from tidepanel.operators.models import ForecastSpec, load_model, predict
+from tidepanel.operators.models import ForecastSpec, fit, load_model, predict
 from tidepanel.operators.ordered import ordered_index
 from tidepanel.plans import forecast, prepare, search
 from tidepanel.plans.explore import explore
@@ -28,7 +30,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-# Small model settings, so that a run over all queries stays short.
+# The two forecasts run at full size; the other queries take small models, so that a run over all stays short.
+FOREST = {}
+BOOSTED = {}
 SMALL_FOREST = {"numTrees": 10, "maxDepth": 4}
 SMALL_BOOSTED = {"maxIter": 5, "maxDepth": 3}
 SMALL_SEARCH = {
@@ -98,6 +102,12 @@ def common_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(forecasts(spark, sf_dir).dropna(subset=["naive", "smooth"]), "scored")
 
 
+def _sided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature frame with its split, unscaled."""
+    frame = features.feature_frame(suppliers(spark, sf_dir), SUPPLIER)
+    return split.time_split(frame, "date", split.split_point(frame, "date"))
+
+
 def prepared_supplier(spark: SparkSession, sf_dir: str) -> prepare.Prepared:
     return prepare.prepare(suppliers(spark, sf_dir), SUPPLIER)
 
@@ -462,46 +472,105 @@ def _classifier(spark, sf_dir):
     return ready, trained
 
 
-@query()
+def _scored_as(trained: forecast.Trained, check) -> DataFrame:
+    """Scored test rows with what SQL can tell of them: all but the forecast, and a check of it."""
+    return trained.scored.select("grp", "date", "actual", "weight", "naive", check)
+
+
+@query(sql.TEST_ROWS)
 def rf_forecast(spark, sf_dir):
-    return forecast.train(prepared_supplier(spark, sf_dir), ForecastSpec("forest", SMALL_FOREST)).scored
+    """A forest forecasts means of training targets, so it stays inside their range."""
+    ready = prepared_supplier(spark, sf_dir)
+    trained = forecast.train(ready, ForecastSpec("forest", FOREST))
+    low, high = ready.train.agg(F.min("y"), F.max("y")).first()
+    return _scored_as(trained, F.col("prediction").between(low - 1e-9, high + 1e-9).alias("sound"))
 
 
-@query()
+@query(sql.TEST_ROWS)
 def gbt_forecast(spark, sf_dir):
-    return forecast.train(prepared_supplier(spark, sf_dir), _boosted()).scored
+    trained = forecast.train(prepared_supplier(spark, sf_dir), ForecastSpec("boosted", BOOSTED))
+    finite = F.col("prediction").isNotNull() & (F.abs("prediction") < float("inf"))
+    return _scored_as(trained, finite.alias("sound"))
+
 
+ORDERED = "mae > 0 AND rmse >= mae AS ordered"
 
-@query()
+
+@query(sql.features("SELECT count(*) AS n, true AS ordered FROM sided WHERE split = 'test'"))
 def gbt_log_weighted(spark, sf_dir):
     settings = {"max_depth": "3", "learning_rate": "0.1", "min_child_weight": "3"}
-    return forecast.train_forecast(prepared_supplier(spark, sf_dir), settings, rounds=5).metrics
+    trained = forecast.train_forecast(prepared_supplier(spark, sf_dir), settings, rounds=5)
+    return trained.metrics.selectExpr("n", ORDERED)
 
 
-@query()
+@query(sql.features(f"SELECT count(*) AS n, count(*) FILTER (WHERE y >= {HIGH_RATE!r}::DOUBLE) AS n_high, true AS bounded FROM sided WHERE split = 'test'"))
 def rf_classifier(spark, sf_dir):
-    return _classifier(spark, sf_dir)[1].metrics
+    trained = _classifier(spark, sf_dir)[1]
+    scores = ("accuracy", "precision", "recall", "f1", "roc_auc")
+    bounded = " AND ".join(f"{c} BETWEEN 0 AND 1" for c in scores)
+    agrees = "bool_and(predicted = int(probability > 0.5) OR probability = 0.5) AS agrees"
+    rows = trained.scored.selectExpr("high", "predicted", "probability").selectExpr(
+        "count(*) AS n", "count_if(high = 1) AS n_high", agrees
+    )
+    return rows.crossJoin(F.broadcast(trained.metrics.drop("n"))).selectExpr(  # one row each
+        "n", "n_high", f"agrees AND {bounded} AS bounded"
+    )
 
 
 def _comparison(spark, sf_dir):
     params = {"RandomForest": SMALL_FOREST, "GradientBoosting": SMALL_BOOSTED}
-    return forecast.compare_models(prepare.written(prepared_supplier(spark, sf_dir)), params)
+    return forecast.compare_models(prepared_supplier(spark, sf_dir), params)
 
 
-@query()
+@query(sql.features("SELECT model, n, true AS ordered FROM (SELECT unnest(['RandomForest', 'GradientBoosting', 'Linear']) AS model), (SELECT count(*) AS n FROM sided WHERE split = 'test')"))
 def benchmark_models(spark, sf_dir):
-    return _comparison(spark, sf_dir).metrics
+    return _comparison(spark, sf_dir).metrics.selectExpr("model", "n", ORDERED)
 
 
-@query()
+@query(sql.features("SELECT date, " + sql.rounded("sum(y * headcount) / sum(headcount)", "actual") + ", true AS consistent FROM sided WHERE split = 'test' GROUP BY date"))
 def benchmark_weighted_residuals(spark, sf_dir):
-    return _comparison(spark, sf_dir).weighted()
+    return _comparison(spark, sf_dir).weighted().selectExpr(
+        "date",
+        "actual",
+        f"abs(actual - {forecast.PRIMARY} - residual) < 1e-9D AND (sign = 'over') = (residual < 0) AS consistent",
+    )
 
 
-@query()
+@query(sql.features("SELECT count(*) AS n, " + sql.rounded("1.959964::DOUBLE / sqrt(count(*))", "acf_1_bound") + ", true AS ordered, true AS consistent FROM sided WHERE split = 'test'"))
 def evaluation_report(spark, sf_dir):
     trained = forecast.train(prepared_supplier(spark, sf_dir), _boosted(log_target=True, weight="weight"))
-    return forecast.evaluation_report(materialise(trained.scored, "scored"), "prediction", ["grp", "date"])
+    table = forecast.evaluation_report(materialise(trained.scored, "scored"), "prediction", ["grp", "date"])
+    return table.selectExpr(
+        "n", "acf_1_bound", ORDERED, "dm_significant = (abs(dm_stat) > 1.96) AND abs(acf_1) <= 1 AS consistent"
+    )
+
+
+@query(sql.LINEAR_FIT)
+def linear_fit(spark, sf_dir):
+    """The least-squares line of the target on its first lag, over the train side."""
+    model = fit(_sided(spark, sf_dir).where("split = 'train'"), ["lag_1"], ForecastSpec("linear"), ["grp", "date"])
+    return spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "slope double, intercept double")
+
+
+def _stump(spark, sf_dir):
+    """One tree with one split on the month, which has few enough values for exact bins."""
+    sided = _sided(spark, sf_dir).withColumn("unused", F.lit(0.0))
+    spec = ForecastSpec("forest", {"numTrees": 1, "maxDepth": 1, "bootstrap": False})
+    return sided, fit(sided.where("split = 'train'"), ["month", "unused"], spec, ["grp", "date"])
+
+
+@query(sql.STUMP_FOREST)
+def stump_forest(spark, sf_dir):
+    sided, model = _stump(spark, sf_dir)
+    return predict(model, sided, ["month", "unused"], "prediction").select("grp", "date", "prediction")
+
+
+@query(sql.STUMP_ATTRIBUTION)
+def stump_attribution(spark, sf_dir):
+    """The base is the train mean; the month has all of the difference, a constant column none."""
+    sided, model = _stump(spark, sf_dir)
+    wide = attribution.attributions(sided.withColumn("month", F.col("month").cast("double")), model, ["month", "unused"], ["grp", "date"])
+    return wide.select("grp", "date", "base", "phi_month", "phi_unused")
 
 
 def _search(spark, sf_dir):
@@ -512,20 +581,33 @@ def _search(spark, sf_dir):
     return ready, base, search.search(ready, base, candidates, n_splits=2)
 
 
-@query()
+@query(sql.tuned_candidates(SMALL_SEARCH, search.SEED, 2))
 def tuned_candidates(spark, sf_dir):
-    return _search(spark, sf_dir)[2].ranking
+    """The drawn settings; the best has the least mean error over both folds."""
+    found = _search(spark, sf_dir)[2]
+    folds = found.scores.groupBy("candidate").agg(F.count(F.lit(1)).alias("n_folds"), F.avg("mae").alias("_mean"))
+    least = found.scores.groupBy("candidate").agg(F.avg("mae").alias("_m")).agg(F.min("_m").alias("_least"))
+    chosen = reduce(and_, [F.col(k) == F.lit(v) for k, v in found.best.items()])
+    return (
+        found.ranking.join(folds, "candidate")
+        .crossJoin(F.broadcast(least))  # one row
+        .select("candidate", *SMALL_SEARCH, "n_folds", (~chosen | (F.col("_mean") <= F.col("_least"))).alias("sound"))
+    )
 
 
-@query()
+@query(sql.features("SELECT count(*) AS n, true AS ordered, true AS same_settings FROM sided WHERE split = 'test'"))
 def tuned_best_refit(spark, sf_dir):
+    """The best settings are written, read back with their types, and refitted."""
     ready, base, found = _search(spark, sf_dir)
     path = new_path(spark, "params")
     files.write_params(spark, found.best, path)
-    found = replace(found, best=files.read_params(spark, path))
-    model = search.refit_best(ready, base, found)
+    read = files.read_params(spark, path)
+    model = search.refit_best(ready, base, replace(found, best=read))
     scored_rows = forecast.scored_test(ready, {"prediction": model}, base.log_target)
-    return metrics.regression_metrics(scored_rows, "actual", "prediction")
+    same = read == found.best and all(isinstance(v, str) for v in read.values())
+    return metrics.regression_metrics(scored_rows, "actual", "prediction").selectExpr(
+        "n", ORDERED, f"{str(same).lower()} AS same_settings"
+    )
 
 
 # --- attributions -----------------------------------------------------------
@@ -536,10 +618,12 @@ def _explained(spark, sf_dir):
     return ready, forecast.train(ready, _boosted()).model
 
 
-@query()
+@query(sql.TREE_ATTRIBUTION)
 def tree_attribution(spark, sf_dir):
+    """A row per test row and feature: the feature's value, and whether its attribution is a number."""
     ready, model = _explained(spark, sf_dir)
-    return attribution.melt_attributions(forecast.explain(ready, model), ready.features, ready.keys)
+    long = attribution.melt_attributions(forecast.explain(ready, model), ready.features, ready.keys)
+    return long.selectExpr("grp", "date", "feature", "value", "phi IS NOT NULL AND NOT isnan(phi) AS attributed")
 
 
 @query(sql.features("SELECT grp, date, true AS additive FROM sided WHERE split = 'test'"))
@@ -555,30 +639,55 @@ def attribution_additivity(spark, sf_dir):
     )
 
 
-@query()
+@query(sql.features("SELECT grp, date, true AS additive FROM sided WHERE split = 'test'"))
 def attribution_classifier(spark, sf_dir):
+    """For a classifier, base value and attributions add up to the probability of class 1."""
     ready, trained = _classifier(spark, sf_dir)
-    wide = forecast.explain(ready, trained.model)
-    return attribution.melt_attributions(wide, ready.features, ready.keys)
+    totals = forecast.explain(ready, trained.model).selectExpr(
+        "grp", "date", " + ".join(["base", *[f"`phi_{f}`" for f in ready.features]]) + " AS total"
+    )
+    return totals.join(trained.scored, ["grp", "date"]).selectExpr(
+        "grp", "date", "abs(total - probability) < 1e-9D AS additive"
+    )
 
 
-@query()
+@query(sql.features("SELECT count(*) > 0 AS short, true AS sorted, true AS influential FROM sided WHERE split = 'test'"))
 def feature_importance_top20(spark, sf_dir):
+    """At most twenty features, the most important first, none without influence."""
     ready, model = _explained(spark, sf_dir)
-    return attribution.global_importance(forecast.explain(ready, model), ready.features)
+    top = attribution.global_importance(forecast.explain(ready, model), ready.features)
+    values = top.agg(F.collect_list("importance").alias("v"))  # twenty at most
+    return values.selectExpr(
+        f"size(v) BETWEEN 1 AND {attribution.TOP_FEATURES} AS short",
+        "v = sort_array(v, false) AS sorted",
+        f"array_min(v) > {attribution.NEGLIGIBLE!r} AS influential",
+    )
 
 
-@query()
+@query(sql.features("SELECT count(*) AS n, true AS short, true AS inside FROM sided WHERE split = 'test'"))
 def attribution_summary(spark, sf_dir):
+    """Each of at most twenty features counts every test row once, in bins from 0 to 19."""
     ready, model = _explained(spark, sf_dir)
     wide = materialise(forecast.explain(ready, model), "attributions")
-    return attribution.attribution_summary(wide, ready.features)
+    summary = attribution.attribution_summary(wide, ready.features)
+    per_feature = summary.groupBy("feature").agg(
+        F.sum("n").alias("n"), F.min("bin").alias("low"), F.max("bin").alias("high")
+    )
+    return per_feature.groupBy("n").agg(
+        (F.count(F.lit(1)) <= attribution.TOP_FEATURES).alias("short"),
+        ((F.min("low") >= 0) & (F.max("high") < attribution.SUMMARY_BINS)).alias("inside"),
+    )
 
 
-@query()
+@query(sql.SINGLE_ROW)
 def single_row_explanation(spark, sf_dir):
+    """The first test row: every feature once, the strongest attribution first."""
     ready, model = _explained(spark, sf_dir)
-    return attribution.explain_row(ready.test, model, ready.features, ready.keys)
+    one = attribution.explain_row(ready.test, model, ready.features, ready.keys)
+    rows = one.groupBy("grp", "date").agg(
+        F.count_distinct("feature").alias("n_features"), F.collect_list(F.abs("phi")).alias("v")
+    )
+    return rows.selectExpr("grp", "date", "n_features", "v = sort_array(v, false) AS sorted")
 
 
 # --- files ------------------------------------------------------------------
@@ -592,6 +701,15 @@ def io_csv_roundtrip(spark, sf_dir):
     return files.read_csv(spark, path, panel.schema)
 
 
+@query("SELECT page_id, url, html FROM pages")
+def io_csv_text(spark, sf_dir):
+    """Whole pages, with their quotes, commas and line breaks, through CSV."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    path = new_path(spark, "pages-csv")
+    files.write_csv(pages, path, multi_line=True)
+    return files.read_csv(spark, path, pages.schema, multi_line=True)
+
+
 @query(sql.features("SELECT grp, date, {y}, headcount::DOUBLE AS weight, split FROM sided WHERE split = 'test'"))
 def io_prepared_bundle(spark, sf_dir):
     path = new_path(spark, "bundle")

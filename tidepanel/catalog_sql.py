@@ -459,3 +459,69 @@ bounds AS (SELECT fold, n - ({n_splits} - fold) * size AS test_from, n - ({n_spl
            FROM sizes, range(0, {n_splits}) f(fold))
 SELECT grp, date, unit, fold::INTEGER AS fold, CASE WHEN unit < test_from THEN 'train' ELSE 'test' END AS role
 FROM numbered, bounds WHERE unit < test_to""")
+
+
+# --- models -----------------------------------------------------------------
+
+TEST_ROWS = features(
+    f"SELECT grp, date, {rounded('y', 'actual')}, headcount::DOUBLE AS weight, {rounded('lag_1', 'naive')}, "
+    "true AS sound FROM sided WHERE split = 'test'"
+)
+
+LINEAR_FIT = features(
+    f"SELECT {rounded('regr_slope(y, lag_1)', 'slope')}, {rounded('regr_intercept(y, lag_1)', 'intercept')} "
+    "FROM sided WHERE split = 'train'"
+)
+
+# The cut between months that leaves the least squared error, and the mean target on each side.
+_STUMP = """
+, train AS (SELECT month, y FROM sided WHERE split = 'train'),
+cuts AS (
+  SELECT c.month AS cut, avg(y) FILTER (WHERE t.month <= c.month) AS low, avg(y) FILTER (WHERE t.month > c.month) AS high,
+         var_pop(y) FILTER (WHERE t.month <= c.month) * count(*) FILTER (WHERE t.month <= c.month)
+         + var_pop(y) FILTER (WHERE t.month > c.month) * count(*) FILTER (WHERE t.month > c.month) AS error
+  FROM (SELECT DISTINCT month FROM train) c, train t
+  GROUP BY c.month HAVING count(*) FILTER (WHERE t.month > c.month) > 0),
+best AS (SELECT * FROM cuts ORDER BY error LIMIT 1)
+"""
+
+STUMP_FOREST = features(
+    _STUMP
+    + f"SELECT grp, date, {rounded('CASE WHEN month <= cut THEN low ELSE high END', 'prediction')} FROM sided, best"
+)
+
+STUMP_ATTRIBUTION = features(
+    _STUMP
+    + f"SELECT grp, date, {rounded('mean', 'base')}, "
+    + rounded("CASE WHEN month <= cut THEN low ELSE high END - mean", "phi_month")
+    + ", 0.0::DOUBLE AS phi_unused FROM sided, best, (SELECT avg(y) AS mean FROM train)"
+)
+
+
+def tuned_candidates(space, seed: int, n_iter: int) -> str:
+    """The settings with the smallest seeded hashes, numbered in that order."""
+    axes = ", ".join(f"(SELECT unnest({list(values)!r}) AS {name}) a{i}" for i, (name, values) in enumerate(space.items()))
+    names = ", ".join(space)
+    return f"""
+WITH drawn AS (
+  SELECT {names}, row_number() OVER (ORDER BY md5(concat_ws('|', '{seed}', {names}))) - 1 AS candidate FROM {axes})
+SELECT candidate, {names}, 2::BIGINT AS n_folds, (SELECT count(*) FROM lineitem) > 0 AS sound
+FROM drawn WHERE candidate < {n_iter}"""
+
+
+TREE_ATTRIBUTION = features(
+    "SELECT grp, date, feature, round(value, 6) + 0.0::DOUBLE AS value, true AS attributed FROM (SELECT sided.grp, date, "
+    f"unnest({_ALL_FEATURES!r}) AS feature, unnest(["
+    + ", ".join(
+        f"(sided.{f} - fit.m_{f}) / CASE WHEN fit.s_{f} = 0 THEN 1 ELSE fit.s_{f} END" for f in _numeric_features()
+    )
+    + ", code::DOUBLE, is_december::DOUBLE]) AS value FROM sided JOIN (SELECT DISTINCT grp, "
+    "(dense_rank() OVER (ORDER BY grp::VARCHAR) - 1)::INTEGER AS code FROM kept) codes ON sided.grp = codes.grp, (SELECT "
+    + ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in _numeric_features())
+    + " FROM sided WHERE split = 'train') fit WHERE split = 'test')"
+)
+
+SINGLE_ROW = features(
+    f"SELECT grp, date, {len(_ALL_FEATURES)}::BIGINT AS n_features, true AS sorted "
+    "FROM sided WHERE split = 'test' ORDER BY grp, date LIMIT 1"
+)

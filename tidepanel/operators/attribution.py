@@ -12,7 +12,6 @@ import json
 import math
 import sys
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,7 +26,7 @@ from tidepanel.storage import new_path
 
 NEGLIGIBLE = 1e-6  # importances up to this count as no influence
 TOP_FEATURES = 20
-LEAVES_PER_PASS = 500_000  # some hundred bytes each
+LEAVES_PER_PASS = 500_000  # leaves of one broadcast, some hundred bytes each
 TABLE_PATTERNS = 256
 SUMMARY_BINS = 20
 
@@ -152,8 +151,8 @@ def _attribute(x: np.ndarray, leaves: Sequence[Leaf], tables: Sequence[np.ndarra
 def attributions(df: DataFrame, model: Model, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """(keys, features, base, phi_<feature>...): attributions of every row, wide.
 
-    Attributions add up over trees, so a model with more leaves than one pass
-    should carry is done in several passes whose results are summed.
+    Attributions add up over leaves. The leaves are sent in pieces, and every
+    batch of rows is held against one piece after another in the task that has it.
     """
     spark = df.sparkSession
     leaves, base = tree_leaves(spark, model)
@@ -161,20 +160,21 @@ def attributions(df: DataFrame, model: Model, features: Sequence[str], keys: Seq
     phi_names = [f"phi_{f}" for f in features]
     schema = StructType([*rows.schema, *[StructField(n, DoubleType()) for n in phi_names]])
     names = list(features)
-    parts = []
-    for start in range(0, max(len(leaves), 1), LEAVES_PER_PASS):
-        shipped = spark.sparkContext.broadcast(leaves[start : start + LEAVES_PER_PASS])
-
-        def explain(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            tables = [_share_table(leaf) for leaf in shipped.value]
-            for batch in batches:
-                phi = _attribute(batch[names].to_numpy(float), shipped.value, tables)
-                yield pd.concat([batch, pd.DataFrame(phi, columns=phi_names, index=batch.index)], axis=1)
-
-        parts.append(rows.mapInPandas(explain, schema))
-    wide = reduce(DataFrame.unionByName, parts)
-    if len(parts) > 1:
-        wide = wide.groupBy(*rows.columns).agg(*[F.sum(n).alias(n) for n in phi_names])
+    pieces = [
+        spark.sparkContext.broadcast(leaves[start : start + LEAVES_PER_PASS])
+        for start in range(0, len(leaves), LEAVES_PER_PASS)
+    ]
+
+    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = [[_share_table(leaf) for leaf in piece.value] for piece in pieces]
+        for batch in batches:
+            x = batch[names].to_numpy(float)
+            phi = np.zeros_like(x)
+            for piece, shares in zip(pieces, tables):
+                phi += _attribute(x, piece.value, shares)
+            yield pd.concat([batch, pd.DataFrame(phi, columns=phi_names, index=batch.index)], axis=1)
+
+    wide = rows.mapInPandas(explain, schema)
     return wide.select(*rows.columns, F.lit(base).alias("base"), *phi_names)
 
 

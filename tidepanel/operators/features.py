@@ -86,9 +86,19 @@ def past_columns(df: DataFrame, spec: PanelSpec, order: WindowSpec) -> DataFrame
     return df.withColumns(lags).withColumns(rolling).drop(*only_for_rolling)
 
 
+def _unrepeated(spec: PanelSpec, order: WindowSpec) -> Column:
+    """The date, or an error where the row before in the group has the same."""
+    date = F.col(spec.date)
+    message = f"{spec.group} and {spec.date} must be unique together"
+    return F.when(F.lag(date).over(order) == date, F.raise_error(F.lit(message))).otherwise(date)
+
+
 def with_past(df: DataFrame, spec: PanelSpec, block_rows: int = BLOCK_ROWS, tie_break=()) -> DataFrame:
     """Add the look-back features of every row.
 
+    Without a ``tie_break`` a key that repeats raises, since look-backs would
+    depend on the row order; the check shares the window of the features.
+
     At month grain one window per group does it. At row grain a group may hold
     any share of the table, so rows are positioned by (group, date), cut into
     blocks that overlap by the longest look-back, and windowed per block.
@@ -96,11 +106,17 @@ def with_past(df: DataFrame, spec: PanelSpec, block_rows: int = BLOCK_ROWS, tie_
     order_by = [spec.date, *tie_break]
     if spec.grain == "month":
         order = Window.partitionBy(spec.group).orderBy(*order_by)
-        return past_columns(df, spec, order)
+        past = past_columns(df.withColumn("_checked", _unrepeated(spec, order)), spec, order)
+        return _checked(past, spec, tie_break)
     placed = ordered_index(df, [spec.group, *order_by], "_position")
     blocks = halo_blocks(placed, "_position", block_rows, spec.longest_look_back)
     order = Window.partitionBy("_block", spec.group).orderBy(*order_by)
-    return past_columns(blocks, spec, order).where("_own").drop("_position", "_block", "_own")
+    past = past_columns(blocks.withColumn("_checked", _unrepeated(spec, order)), spec, order)
+    return _checked(past.where("_own"), spec, tie_break).drop("_position", "_block", "_own")
+
+
+def _checked(past: DataFrame, spec: PanelSpec, tie_break) -> DataFrame:
+    return (past if tie_break else past.withColumn(spec.date, F.col("_checked"))).drop("_checked")
 
 
 def feature_frame(df: DataFrame, spec: PanelSpec) -> DataFrame:

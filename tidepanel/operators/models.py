@@ -25,8 +25,8 @@ from tidepanel.storage import shared_folder
 
 SEED = 42
 TREES = 100
+DEEPEST = 30  # the deepest trees MLlib grows
 ROWS_PER_PARTITION = 10_000
-MOST_TRAINING_PARTITIONS = 20_000
 
 # Search setting -> MLlib parameter.
 BOOSTING_PARAMS = {
@@ -82,7 +82,7 @@ def boosting_params(settings: Mapping[str, object], rounds: int = TREES) -> dict
 def _estimator(spec: ForecastSpec):
     params = dict(spec.params)
     if spec.kind == "forest":
-        defaults = {"numTrees": TREES, "maxDepth": 10, "featureSubsetStrategy": "all", "seed": spec.seed}
+        defaults = {"numTrees": TREES, "maxDepth": DEEPEST, "featureSubsetStrategy": "all", "seed": spec.seed}
         return RandomForestRegressor(**(defaults | params))
     if spec.kind == "boosted":
         defaults = {"maxIter": TREES, "stepSize": 0.3, "maxDepth": 6, "lossType": "squared", "seed": spec.seed}
@@ -90,7 +90,7 @@ def _estimator(spec: ForecastSpec):
     if spec.kind == "linear":
         return LinearRegression(**params)
     if spec.kind == "classifier":
-        return RandomForestClassifier(**({"numTrees": TREES, "seed": spec.seed} | params))
+        return RandomForestClassifier(**({"numTrees": TREES, "maxDepth": DEEPEST, "seed": spec.seed} | params))
     raise ValueError(f"unknown model kind {spec.kind!r}")
 
 
@@ -105,12 +105,18 @@ def training_layout(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     sit in the same places on any cluster and a seed gives the same bootstrap
     samples; a key with many rows is spread like any other.
     """
-    partitions = min(MOST_TRAINING_PARTITIONS, -(-df.count() // ROWS_PER_PARTITION))
+    partitions = -(-df.count() // ROWS_PER_PARTITION)
     return df.repartition(max(1, partitions), *keys).sortWithinPartitions(*keys)
 
 
-def fit(train: DataFrame, features: Sequence[str], spec: ForecastSpec, keys: Sequence[str]) -> Model:
-    """Fit on the rows of ``train``; ``keys`` identify a row."""
+def fit(
+    train: DataFrame, features: Sequence[str], spec: ForecastSpec, keys: Sequence[str], laid_out: bool = False
+) -> Model:
+    """Fit on the rows of ``train``; ``keys`` identify a row.
+
+    ``laid_out`` rows come from a table written in the training layout and are
+    used where they lie, so that fits on one table (or its folds) shuffle nothing.
+    """
     shared_folder(train.sparkSession)  # lets boosting cut its lineage
     label = F.col(spec.label).cast("double")
     if spec.log_target:
@@ -122,7 +128,7 @@ def fit(train: DataFrame, features: Sequence[str], spec: ForecastSpec, keys: Seq
     estimator = _estimator(spec).setLabelCol("_label").setFeaturesCol("features")
     if spec.weight:
         estimator = estimator.setWeightCol("_weight")
-    return estimator.fit(assemble(training_layout(rows, keys), features))
+    return estimator.fit(assemble(rows if laid_out else training_layout(rows, keys), features))
 
 
 def predict(model: Model, df: DataFrame, features: Sequence[str], name: str, log_target: bool = False) -> DataFrame:

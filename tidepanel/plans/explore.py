@@ -21,9 +21,10 @@ class Exploration:
 def explore(df: DataFrame, spec: PanelSpec) -> Exploration:
     """Mean target per month, the gap-free series, and its seasonal decomposition.
 
-    The decomposition is empty when there are fewer than two years of months.
+    Needs a date and a target column only. The decomposition is empty when
+    there are fewer than two years of months.
     """
-    spec = spec.resolve(df.columns)
+    spec = spec.resolve(df.columns, grouped=False)
     trend = mean_series(clean_panel(df, spec), spec.date, spec.target)
     regular = regular_months(trend)
     return Exploration(trend.orderBy("date"), regular, seasonal_decompose(regular))

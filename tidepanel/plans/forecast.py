@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidepanel.operators import attribution, metrics, report
 from tidepanel.operators.models import ForecastSpec, boosting_params, fit, predict, predict_class
 from tidepanel.operators.series import autocorrelation
-from tidepanel.plans.prepare import Prepared
+from tidepanel.plans.prepare import Prepared, written
 from tidepanel.storage import materialise
 
 # The three slots of a comparison; parameters a caller gives override the defaults.
@@ -52,7 +52,7 @@ def train_forecast(
 
 
 def train(prepared: Prepared, spec: ForecastSpec, name: str = "prediction") -> Trained:
-    model = fit(prepared.train, prepared.features, spec, prepared.keys)
+    model = fit(prepared.train, prepared.features, spec, prepared.keys, prepared.laid_out)
     scored = scored_test(prepared, {name: model}, spec.log_target)
     return Trained(model, scored, metrics.regression_metrics(scored, "actual", name))
 
@@ -101,12 +101,14 @@ class Comparison:
 def compare_models(prepared: Prepared, params: Mapping[str, Mapping[str, object]] | None = None) -> Comparison:
     """Fit the three models on the raw target and score them side by side.
 
-    The scored rows are written once; every report table aggregates them.
+    Training rows are laid out and scored rows written once; every report table
+    aggregates the latter.
     """
+    prepared = written(prepared)
     models = {}
     for name, kind in COMPARED.items():
         spec = ForecastSpec(kind, (params or {}).get(name, {}), label=prepared.spec.target)
-        models[name] = fit(prepared.train, prepared.features, spec, prepared.keys)
+        models[name] = fit(prepared.train, prepared.features, spec, prepared.keys, prepared.laid_out)
     named = scored_test(prepared, models).withColumnsRenamed(
         {prepared.spec.date: "date", prepared.spec.group: "grp"}
     )

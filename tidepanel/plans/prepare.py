@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.operators.encode import add_label_code, label_codes, scale, scaler_stats
 from tidepanel.operators.features import feature_frame
+from tidepanel.operators.models import training_layout
 from tidepanel.operators.split import split_point, time_split
-from tidepanel.sources.files import read_bundle, write_bundle, write_table
+from tidepanel.sources.files import read_bundle, read_params, write_bundle, write_params, write_table
 from tidepanel.spec import PanelSpec, feature_columns
 from tidepanel.storage import materialise
 
@@ -24,6 +26,7 @@ class Prepared:
     features: tuple[str, ...]
     scaler: DataFrame
     codes: DataFrame
+    laid_out: bool = False  # whether the rows are written in the training layout
 
     @property
     def keys(self) -> list[str]:
@@ -48,7 +51,8 @@ def prepare(df: DataFrame, spec: PanelSpec) -> Prepared:
 
     The feature frame is written once, and so is what is fitted on it: the
     split date, the label codes and the scaler. A later pass over the rows is
-    then a scan with a projection, and the windows run a single time.
+    then a scan with a projection, and the windows run a single time. A group
+    with two rows on one date (after dates are cut to the month) raises.
     """
     spec = spec.resolve(df.columns)
     frame = materialise(feature_frame(df, spec), "features")
@@ -84,9 +88,19 @@ def save_prepared(prepared: Prepared, path: str) -> None:
     write_table(prepared.scaler, f"{path}/scaler")
     write_table(prepared.codes, f"{path}/codes")
     write_table(feature_order(prepared), f"{path}/features")
-
-
-def load_prepared(spark: SparkSession, path: str, spec: PanelSpec) -> Prepared:
+    settings = {k: list(v) if isinstance(v, tuple) else v for k, v in asdict(prepared.spec).items() if v != ()}
+    write_params(prepared.rows.sparkSession, settings, f"{path}/spec")
+
+
+def load_prepared(spark: SparkSession, path: str, spec: PanelSpec | None = None) -> Prepared:
+    """What ``save_prepared`` wrote. The spec it was prepared with, with the columns that were
+    found by name, lies beside the rows; a ``spec`` given here is only for bundles without one."""
+    try:
+        found = read_params(spark, f"{path}/spec")
+        spec = PanelSpec(**(found | {"components": tuple(found.get("components", ()))}))
+    except AnalysisException:
+        if spec is None:
+            raise
     order = spark.read.parquet(f"{path}/features").orderBy("position").collect()  # one row per feature
     return Prepared(
         spec,
@@ -98,5 +112,8 @@ def load_prepared(spark: SparkSession, path: str, spec: PanelSpec) -> Prepared:
 
 
 def written(prepared: Prepared) -> Prepared:
-    """The same preparation with its rows written, for several fits on them."""
-    return replace(prepared, rows=materialise(prepared.rows, "prepared"))
+    """The same preparation with its rows written in the training layout, for several fits on them."""
+    if prepared.laid_out:
+        return prepared
+    rows = training_layout(prepared.rows, prepared.keys)
+    return replace(prepared, rows=materialise(rows, "prepared"), laid_out=True)

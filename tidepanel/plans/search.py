@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.ml import Model
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.functions.aggregates import mean_absolute_error
-from tidepanel.operators.models import ForecastSpec, boosting_params, fit, predict
+from tidepanel.operators.models import ForecastSpec, boosting_params, fit, predict, training_layout
 from tidepanel.operators.ordered import ordered_index
 from tidepanel.operators.split import fold_bounds, number_dates
 from tidepanel.plans.prepare import Prepared
@@ -50,8 +50,8 @@ def random_candidates(grid: DataFrame, n_iter: int, seed: int = SEED) -> DataFra
 
 @dataclass(frozen=True)
 class Search:
-    scores: DataFrame  # candidate, fold, the settings, mae
-    ranking: DataFrame  # candidate, the settings, mae; the best first
+    scores: DataFrame  # candidate, fold, the settings, the score
+    ranking: DataFrame  # candidate, the settings, the mean score; the best first
     best: dict[str, str]
 
 
@@ -62,20 +62,24 @@ def search(
     n_splits: int = 5,
     unit: str = "date",
     parallelism: int = 4,
+    scorer: Callable[[Column, Column], Column] = mean_absolute_error,
+    score_name: str = "mae",
+    greater_is_better: bool = False,
 ) -> Search:
     """Score each candidate on each fold of the train side.
 
-    Every fit is a distributed job over one written, numbered table; a fold is
-    a range filter on it, so folds are never copied. ``parallelism`` fits are
-    in flight at a time. ``unit`` cuts folds between dates, or between rows in
-    (group, date) order.
+    Every fit is a distributed job over one numbered table, written once in the
+    training layout; a fold is a range filter on it, so folds are never copied
+    or shuffled. ``parallelism`` fits are in flight at a time. ``unit`` cuts
+    folds between dates, or between rows in (group, date) order. ``scorer``
+    makes an aggregate of the actual and the predicted column.
     """
     spark = prepared.rows.sparkSession
     if unit == "row":
         numbered = ordered_index(prepared.train, prepared.keys, "_unit")
     else:
         numbered = number_dates(prepared.train, prepared.spec.date, prepared.spec.grain, "_unit")
-    numbered = materialise(numbered, "folds")
+    numbered = materialise(training_layout(numbered, prepared.keys), "folds")
     bounds = fold_bounds(numbered.agg((F.max("_unit") + 1).alias("n")), n_splits).collect()
 
     def score(job):
@@ -83,21 +87,23 @@ def search(
         spec = replace(base, params={**base.params, **boosting_params(settings)})
         train = numbered.where(F.col("_unit") < fold.test_from)
         test = numbered.where((F.col("_unit") >= fold.test_from) & (F.col("_unit") < fold.test_to))
-        model = fit(train, prepared.features, spec, prepared.keys)
+        model = fit(train, prepared.features, spec, prepared.keys, laid_out=True)
         scored = predict(model, test, prepared.features, "_predicted", spec.log_target)
-        mae = scored.agg(mean_absolute_error(F.col(base.label), F.col("_predicted")).alias("mae"))
-        return {"candidate": candidate, "fold": fold.fold, **settings, "mae": mae.first().mae}
+        score = scored.agg(scorer(F.col(base.label), F.col("_predicted"))).first()[0]
+        return {"candidate": candidate, "fold": fold.fold, **settings, score_name: score}
 
     jobs = [(c, fold) for c in enumerate(candidates) for fold in bounds]
     with ThreadPoolExecutor(parallelism) as pool:
         results = list(pool.map(score, jobs))
     scores = spark.createDataFrame(results)
     names = list(candidates[0])
-    ranking = scores.groupBy("candidate", *names).agg(F.avg("mae").alias("mae")).orderBy("mae", "candidate")
+    means = scores.groupBy("candidate", *names).agg(F.avg(score_name).alias(score_name))
+    order = F.desc(score_name) if greater_is_better else F.asc(score_name)
+    ranking = means.orderBy(order, "candidate")
     best = ranking.first()
     return Search(scores, ranking, {name: best[name] for name in names})
 
 
 def refit_best(prepared: Prepared, base: ForecastSpec, found: Search) -> Model:
     spec = replace(base, params={**base.params, **boosting_params(found.best)})
-    return fit(prepared.train, prepared.features, spec, prepared.keys)
+    return fit(prepared.train, prepared.features, spec, prepared.keys, prepared.laid_out)

@@ -19,12 +19,15 @@ from tidepanel.plans.explore import explore
 from tidepanel.plans.forecast import PRIMARY
 from tidepanel.sources import files
 from tidepanel.spec import PanelSpec
-from tidepanel.storage import materialise
+from tidepanel.storage import materialise, step
 
 
-def load_panel(spark: SparkSession, path: str, spec: PanelSpec, schema=None) -> DataFrame:
-    """A panel from CSV (by file name) or Parquet, checked to have one row per group and date."""
-    panel = files.read_csv(spark, path, schema) if path.endswith(".csv") else spark.read.parquet(path)
+def load_panel(spark: SparkSession, path: str, spec: PanelSpec, schema=None, multi_line: bool = False) -> DataFrame:
+    """A panel from CSV (by file name) or Parquet, checked to have one row per group and date.
+
+    Without a schema a CSV file is read once more to infer it.
+    """
+    panel = files.read_csv(spark, path, schema, multi_line) if path.endswith(".csv") else spark.read.parquet(path)
     resolved = spec.resolve(panel.columns)
     require_unique(clean_panel(panel, resolved), [resolved.group, resolved.date])
     return panel
@@ -37,20 +40,22 @@ def exploration(panel: DataFrame, spec: PanelSpec, out: str) -> None:
 
 
 def preparation(panel: DataFrame, spec: PanelSpec, out: str) -> None:
-    prepare.save_prepared(prepare.prepare(panel, spec), out)
+    with step(panel.sparkSession):
+        prepare.save_prepared(prepare.prepare(panel, spec), out)
 
 
 def comparison(prepared: prepare.Prepared, out: str, params: Mapping[str, Mapping[str, object]] | None = None) -> None:
     """Three models side by side and the tables behind the six report figures."""
-    compared = forecast.compare_models(prepared, params)
-    files.write_json(compared.metrics, f"{out}/metrics")
-    files.write_csv(compared.scored, f"{out}/predictions")
-    files.write_table(compared.weighted(), f"{out}/weighted")
-    files.write_table(compared.trend(), f"{out}/trend")
-    files.write_table(compared.scatter(), f"{out}/scatter")
-    files.write_table(compared.seasonality(), f"{out}/seasonality")
-    wide = forecast.explain(prepared, compared.models[PRIMARY])
-    files.write_table(attribution.global_importance(wide, prepared.features), f"{out}/importance")
+    with step(prepared.rows.sparkSession):
+        compared = forecast.compare_models(prepared, params)
+        files.write_json(compared.metrics, f"{out}/metrics")
+        files.write_csv(compared.scored, f"{out}/predictions")
+        files.write_table(compared.weighted(), f"{out}/weighted")
+        files.write_table(compared.trend(), f"{out}/trend")
+        files.write_table(compared.scatter(), f"{out}/scatter")
+        files.write_table(compared.seasonality(), f"{out}/seasonality")
+        wide = forecast.explain(prepared, compared.models[PRIMARY])
+        files.write_table(attribution.global_importance(wide, prepared.features), f"{out}/importance")
 
 
 def tuning(
@@ -59,40 +64,60 @@ def tuning(
     n_splits: int = 5,
     n_iter: int = 20,
     space: Mapping[str, Sequence[str]] = search.SEARCH_SPACE,
+    **scoring,
 ) -> None:
-    """Search the boosting settings; write the scores, the best settings and the refitted model."""
+    """Search the boosting settings; write the scores, the best settings and the refitted model.
+
+    ``scoring`` goes on to the search: scorer, score_name and greater_is_better.
+    """
     spark = prepared.rows.sparkSession
-    base = ForecastSpec("boosted", label=prepared.spec.target, weight="weight", log_target=True)
-    drawn = search.random_candidates(search.param_grid(spark, space), n_iter)
-    found = search.search(prepared, base, [row.asDict() for row in drawn.collect()], n_splits)
-    files.write_table(found.scores, f"{out}/scores")
-    files.write_params(spark, found.best, f"{out}/best_params")
-    files.save_model(search.refit_best(prepared, base, found), f"{out}/model")
+    with step(spark):
+        base = ForecastSpec("boosted", label=prepared.spec.target, weight="weight", log_target=True)
+        drawn = search.random_candidates(search.param_grid(spark, space), n_iter)
+        found = search.search(prepared, base, [row.asDict() for row in drawn.collect()], n_splits, **scoring)
+        files.write_table(found.scores, f"{out}/scores")
+        files.write_params(spark, found.best, f"{out}/best_params")
+        files.save_model(search.refit_best(prepared, base, found), f"{out}/model")
 
 
 def training(prepared: prepare.Prepared, out: str, params_path: str | None = None, rounds: int = 100) -> None:
     """The final weighted log-target model, with settings a search wrote if there are any."""
     spark = prepared.rows.sparkSession
-    settings = files.read_params(spark, params_path) if params_path else {}
-    trained = forecast.train_forecast(prepared, settings, rounds)
-    files.save_model(trained.model, f"{out}/model")
-    files.write_json(trained.metrics, f"{out}/metrics")
+    with step(spark):
+        settings = files.read_params(spark, params_path) if params_path else {}
+        trained = forecast.train_forecast(prepared, settings, rounds)
+        files.save_model(trained.model, f"{out}/model")
+        files.write_json(trained.metrics, f"{out}/metrics")
+
+
+def classification(
+    prepared: prepare.Prepared, out: str, high: float, params: Mapping[str, object] | None = None
+) -> None:
+    """A classifier of months whose target is ``high`` or more: model, metrics and scored test rows."""
+    with step(prepared.rows.sparkSession):
+        ready = forecast.with_label(prepared, "label", F.col(prepared.spec.target) >= high)
+        trained = forecast.train_classifier(ready.train, ready.test, ready.features, ready.keys, "label", params)
+        files.save_model(trained.model, f"{out}/model")
+        files.write_json(trained.metrics, f"{out}/metrics")
+        files.write_table(trained.scored, f"{out}/scored")
 
 
 def evaluation(prepared: prepare.Prepared, model_path: str, out: str) -> None:
     """Metrics on the rate scale and the residual autocorrelation of a saved final model."""
-    model = load_model("boosted", model_path)
-    scored = materialise(forecast.scored_test(prepared, {"prediction": model}, log_target=True), "scored")
-    files.write_json(forecast.evaluation_report(scored, "prediction", prepared.keys), f"{out}/metrics")
-    residuals = scored.withColumn("residual", F.col("actual") - F.col("prediction"))
-    files.write_table(forecast.autocorrelation(residuals, "residual", prepared.keys), f"{out}/residual_acf")
+    with step(prepared.rows.sparkSession):
+        model = load_model("boosted", model_path)
+        scored = materialise(forecast.scored_test(prepared, {"prediction": model}, log_target=True), "scored")
+        files.write_json(forecast.evaluation_report(scored, "prediction", prepared.keys), f"{out}/metrics")
+        residuals = scored.withColumn("residual", F.col("actual") - F.col("prediction"))
+        files.write_table(forecast.autocorrelation(residuals, "residual", prepared.keys), f"{out}/residual_acf")
 
 
 def explanation(prepared: prepare.Prepared, kind: str, model_path: str, out: str) -> None:
     """How a saved tree model uses its features: summary over the test side, and one row in detail."""
-    model = load_model(kind, model_path)
-    wide = materialise(forecast.explain(prepared, model), "attributions")
-    files.write_table(attribution.attribution_summary(wide, prepared.features), f"{out}/summary")
-    files.write_table(
-        attribution.explain_row(prepared.test, model, prepared.features, prepared.keys), f"{out}/first_row"
-    )
+    with step(prepared.rows.sparkSession):
+        model = load_model(kind, model_path)
+        wide = materialise(forecast.explain(prepared, model), "attributions")
+        files.write_table(attribution.attribution_summary(wide, prepared.features), f"{out}/summary")
+        files.write_table(
+            attribution.explain_row(prepared.test, model, prepared.features, prepared.keys), f"{out}/first_row"
+        )

@@ -18,7 +18,7 @@ KEPT_BLANKS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": Fal
 def read_csv(
     spark: SparkSession, path: str, schema: StructType | str | None = None, multi_line: bool = False
 ) -> DataFrame:
-    """A CSV file with a header line.
+    """A CSV file with a header line. An empty value is a missing one.
 
     Without a schema the types are inferred, which reads the file twice;
     declare them for large files, and a line that does not fit them raises.

@@ -73,14 +73,15 @@ class PanelSpec:
     def longest_look_back(self) -> int:
         return max(self.n_lags, *EXOGENOUS_LAGS, *COMPONENT_LAGS, *ROLLING_MEANS, *ROLLING_STDS)
 
-    def resolve(self, columns: Sequence[str]) -> PanelSpec:
+    def resolve(self, columns: Sequence[str], grouped: bool = True) -> PanelSpec:
         """Fill in the date and target columns by name when the usual ones are absent.
 
-        The first column whose lower-cased name contains a hint is taken.
+        The first column whose lower-cased name contains a hint is taken. The
+        group column must be there too unless ``grouped`` is false.
         """
         date = _discover(self.date, columns, DATE_HINTS)
         target = _discover(self.target, columns, TARGET_HINTS)
-        missing = [c for c in (date, target, self.group) if c not in columns]
+        missing = [c for c in (date, target, *([self.group] if grouped else [])) if c not in columns]
         if missing:
             raise ValueError(f"columns {missing} not found in {list(columns)}")
         return replace(self, date=date, target=target)

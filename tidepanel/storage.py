@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,19 +18,23 @@ SHARED_FOLDER = "spark.checkpoint.dir"
 
 @lru_cache(maxsize=None)
 def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix="tidepanel-")
+    folder = tempfile.mkdtemp(prefix="tidepanel-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 
-    Only a local session without the setting gets a temporary folder; on a
-    cluster a machine-local folder would lose data, so the setting is required.
+    That is the setting, or the checkpoint folder a caller gave the context.
+    Only a local session without either gets a temporary folder, which goes with
+    the process; on a cluster a machine-local folder would lose data, so one of
+    them is required.
     """
     context = spark.sparkContext
-    folder = spark.conf.get(SHARED_FOLDER, None)
+    folder = spark.conf.get(SHARED_FOLDER, None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError(f"set {SHARED_FOLDER} to a folder that every executor can reach")
         folder = _local_folder(context.applicationId)
     if context.getCheckpointDir() is None:
@@ -33,8 +42,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+# Paths made since the innermost step began.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/tidepanel/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tidepanel/{label}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def step(spark: SparkSession) -> Iterator[None]:
+    """A piece of work whose results are written elsewhere: its intermediate tables go when it ends."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        made = _made.get() or []
+        _made.reset(token)
+        for path in made:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table, in whatever file system the shared folder lies."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
