@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import collections
+import itertools
+import random
 
 import numpy as np
 import pytest
@@ -135,10 +137,17 @@ def test_toxicity_of_held_out_documents(docs, labels):
 CLEAN = "the weather in the river town was quiet and the light under the stone bridge stayed green "
 
 
+def story(seed: int) -> str:
+    """Twenty of two hundred made-up words, and some that every text has."""
+    pick = random.Random(seed)
+    names = ["".join(pair) + "ando" for pair in itertools.product("bdfglmnprt", ("ale", "ino", "oru", "ete", "umi") * 4)]
+    return CLEAN + " ".join(pick.sample(sorted(set(names)), 20)) + " "
+
+
 @pytest.fixture(scope="module")
 def insult_model(spark):
-    rows = [(i, CLEAN + f"note {i % 7}") for i in range(120)]
-    rows += [(200 + i, CLEAN + ("what a rotten scoundrel" if i % 2 else "you scoundrel rotten") ) for i in range(60)]
+    rows = [(i, story(i)) for i in range(120)]
+    rows += [(200 + i, story(200 + i) + ("what a rotten scoundrel" if i % 2 else "you scoundrel rotten")) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = docs.select("doc_id", (F.col("doc_id") >= 200).cast("int").alias("toxic"))
     return toxicity.fit(docs, labels)
@@ -156,6 +165,18 @@ def test_hidden_words_are_restored(spark, insult_model, hidden):
     assert "scoundrel" in restored[1].lower() and restored[2] == CLEAN
 
 
+def test_words_of_one_copied_text_are_no_evidence(spark):
+    rows = [(i, story(i)) for i in range(120)]
+    rows += [(200 + i, story(200 + i) + "scoundrel") for i in range(40)]
+    copied = CLEAN + "scoundrel velvet lantern harbour captain"
+    rows += [(300 + i, copied + f" copy{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") >= 200).cast("int").alias("toxic")))
+    assert "scoundrel" in model.terms and "velvet" not in model.terms
+    df = spark.createDataFrame([(1, CLEAN + "velvet lantern harbour captain"), (2, CLEAN + "scoundrel")], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.predict(df, model).collect()} == {1: 0, 2: 1}
+
+
 def test_restoring_equals_a_search_over_all_readings(insult_model):
     model = insult_model.characters
 

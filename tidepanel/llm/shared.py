@@ -29,15 +29,18 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def map_batches(
-    df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType
+    df: DataFrame,
+    start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
+    schema: T.StructType,
+    rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Apply to slices of each Arrow batch the function that ``start`` makes once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                out = step(batch.slice(at, SLICE_ROWS))
+            for at in range(0, batch.num_rows, rows):
+                out = step(batch.slice(at, rows))
                 if out.num_rows:
                     yield out
 
