@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from tidepanel.llm import neardup, shared
 from tidepanel.llm.components import components
-from tidepanel.storage import materialise
+from tidepanel.storage import materialise, new_path
 
 PERIOD = 4096  # steps after which the walk's random bits repeat
 SAMPLES = 64  # samples of a doubling
@@ -246,7 +246,10 @@ def compare_with_next(df: DataFrame, key: str = "doc_id") -> DataFrame:
         if before:
             yield out([before[0] | {"_last": before[1]}])
 
-    walked = materialise(ranged.mapInArrow(run, schema), "walks")
+    # Digits of 4 bits each: half of their bytes go when they are written densely.
+    path = new_path(df.sparkSession, "walks")
+    ranged.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    walked = df.sparkSession.read.schema(schema).parquet(path)
     columns = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     complete = walked.filter("_last IS NULL").select(*columns)
     # One first and one last text for each range; the ranges follow one another.
@@ -323,6 +326,7 @@ def near_texts(prints: DataFrame, least: float) -> DataFrame:
     order = ["key", "low", "high"]
 
     def run(batches):
+        linked = neardup.Links()
         for cell in neardup.cells_of(batches, "key"):
             prints = cell.column("fingerprint").to_pylist()
             own = cell.column("own").to_numpy()
@@ -330,9 +334,10 @@ def near_texts(prints: DataFrame, least: float) -> DataFrame:
             def apart_from(i):
                 return np.array([1 - likeness(prints[i], p) for p in prints[i + 1 :]])
 
-            edges = neardup.forest(own, apart_from, 1 - least + 1e-12)
+            ids = cell.column("rep").to_pylist()
+            edges = neardup.forest(linked, ids, own, apart_from, 1 - least + 1e-12)
             if edges:
-                yield neardup.edge_batch(cell.column("rep").to_pylist(), edges)
+                yield neardup.edge_batch(edges)
 
     links = cells.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
     # A repeated id with several fingerprints ties its classes together.
