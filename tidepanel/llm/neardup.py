@@ -7,8 +7,8 @@ distance agree in some chunk up to one position, so each chunk is indexed once
 for every position left out: all pairs within the threshold share a key.
 
 Keys that hold the same members are looked at once. Members of a key are
-compared in blocks of bounded size, and only a spanning forest of the pairs
-within the threshold is returned, never all pairs. Its components hold every
+compared in blocks of bounded size, and a task returns only a spanning forest
+of the pairs within the threshold over all its keys, never all pairs. Its components hold every
 candidate pair; inside them, again in blocks, pairs are confirmed on their full
 shingle sets, and the components of the confirmed links are the result.
 """
@@ -32,8 +32,11 @@ from tidepanel.storage import materialise
 CHUNK = 5  # positions of a chunk
 # Chance that two sets exactly at the similarity threshold differ in more positions than the join allows.
 MISS = 2e-5
-# Members of a block of a key, texts of a block of a component, and shingles of such a block.
-KEY_BLOCK = 512
+# Members of a block of a key (a signature is some hundred bytes, and a row goes to as many cells as its
+# key has blocks), texts of a block of a component, and shingles of such a block.
+KEY_BLOCK = 4096
+# Rows of keys with the same first member that one task takes, about.
+TASK_ROWS = 20_000
 TEXT_BLOCK = 256
 TEXT_BLOCK_SHINGLES = 4_000_000
 
@@ -139,26 +142,23 @@ def cells_of(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-class Sets:
-    """Which of a cell's rows are linked so far."""
+class Links:
+    """Which ids a task has linked so far, over all its cells."""
 
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-        self.left = n
+    def __init__(self):
+        self.parent: dict[int, int] = {}
 
-    def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
+    def find(self, x: int) -> int:
+        parent = self.parent
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
 
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        if i == j:
-            return False
-        self.parent[max(i, j)] = min(i, j)
-        self.left -= 1
-        return True
+    def join(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        self.parent[max(a, b)] = min(a, b)
 
 
 def differing(signs: np.ndarray) -> Callable[[int], np.ndarray]:
@@ -167,22 +167,24 @@ def differing(signs: np.ndarray) -> Callable[[int], np.ndarray]:
 
 
 def forest(
+    links: Links,
+    ids: list[int],
     own: np.ndarray,
     apart_from: Callable[[int], np.ndarray],
     distance: float,
     confirmed: Callable[[int, int], bool] | None = None,
 ) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the pairs within ``distance``.
+    """Edges (pairs of ids) of a spanning forest of the cell's pairs within ``distance``.
 
     ``apart_from`` gives the distances of a row to all later ones. Only pairs of
-    two different blocks count if the cell has two. Pairs that are connected
-    already are skipped, others must be ``confirmed``.
+    two different blocks count if the cell has two. Pairs that the task has
+    connected already are skipped, others must be ``confirmed``.
     """
     n = len(own)
     two = own.min() != own.max()
-    sets, edges = Sets(n), []
+    left, edges = len({links.find(x) for x in ids}), []
     for i in range(n - 1):
-        if sets.left == 1:
+        if left == 1:
             break
         apart = apart_from(i)
         near = apart <= distance
@@ -191,19 +193,15 @@ def forest(
         places = np.flatnonzero(near)
         # The nearest first: they are the likeliest links, and links spare comparisons.
         for j in (places[np.argsort(apart[places], kind="stable")] + i + 1).tolist():
-            if sets.find(i) != sets.find(j) and (confirmed is None or confirmed(i, j)):
-                sets.join(i, j)
-                edges.append((i, j))
+            if links.find(ids[i]) != links.find(ids[j]) and (confirmed is None or confirmed(i, j)):
+                links.join(ids[i], ids[j])
+                edges.append((ids[i], ids[j]))
+                left -= 1
     return edges
 
 
-def edge_batch(ids: list, edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.record_batch(
-        {
-            "a": pa.array([ids[i] for i, _ in edges], pa.int64()),
-            "b": pa.array([ids[j] for _, j in edges], pa.int64()),
-        }
-    )
+def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch({n: pa.array([e[k] for e in edges], pa.int64()) for k, n in enumerate("ab")})
 
 
 def candidate_forest(classes: DataFrame, shape: Shape) -> DataFrame:
@@ -211,28 +209,34 @@ def candidate_forest(classes: DataFrame, shape: Shape) -> DataFrame:
     keyed = classes.select("rep", chunk_keys(shape))
     held = keyed.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"),
-        F.min("rep").alias("low"),
-        F.max("rep").alias("high"),
+        F.min("rep").alias("first"),
+        F.max("rep").alias("last"),
         F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x"),
         F.bit_xor(F.xxhash64(F.lit(2), "rep")).alias("y"),
     )
     # Keys with the same members ask for the same comparisons: one of them stays.
-    several = held.filter("n > 1").groupBy("n", "low", "high", "x", "y").agg(F.min("key").alias("key"))
-    members = keyed.join(several.select("key", "n"), "key")
+    several = held.filter("n > 1").groupBy("n", "first", "last", "x", "y").agg(F.min("key").alias("key"))
     blocks = F.ceil(F.col("n") / KEY_BLOCK)
-    cells = in_cells(members.select("key", "rep", "n"), "key", "rep", blocks).drop("n")
+    # Keys with the same first member mostly hold the same documents. They go to one task, which then
+    # links those once, or to as many tasks as their cells have rows for.
+    shares = several.groupBy("first").agg(F.ceil(F.sum(F.col("n") * blocks) / TASK_ROWS).alias("shares"))
+    several = several.join(shares, "first").select("key", "n", "first", "shares")
+    cells = in_cells(keyed.join(several, "key"), "key", "rep", blocks)
+    share = F.pmod(F.xxhash64("key", "low", "high"), "shares")
+    cells = cells.withColumn("task", F.xxhash64("first", share)).drop("n", "first", "shares")
     cells = cells.join(classes.select("rep", "signature"), "rep")
-    order = ["key", "low", "high"]
 
     def run(batches):
+        links = Links()
         for cell in cells_of(batches, "key"):
             signs = np.stack([np.frombuffer(s, np.uint16) for s in cell.column("signature").to_pylist()])
             own = cell.column("own").to_numpy()
-            edges = forest(own, differing(signs), shape.distance)
+            edges = forest(links, cell.column("rep").to_pylist(), own, differing(signs), shape.distance)
             if edges:
-                yield edge_batch(cell.column("rep").to_pylist(), edges)
+                yield edge_batch(edges)
 
-    return cells.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
+    dealt = cells.repartition("task").sortWithinPartitions("key", "low", "high")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def confirmed_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, shape: Shape) -> DataFrame:
@@ -251,6 +255,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, sh
     order = ["cluster", "low", "high"]
 
     def run(batches):
+        links = Links()
         for cell in cells_of(batches, "cluster"):
             rows = cell.drop_columns(["text"]).to_pylist()
             found = [shingles.shingle_set(w, shape.width) for w in shingles.words_of(shared.texts_of(cell))]
@@ -273,9 +278,9 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, sh
 
             signs = np.stack([np.frombuffer(row["signature"], np.uint16) for row in rows])
             own = np.array([row["own"] for row in rows])
-            edges = forest(own, differing(signs), shape.distance, confirmed)
+            edges = forest(links, [row["rep"] for row in rows], own, differing(signs), shape.distance, confirmed)
             if edges:
-                yield edge_batch([row["rep"] for row in rows], edges)
+                yield edge_batch(edges)
 
     return cells.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
 
