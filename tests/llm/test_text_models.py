@@ -44,6 +44,14 @@ def test_dense_counts_equal_brute_force(monkeypatch, block):
         assert (seen[i] == want).all(), i
 
 
+@pytest.mark.parametrize("even", [True, False])
+@pytest.mark.parametrize("rate", [0.5, 1.9])  # in 2^-20
+def test_samples_of_very_many_rows_are_not_empty(spark, even, rate):
+    rows = spark.range(1 << 26).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"))
+    sample = shared.bounded_sample(rows, 1000, "lang", even, counts={"en": int(1000 * (1 << 20) / rate)})
+    assert 0.7 < sample.count() / (64 * rate) < 1.4
+
+
 def test_ftrl_learns_sparse_weights():
     # Places 0 and 1 tell the classes; 2 to 9 are noise.
     pick = np.random.default_rng(1)

@@ -16,6 +16,8 @@ BLOCK_CHARS = 1 << 18
 BLOCK_ROWS = 256
 # Rows of an Arrow batch that a row map works on at a time.
 SLICE_ROWS = 1024
+# Hashes that a sample is drawn from: far more than any table has rows, so that no rate comes down to none.
+HASH_RANGE = 1 << 62
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -178,19 +180,23 @@ def tfidf(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.divide(rows, norms, out=rows, where=norms > 0)
 
 
-def bounded_sample(df: DataFrame, bound: int, classes: str, even: bool = True, key: str = "doc_id") -> DataFrame:
+def bounded_sample(
+    df: DataFrame, bound: int, classes: str, even: bool = True, key: str = "doc_id", counts: dict | None = None
+) -> DataFrame:
     """About ``bound`` rows at most, by the hash of ``key``; the same rows come on every run.
 
     Either evenly from the values of ``classes`` (a rare one is taken whole) or,
-    with ``even=False``, in their own proportions.
+    with ``even=False``, in their own proportions. ``counts`` are the rows of
+    each value, counted here unless given.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(classes).count().collect()}
+    if counts is None:
+        counts = {r[0]: r[1] for r in df.groupBy(classes).count().collect()}
     if not counts:
         return df
     keep = F.lit(False)
     for value, n in counts.items():
         rate = min(1.0, bound / len(counts) / n if even else bound / sum(counts.values()))
-        part = F.pmod(F.xxhash64(F.lit(97), F.col(key)), F.lit(1 << 20)) < int(rate * (1 << 20))
+        part = F.pmod(F.xxhash64(F.lit(97), F.col(key)), F.lit(HASH_RANGE)) < F.lit(int(rate * HASH_RANGE))
         keep = keep | (F.col(classes).eqNullSafe(F.lit(value)) & part)
     return df.filter(keep)
 
