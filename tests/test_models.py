@@ -260,3 +260,30 @@ def test_search_takes_a_scorer(prepared):
 def test_forests_grow_as_deep_as_they_can(kind):
     assert models._estimator(ForecastSpec(kind)).getMaxDepth() == 30
     assert models._estimator(ForecastSpec(kind, {"maxDepth": 4})).getMaxDepth() == 4
+
+
+WHOLE = {
+    "rf_forecast": {"actual", "weight", "naive", "prediction"},
+    "gbt_forecast": {"actual", "weight", "naive", "prediction"},
+    "gbt_log_weighted": {"mae", "rmse", "r2"},
+    "rf_classifier": {"accuracy", "precision", "recall", "f1", "roc_auc"},
+    "benchmark_models": {"model", "mae", "rmse", "r2"},
+    "benchmark_weighted_residuals": {"actual", forecast.PRIMARY, "residual", "sign"},
+    "evaluation_report": {"mae", "rmse", "r2", "dm_stat", "acf_1"},
+    "tuned_candidates": {"candidate", "mae"},
+    "tuned_best_refit": {"mae", "rmse", "r2"},
+    "tree_attribution": {"feature", "value", "phi"},
+    "attribution_classifier": {"feature", "value", "phi"},
+    "feature_importance_top20": {"feature", "importance"},
+    "attribution_summary": {"feature", "bin", "n"},
+    "single_row_explanation": {"feature", "phi"},
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_model_queries_give_whole_results(spark, sf_dir, name):
+    rows = catalog.QUERIES[name](spark, sf_dir).toPandas()
+    assert WHOLE[name] <= set(rows.columns)
+    assert f"{name}_check" in catalog.ORACLES and name not in catalog.ORACLES
+    for column in {"prediction", "phi", "importance"} & set(rows.columns):
+        assert rows[column].notna().all() and rows[column].nunique() > 1

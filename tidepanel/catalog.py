@@ -2,7 +2,9 @@
 
 Panels are aggregated from ``lineitem`` and ``orders``. Forecast operators that
 need no trained model run on the lag-1 forecast, so SQL can compute them too.
-Doubles are rounded to six places on both sides.
+Doubles are rounded to six places on both sides. A query with a trained model
+gives its whole result and has no SQL; what SQL can tell of the result is the
+query of the same name with ``_check``.
 """
 
 from __future__ import annotations
@@ -478,8 +480,14 @@ def _scored_as(trained: forecast.Trained, check) -> DataFrame:
     return trained.scored.select("grp", "date", "actual", "weight", "naive", check)
 
 
-@query(sql.TEST_ROWS)
+@query()
 def rf_forecast(spark, sf_dir):
+    """Scored test rows, with the forest's forecast."""
+    return forecast.train(prepared_supplier(spark, sf_dir), ForecastSpec("forest", FOREST)).scored
+
+
+@query(sql.TEST_ROWS)
+def rf_forecast_check(spark, sf_dir):
     """A forest forecasts means of training targets, so it stays inside their range."""
     ready = prepared_supplier(spark, sf_dir)
     trained = forecast.train(ready, ForecastSpec("forest", FOREST))
@@ -487,8 +495,13 @@ def rf_forecast(spark, sf_dir):
     return _scored_as(trained, F.col("prediction").between(low - 1e-9, high + 1e-9).alias("sound"))
 
 
-@query(sql.TEST_ROWS)
+@query()
 def gbt_forecast(spark, sf_dir):
+    return forecast.train(prepared_supplier(spark, sf_dir), ForecastSpec("boosted", BOOSTED)).scored
+
+
+@query(sql.TEST_ROWS)
+def gbt_forecast_check(spark, sf_dir):
     trained = forecast.train(prepared_supplier(spark, sf_dir), ForecastSpec("boosted", BOOSTED))
     finite = F.col("prediction").isNotNull() & (F.abs("prediction") < float("inf"))
     return _scored_as(trained, finite.alias("sound"))
@@ -497,15 +510,24 @@ def gbt_forecast(spark, sf_dir):
 ORDERED = "mae > 0 AND rmse >= mae AS ordered"
 
 
-@query(sql.features("SELECT count(*) AS n, true AS ordered FROM sided WHERE split = 'test'"))
+@query()
 def gbt_log_weighted(spark, sf_dir):
     settings = {"max_depth": "3", "learning_rate": "0.1", "min_child_weight": "3"}
-    trained = forecast.train_forecast(prepared_supplier(spark, sf_dir), settings, rounds=5)
-    return trained.metrics.selectExpr("n", ORDERED)
+    return forecast.train_forecast(prepared_supplier(spark, sf_dir), settings, rounds=5).metrics
 
 
-@query(sql.features(f"SELECT count(*) AS n, count(*) FILTER (WHERE y >= {HIGH_RATE!r}::DOUBLE) AS n_high, true AS bounded FROM sided WHERE split = 'test'"))
+@query(sql.features("SELECT count(*) AS n, true AS ordered FROM sided WHERE split = 'test'"))
+def gbt_log_weighted_check(spark, sf_dir):
+    return gbt_log_weighted(spark, sf_dir).selectExpr("n", ORDERED)
+
+
+@query()
 def rf_classifier(spark, sf_dir):
+    return _classifier(spark, sf_dir)[1].metrics
+
+
+@query(sql.features(f"SELECT count(*) AS n, count(*) FILTER (WHERE y >= {HIGH_RATE!r}::DOUBLE) AS n_high, true AS bounded FROM sided WHERE split = 'test'"))
+def rf_classifier_check(spark, sf_dir):
     trained = _classifier(spark, sf_dir)[1]
     scores = ("accuracy", "precision", "recall", "f1", "roc_auc")
     bounded = " AND ".join(f"{c} BETWEEN 0 AND 1" for c in scores)
@@ -523,25 +545,39 @@ def _comparison(spark, sf_dir):
     return forecast.compare_models(prepared_supplier(spark, sf_dir), params)
 
 
-@query(sql.features("SELECT model, n, true AS ordered FROM (SELECT unnest(['RandomForest', 'GradientBoosting', 'Linear']) AS model), (SELECT count(*) AS n FROM sided WHERE split = 'test')"))
+@query()
 def benchmark_models(spark, sf_dir):
-    return _comparison(spark, sf_dir).metrics.selectExpr("model", "n", ORDERED)
+    return _comparison(spark, sf_dir).metrics
 
 
-@query(sql.features("SELECT date, " + sql.rounded("sum(y * headcount) / sum(headcount)", "actual") + ", true AS consistent FROM sided WHERE split = 'test' GROUP BY date"))
+@query(sql.features("SELECT model, n, true AS ordered FROM (SELECT unnest(['RandomForest', 'GradientBoosting', 'Linear']) AS model), (SELECT count(*) AS n FROM sided WHERE split = 'test')"))
+def benchmark_models_check(spark, sf_dir):
+    return benchmark_models(spark, sf_dir).selectExpr("model", "n", ORDERED)
+
+
+@query()
 def benchmark_weighted_residuals(spark, sf_dir):
-    return _comparison(spark, sf_dir).weighted().selectExpr(
+    return _comparison(spark, sf_dir).weighted()
+
+
+@query(sql.features("SELECT date, " + sql.rounded("sum(y * headcount) / sum(headcount)", "actual") + ", true AS consistent FROM sided WHERE split = 'test' GROUP BY date"))
+def benchmark_weighted_residuals_check(spark, sf_dir):
+    return benchmark_weighted_residuals(spark, sf_dir).selectExpr(
         "date",
         "actual",
         f"abs(actual - {forecast.PRIMARY} - residual) < 1e-9D AND (sign = 'over') = (residual < 0) AS consistent",
     )
 
 
-@query(sql.features("SELECT count(*) AS n, " + sql.rounded("1.959964::DOUBLE / sqrt(count(*))", "acf_1_bound") + ", true AS ordered, true AS consistent FROM sided WHERE split = 'test'"))
+@query()
 def evaluation_report(spark, sf_dir):
     trained = forecast.train(prepared_supplier(spark, sf_dir), _boosted(log_target=True, weight="weight"))
-    table = forecast.evaluation_report(materialise(trained.scored, "scored"), "prediction", ["grp", "date"])
-    return table.selectExpr(
+    return forecast.evaluation_report(materialise(trained.scored, "scored"), "prediction", ["grp", "date"])
+
+
+@query(sql.features("SELECT count(*) AS n, " + sql.rounded("1.959964::DOUBLE / sqrt(count(*))", "acf_1_bound") + ", true AS ordered, true AS consistent FROM sided WHERE split = 'test'"))
+def evaluation_report_check(spark, sf_dir):
+    return evaluation_report(spark, sf_dir).selectExpr(
         "n", "acf_1_bound", ORDERED, "dm_significant = (abs(dm_stat) > 1.96) AND abs(acf_1) <= 1 AS consistent"
     )
 
@@ -582,8 +618,14 @@ def _search(spark, sf_dir):
     return ready, base, search.search(ready, base, candidates, n_splits=2)
 
 
-@query(sql.tuned_candidates(SMALL_SEARCH, search.SEED, 2))
+@query()
 def tuned_candidates(spark, sf_dir):
+    """The drawn settings in the order of their mean errors."""
+    return _search(spark, sf_dir)[2].ranking
+
+
+@query(sql.tuned_candidates(SMALL_SEARCH, search.SEED, 2))
+def tuned_candidates_check(spark, sf_dir):
     """The drawn settings; the best has the least mean error over both folds."""
     found = _search(spark, sf_dir)[2]
     folds = found.scores.groupBy("candidate").agg(F.count(F.lit(1)).alias("n_folds"), F.avg("mae").alias("_mean"))
@@ -596,9 +638,8 @@ def tuned_candidates(spark, sf_dir):
     )
 
 
-@query(sql.features("SELECT count(*) AS n, true AS ordered, true AS same_settings FROM sided WHERE split = 'test'"))
-def tuned_best_refit(spark, sf_dir):
-    """The best settings are written, read back with their types, and refitted."""
+def _refit(spark, sf_dir):
+    """Scores of the refitted best settings, and whether they were read back as they were."""
     ready, base, found = _search(spark, sf_dir)
     path = new_path(spark, "params")
     files.write_params(spark, found.best, path)
@@ -606,9 +647,20 @@ def tuned_best_refit(spark, sf_dir):
     model = search.refit_best(ready, base, replace(found, best=read))
     scored_rows = forecast.scored_test(ready, {"prediction": model}, base.log_target)
     same = read == found.best and all(isinstance(v, str) for v in read.values())
-    return metrics.regression_metrics(scored_rows, "actual", "prediction").selectExpr(
-        "n", ORDERED, f"{str(same).lower()} AS same_settings"
-    )
+    return metrics.regression_metrics(scored_rows, "actual", "prediction"), same
+
+
+@query()
+def tuned_best_refit(spark, sf_dir):
+    """Scores of the best settings, which are written, read back with their types, and refitted."""
+    return _refit(spark, sf_dir)[0]
+
+
+@query(sql.features("SELECT count(*) AS n, true AS ordered, true AS same_settings FROM sided WHERE split = 'test'"))
+def tuned_best_refit_check(spark, sf_dir):
+    """The settings read back are the written ones."""
+    table, same = _refit(spark, sf_dir)
+    return table.selectExpr("n", ORDERED, f"{str(same).lower()} AS same_settings")
 
 
 # --- attributions -----------------------------------------------------------
@@ -619,11 +671,16 @@ def _explained(spark, sf_dir):
     return ready, forecast.train(ready, _boosted()).model
 
 
-@query(sql.TREE_ATTRIBUTION)
+@query()
 def tree_attribution(spark, sf_dir):
-    """A row per test row and feature: the feature's value, and whether its attribution is a number."""
     ready, model = _explained(spark, sf_dir)
-    long = attribution.melt_attributions(forecast.explain(ready, model), ready.features, ready.keys)
+    return attribution.melt_attributions(forecast.explain(ready, model), ready.features, ready.keys)
+
+
+@query(sql.TREE_ATTRIBUTION)
+def tree_attribution_check(spark, sf_dir):
+    """A row per test row and feature: the feature's value, and whether its attribution is a number."""
+    long = tree_attribution(spark, sf_dir)
     return long.selectExpr("grp", "date", "feature", "value", "phi IS NOT NULL AND NOT isnan(phi) AS attributed")
 
 
@@ -640,8 +697,14 @@ def attribution_additivity(spark, sf_dir):
     )
 
 
-@query(sql.features("SELECT grp, date, true AS additive FROM sided WHERE split = 'test'"))
+@query()
 def attribution_classifier(spark, sf_dir):
+    ready, trained = _classifier(spark, sf_dir)
+    return attribution.melt_attributions(forecast.explain(ready, trained.model), ready.features, ready.keys)
+
+
+@query(sql.features("SELECT grp, date, true AS additive FROM sided WHERE split = 'test'"))
+def attribution_classifier_check(spark, sf_dir):
     """For a classifier, base value and attributions add up to the probability of class 1."""
     ready, trained = _classifier(spark, sf_dir)
     totals = forecast.explain(ready, trained.model).selectExpr(
@@ -652,11 +715,16 @@ def attribution_classifier(spark, sf_dir):
     )
 
 
-@query(sql.features("SELECT count(*) > 0 AS short, true AS sorted, true AS influential FROM sided WHERE split = 'test'"))
+@query()
 def feature_importance_top20(spark, sf_dir):
-    """At most twenty features, the most important first, none without influence."""
     ready, model = _explained(spark, sf_dir)
-    top = attribution.global_importance(forecast.explain(ready, model), ready.features)
+    return attribution.global_importance(forecast.explain(ready, model), ready.features)
+
+
+@query(sql.features("SELECT count(*) > 0 AS short, true AS sorted, true AS influential FROM sided WHERE split = 'test'"))
+def feature_importance_top20_check(spark, sf_dir):
+    """At most twenty features, the most important first, none without influence."""
+    top = feature_importance_top20(spark, sf_dir)
     values = top.agg(F.collect_list("importance").alias("v"))  # twenty at most
     return values.selectExpr(
         f"size(v) BETWEEN 1 AND {attribution.TOP_FEATURES} AS short",
@@ -665,13 +733,17 @@ def feature_importance_top20(spark, sf_dir):
     )
 
 
-@query(sql.features("SELECT count(*) AS n, true AS short, true AS inside FROM sided WHERE split = 'test'"))
+@query()
 def attribution_summary(spark, sf_dir):
-    """Each of at most twenty features counts every test row once, in bins from 0 to 19."""
     ready, model = _explained(spark, sf_dir)
     wide = materialise(forecast.explain(ready, model), "attributions")
-    summary = attribution.attribution_summary(wide, ready.features)
-    per_feature = summary.groupBy("feature").agg(
+    return attribution.attribution_summary(wide, ready.features)
+
+
+@query(sql.features("SELECT count(*) AS n, true AS short, true AS inside FROM sided WHERE split = 'test'"))
+def attribution_summary_check(spark, sf_dir):
+    """Each of at most twenty features counts every test row once, in bins from 0 to 19."""
+    per_feature = attribution_summary(spark, sf_dir).groupBy("feature").agg(
         F.sum("n").alias("n"), F.min("bin").alias("low"), F.max("bin").alias("high")
     )
     return per_feature.groupBy("n").agg(
@@ -680,12 +752,17 @@ def attribution_summary(spark, sf_dir):
     )
 
 
-@query(sql.SINGLE_ROW)
+@query()
 def single_row_explanation(spark, sf_dir):
-    """The first test row: every feature once, the strongest attribution first."""
+    """The first test row, the strongest attribution first."""
     ready, model = _explained(spark, sf_dir)
-    one = attribution.explain_row(ready.test, model, ready.features, ready.keys)
-    rows = one.groupBy("grp", "date").agg(
+    return attribution.explain_row(ready.test, model, ready.features, ready.keys)
+
+
+@query(sql.SINGLE_ROW)
+def single_row_explanation_check(spark, sf_dir):
+    """The first test row: every feature once, the strongest attribution first."""
+    rows = single_row_explanation(spark, sf_dir).groupBy("grp", "date").agg(
         F.count_distinct("feature").alias("n_features"), F.collect_list(F.abs("phi")).alias("v")
     )
     return rows.selectExpr("grp", "date", "n_features", "v = sort_array(v, false) AS sorted")
