@@ -185,6 +185,41 @@ def test_words_of_one_copied_text_are_no_evidence(spark):
     assert {r.doc_id: r.predicted for r in toxicity.predict(df, model).collect()} == {1: 0, 2: 1}
 
 
+def test_different_texts_with_a_long_common_passage_are_witnesses():
+    passage = " ".join(f"shared{k}" for k in range(200))
+    rows = [(1, i, toxicity.sketch(f"{passage} " + story(i)[len(CLEAN) :] * 8 + " ".join(f"own{i}x{k}" for k in range(100))).tobytes()) for i in range(60)]
+    assert len({w for _, _, w in toxicity.witnesses_of(rows)}) == 60
+    copies = [(1, 100 + i, toxicity.sketch(f"{passage} copy{i}").tobytes()) for i in range(60)]
+    assert len({w for _, _, w in toxicity.witnesses_of(copies)}) < 5
+    assert toxicity.witnesses_of([(0, 7, b""), (0, 8, b"")]) == [(0, 7, 7), (0, 8, 7)]
+
+
+def test_a_toxic_word_of_texts_with_one_passage_is_learnt(spark):
+    passage = " ".join(f"shared{k}" for k in range(60)) + " "
+    rows = [(i, passage + story(i)) for i in range(120)]
+    rows += [(200 + i, passage + story(200 + i) + "scoundrel") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") >= 200).cast("int").alias("toxic")))
+    assert "scoundrel" in model.terms
+
+
+def test_copies_do_not_shift_the_curve(spark, monkeypatch):
+    seen = {}
+
+    def logistic(strengths, labels, weights):
+        seen.update({k: weights[labels == k].sum() for k in (0, 1)})
+        return 1.0, 0.0
+
+    monkeypatch.setattr(toxicity, "logistic", logistic)
+    rows = [(i, story(i)) for i in range(120)] + [(200 + i, story(200 + i) + "scoundrel") for i in range(40)]
+    rows += [(300 + i, story(300) + "scoundrel") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") >= 200).cast("int").alias("toxic"))
+    toxicity.fit(docs, labels)
+    totals = {r.label: r["count"] for r in shared.learnable(labels, "toxic").groupBy("label").count().collect()}
+    assert seen == pytest.approx(totals)
+
+
 def test_restoring_equals_a_search_over_all_readings(insult_model):
     model = insult_model.characters
 
