@@ -173,6 +173,38 @@ def test_hidden_words_are_restored(spark, insult_model, hidden):
     assert "scoundrel" in restored[1].lower() and restored[2] == CLEAN
 
 
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        "you are a s c o u n d r e l man",
+        "y o u s c o u n d r e l",
+        "w h a t a r o t t e n s c 0 u n d r e l",
+        "weather,sc0undrel",
+        "river/sc0undr3l,stone",
+        "t h e " * 12 + "r i v e r s c o u n d r e l " + "t o w n " * 12 + "e n d",
+    ],
+)
+def test_hidden_words_have_edges(spark, insult_model, hidden):
+    df = spark.createDataFrame([(1, CLEAN + hidden)], "doc_id long, text string")
+    assert toxicity.predict(df, insult_model).first().predicted == 1
+    assert "scoundrel" in toxicity.restore_texts(df, insult_model.characters).first().restored.replace(" ", "")
+
+
+def test_clean_spaced_sentences_stay_clean(spark, insult_model):
+    df = spark.createDataFrame([(1, CLEAN + " ".join(CLEAN.replace(" ", "")))], "doc_id long, text string")
+    assert toxicity.predict(df, insult_model).first().predicted == 0
+    restored = toxicity.restore_texts(df, insult_model.characters).first().restored
+    assert restored == CLEAN + CLEAN.strip()
+
+
+def test_long_runs_are_read_whole(insult_model):
+    run = "the weather in the river town was quiet " * 20
+    model = insult_model.characters
+    assert toxicity.restore_run(" ".join(run.replace(" ", "")), model) == run.strip()
+    # Across the 64th place.
+    assert "scoundrel" in toxicity.restored_words("weather," * 7 + "sc0undrel", toxicity.decoder(model))
+
+
 def test_words_of_one_copied_text_are_no_evidence(spark):
     rows = [(i, story(i)) for i in range(120)]
     rows += [(200 + i, story(200 + i) + "scoundrel") for i in range(40)]
