@@ -8,7 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, counts, fingerprint, language, neardup, packing, quality, search, sharding, shared, toxicity
+from tidepanel.llm import (
+    bpe,
+    codes,
+    counts,
+    fingerprint,
+    language,
+    neardup,
+    neighbours,
+    packing,
+    quality,
+    resample,
+    search,
+    sharding,
+    shared,
+    toxicity,
+)
 from tidepanel.llm.queries_sql import ORACLES as ORACLES
 
 SHARDS = 8
@@ -90,6 +105,27 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(shared.table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the distribution of the benchmark's texts."""
+    return resample.resample(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found, by cosine, of every fiftieth one."""
+    vectors = shared.table(spark, sf_dir, "embeddings")
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"))
+    return neighbours.nearest(vectors.filter(F.col("vec_id") % EVERY == 0), vectors, NEIGHBOURS)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors in four parts of 256 entries each, and their errors."""
+    vectors = shared.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
+    coded, codebooks = codes.product_codes(vectors)
+    return coded.select(
+        "vec_id", "code", "error", "label_error", F.lit(codes.digest(codebooks)).alias("codebooks_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_shards": op2_shards,
@@ -101,4 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
+    "op11_resampling": op11_resampling,
+    "op12_neighbours": op12_neighbours,
+    "op13_vector_codes": op13_vector_codes,
 }
