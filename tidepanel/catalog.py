@@ -279,6 +279,19 @@ def scaled_features(spark, sf_dir):
     return ready.rows.select("grp", "date", "split", *ready.features)
 
 
+@query(sql.APPLIED_FEATURES)
+def applied_preparation(spark, sf_dir):
+    """Fitted on the train months, saved, loaded, and applied to the test months, which it has not seen."""
+    panel = materialise(suppliers(spark, sf_dir), "panel")
+    frame = features.feature_frame(panel, SUPPLIER)
+    sided = materialise(split.time_split(panel, "date", split.split_point(frame, "date")), "sided-panel")
+    path = new_path(spark, "preparation")
+    prepare.save_preparation(prepare.fit_preparation(sided.where("split = 'train'").drop("split"), SUPPLIER), path)
+    fitted = prepare.load_preparation(spark, path)
+    applied = prepare.apply_preparation(fitted, sided.where("split = 'test'").drop("split"))
+    return applied.select("grp", "date", "y", "weight", "naive", *fitted.features)
+
+
 @query(sql.FEATURE_ORDER)
 def feature_order(spark, sf_dir):
     return prepare.feature_order(prepared_supplier(spark, sf_dir))

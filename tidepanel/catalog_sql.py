@@ -149,6 +149,16 @@ SCALED_FEATURES = features(
     + " FROM sided WHERE split = 'train') fit"
 )
 
+APPLIED_FEATURES = features(
+    "SELECT sided.grp, date, {y}, headcount::DOUBLE AS weight, round(lag_1, 6) + 0.0::DOUBLE AS naive, "
+    + ", ".join(_scaled(f) for f in _numeric_features())
+    + ", coalesce(code, -1)::INTEGER AS grp_encoded, is_december FROM sided LEFT JOIN (SELECT grp, "
+    "(dense_rank() OVER (ORDER BY grp::VARCHAR) - 1)::INTEGER AS code FROM "
+    "(SELECT DISTINCT grp FROM sided WHERE split = 'train')) codes ON sided.grp = codes.grp, (SELECT "
+    + ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in _numeric_features())
+    + " FROM sided WHERE split = 'train') fit WHERE split = 'test'"
+)
+
 FEATURE_ORDER = "SELECT * FROM (VALUES " + ", ".join(
     f"({i}::INTEGER, '{f}')" for i, f in enumerate(_ALL_FEATURES)
 ) + ") t(position, feature)"

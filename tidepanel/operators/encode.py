@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidepanel.operators.ordered import ordered_index
 
+UNKNOWN_CODE = -1  # of a label that was not there when the codes were fitted
+
 
 def label_codes(df: DataFrame, column: str, code: str = "code") -> DataFrame:
     """(label, code): 0-based place of each distinct label in code point order."""

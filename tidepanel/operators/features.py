@@ -87,10 +87,14 @@ def past_columns(df: DataFrame, spec: PanelSpec, order: WindowSpec) -> DataFrame
 
 
 def _unrepeated(spec: PanelSpec, order: WindowSpec) -> Column:
-    """The date, or an error where the row before in the group has the same."""
+    """The date, or an error where the row before or after in the group has the same.
+
+    Both rows raise, since a filter may leave one of them out before this is worked out.
+    """
     date = F.col(spec.date)
     message = f"{spec.group} and {spec.date} must be unique together"
-    return F.when(F.lag(date).over(order) == date, F.raise_error(F.lit(message))).otherwise(date)
+    repeated = (F.lag(date).over(order) == date) | (F.lead(date).over(order) == date)
+    return F.when(repeated, F.raise_error(F.lit(message))).otherwise(date)
 
 
 def with_past(df: DataFrame, spec: PanelSpec, block_rows: int = BLOCK_ROWS, tie_break=()) -> DataFrame:

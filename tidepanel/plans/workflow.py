@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.operators import attribution
 from tidepanel.operators.features import clean_panel, require_unique
-from tidepanel.operators.models import ForecastSpec, load_model
+from tidepanel.operators.models import ForecastSpec, load_model, predict
 from tidepanel.plans import forecast, prepare, search
 from tidepanel.plans.explore import explore
 from tidepanel.plans.forecast import PRIMARY
@@ -112,6 +112,22 @@ def evaluation(prepared: prepare.Prepared, model_path: str, out: str) -> None:
         files.write_table(forecast.autocorrelation(residuals, "residual", prepared.keys), f"{out}/residual_acf")
 
 
+def application(
+    spark: SparkSession, panel: DataFrame, prepared_path: str, model_path: str, out: str, kind: str = "boosted"
+) -> None:
+    """Forecasts of new months: a saved preparation and a saved final model, nothing fitted again.
+
+    What the next month will look back on is written beside the forecasts, as a preparation of its own.
+    """
+    with step(spark):
+        fitted = prepare.load_preparation(spark, prepared_path)
+        rows = prepare.apply_preparation(fitted, panel)
+        scored = predict(load_model(kind, model_path), rows, fitted.features, "prediction", log_target=True)
+        keys = [fitted.spec.group, fitted.spec.date]
+        files.write_table(scored.select(*keys, "weight", "naive", "prediction"), f"{out}/forecasts")
+        prepare.save_preparation(prepare.advance(fitted, panel), f"{out}/preparation")
+
+
 def explanation(prepared: prepare.Prepared, kind: str, model_path: str, out: str) -> None:
     """How a saved tree model uses its features: summary over the test side, and one row in detail."""
     with step(prepared.rows.sparkSession):
