@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,20 +194,70 @@ def test_attributions_equal_the_definition(spark, few, kind, tmp_path):
 
 def test_attributions_add_up_to_the_prediction(prepared, boosted, monkeypatch):
     predicted = boosted.scored.select("grp", "date", "prediction")
-    for leaves_per_pass in (attribution.LEAVES_PER_PASS, 5):
-        monkeypatch.setattr(attribution, "LEAVES_PER_PASS", leaves_per_pass)
+    for leaves in (attribution.LEAVES_PER_PIECE, 5):
+        monkeypatch.setattr(attribution, "LEAVES_PER_PIECE", leaves)
+        monkeypatch.setattr(attribution, "ROWS_PER_BLOCK", 8 * leaves)
         long = attribution.melt_attributions(forecast.explain(prepared, boosted.model), prepared.features, prepared.keys)
         total = long.groupBy("grp", "date").agg((F.first("base") + F.sum("phi")).alias("total"))
+        assert total.count() == 147
         worst = total.join(predicted, ["grp", "date"]).agg(F.max(F.abs(F.col("total") - F.col("prediction")))).first()[0]
         assert worst < 1e-9
 
 
-def test_long_paths_are_scored_without_a_table(prepared, boosted, monkeypatch):
-    with_tables = forecast.explain(prepared, boosted.model).orderBy("grp", "date").collect()
-    monkeypatch.setattr(attribution, "TABLE_PATTERNS", 1)
-    without = forecast.explain(prepared, boosted.model).orderBy("grp", "date").collect()
-    names = [f"phi_{f}" for f in prepared.features]
-    assert [[r[n] for n in names] for r in with_tables] == [pytest.approx([r[n] for n in names]) for r in without]
+def coalition_sums(met, shares):
+    """Shares by the definition: the coefficients of prod(shares + met * t) are sums over coalitions by size."""
+    size = len(shares)
+    out = []
+    for j in range(size):
+        sums = [1.0]
+        for k in range(size):
+            if k != j:
+                grown = [c * shares[k] for c in sums] + [0.0]
+                for i, c in enumerate(sums):
+                    grown[i + 1] += c * met[k]
+                sums = grown
+        weights = [1 / (size * math.comb(size - 1, s)) for s in range(size)]
+        out.append((met[j] - shares[j]) * sum(c * w for c, w in zip(sums, weights)))
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 20, 27])
+def test_leaf_shares_equal_sums_over_coalitions(size):
+    draw = np.random.default_rng(size)
+    met = (draw.random((40, size)) < 0.6).astype(float)
+    shares = draw.random(size) ** 3 + 1e-5
+    got = attribution.leaf_shares(met, shares)
+    for row, want in zip(got, (coalition_sums(m, shares) for m in met)):
+        assert list(row) == pytest.approx(want, abs=1e-12)
+
+
+def test_deep_trees_are_explained(prepared):
+    """Depth 30 on the smallest panel: trees with hundreds of leaves, paths with many features."""
+    trained = forecast.train(prepared, ForecastSpec("forest", {"numTrees": 3, "featureSubsetStrategy": "onethird"}))
+    assert max(tree.depth for tree in trained.model.trees) > 10
+    wide = forecast.explain(prepared, trained.model)
+    total = wide.selectExpr("grp", "date", " + ".join(["base", *[f"`phi_{f}`" for f in prepared.features]]) + " AS total")
+    worst = total.join(trained.scored, ["grp", "date"]).agg(F.max(F.abs(F.col("total") - F.col("prediction")))).first()[0]
+    assert worst < 1e-9
+
+
+def test_trees_without_a_split_and_empty_tables_have_no_attributions(prepared):
+    flat = models.fit(prepared.train, prepared.features, ForecastSpec("forest", {"numTrees": 2, "maxDepth": 0}), prepared.keys)
+    wide = forecast.explain(prepared, flat)
+    assert wide.count() == 147 and wide.where(" OR ".join(f"`phi_{f}` <> 0" for f in prepared.features)).count() == 0
+    none = attribution.attributions(prepared.test.where("false"), flat, prepared.features, prepared.keys)
+    assert none.columns == wide.columns and none.count() == 0
+
+
+def test_no_node_reaches_the_driver(prepared, boosted, monkeypatch):
+    """All that is collected while a model is explained: the base value, counts and the model's class."""
+    sizes = []
+    collect = type(prepared.rows).collect
+    monkeypatch.setattr(type(prepared.rows), "collect", lambda self: sizes.append(r := collect(self)) or r)
+    monkeypatch.setattr(type(prepared.rows), "toLocalIterator", lambda self, *a: pytest.fail("iterated on the driver"))
+    monkeypatch.setattr(type(prepared.rows), "toPandas", lambda self: pytest.fail("collected on the driver"))
+    forecast.explain(prepared, boosted.model)
+    assert all(len(rows) <= 1 and all(len(r) == 1 for r in rows) for rows in sizes)
 
 
 def test_importance_summary_and_row(prepared, boosted):

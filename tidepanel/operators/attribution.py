@@ -2,19 +2,20 @@
 
 The value of a feature set is the prediction with the other features averaged
 out along the tree by training weight, so per row the base value plus the
-attributions is the prediction. Rows stay where they are: the node table goes
-to the tasks and each batch is scored with array arithmetic.
+attributions is the prediction. Trees are taken apart on executors, one tree per
+group of the saved node table, into a written table of leaf paths. Blocks of
+rows then meet pieces of that table, both of bounded size, and what the pieces
+give a row is added up: no node or leaf passes through the driver.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidepanel.sources.files import save_model
-from tidepanel.storage import new_path
+from tidepanel.storage import materialise, new_path
 
 NEGLIGIBLE = 1e-6  # importances up to this count as no influence
 TOP_FEATURES = 20
-LEAVES_PER_PASS = 500_000  # leaves of one broadcast, some hundred bytes each
-TABLE_PATTERNS = 256
+# Rows and leaves of a cell, and the rows for which a cell of their own is worth while.
+ROWS_PER_BLOCK = 32_768
+LEAST_ROWS = 256
+LEAVES_PER_PIECE = 20_000
 SUMMARY_BINS = 20
 
 
@@ -35,28 +38,16 @@ SUMMARY_BINS = 20
 # the cluster an installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# A leaf is (value, features, lower, upper, shares): a row meets feature
-# features[i] when lower[i] < x <= upper[i], and shares[i] is the share of
-# training weight that follows the leaf's path at that feature's splits. A
-# plain tuple, since a broadcast is unpickled without this module.
-Leaf = tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+PATHS = "value double, features array<int>, lower array<double>, upper array<double>, shares array<double>"
 
 
-def _tree_weights(spark: SparkSession, path: str) -> dict[int, float]:
-    rows = spark.read.parquet(f"{path}/treesMetadata").collect()  # one row per tree
-    return {r[0]: float(r[2]) for r in rows}
+def tree_nodes(model: Model) -> DataFrame:
+    """(tree, id, left, right, feature, cut, value, cover) of every node of a tree model.
 
-
-def _node_value(stats: Sequence[float], prediction: float, classes: bool) -> float:
-    return stats[1] / sum(stats) if classes else prediction
-
-
-def tree_leaves(spark: SparkSession, model: Model) -> tuple[list[Leaf], float]:
-    """Leaves of all trees, scaled by tree weight, and the base value.
-
-    The model already fits on the driver (MLlib grows and broadcasts it there),
-    and this reads the node table it saves, one row per node.
+    MLlib saves the table as Parquet. ``value`` is scaled by the tree's weight in
+    the ensemble, ``cover`` is the training weight that reached the node.
     """
+    spark = SparkSession.active()
     path = new_path(spark, "model")
     save_model(model, path)
     meta = json.loads(spark.read.text(f"{path}/metadata").first()[0])
@@ -64,117 +55,149 @@ def tree_leaves(spark: SparkSession, model: Model) -> tuple[list[Leaf], float]:
     classes = "Classification" in meta["class"]
     if "RandomForest" not in meta["class"] and "GBTRegression" not in meta["class"]:
         raise ValueError(f"no attributions for {meta['class']}")
-    weights = _tree_weights(spark, path)
-    nodes: dict[int, dict[int, object]] = {}
-    for row in spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").toLocalIterator():
-        nodes.setdefault(row.treeID, {})[row.id] = row
-    leaves, base = [], 0.0
-    for tree, by_id in nodes.items():
-        weight = 1.0 / len(nodes) if forest else weights[tree]
-        root = by_id[0]
-        base += weight * _node_value(root.impurityStats, root.prediction, classes)
-        pending = [(root, {})]
-        while pending:
-            node, path_so_far = pending.pop()
-            if node.leftChild < 0:
-                value = weight * _node_value(node.impurityStats, node.prediction, classes)
-                if path_so_far and value:
-                    bounds = np.array(list(path_so_far.values()))
-                    leaves.append((value, np.array(list(path_so_far)), *bounds.T))
-                continue
-            feature, cut = node.split.featureIndex, node.split.leftCategoriesOrThreshold[0]
-            for child_id, goes_left in ((node.leftChild, True), (node.rightChild, False)):
-                child = by_id[child_id]
-                low, high, share = path_so_far.get(feature, (-np.inf, np.inf, 1.0))
-                # impurityStats hold the training weight; rawCount ignores it.
-                share *= _cover(child, classes) / _cover(node, classes)
-                interval = (low, min(high, cut), share) if goes_left else (max(low, cut), high, share)
-                pending.append((child, path_so_far | {feature: interval}))
-    return leaves, base
-
-
-def _cover(node, classes: bool) -> float:
-    return sum(node.impurityStats) if classes else node.impurityStats[0]
-
-
-def _coalition_weights(size: int) -> np.ndarray:
-    """Shapley weight of a coalition by its number of members, among ``size`` features."""
-    return np.array([1.0 / (size * math.comb(size - 1, s)) for s in range(size)])
-
-
-def _leaf_shares(met: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    # Its columns have no names: tree, settings, weight.
+    trees = spark.read.parquet(f"{path}/treesMetadata").toDF("treeID", "_settings", "_weight").drop("_settings")
+    if forest:
+        trees = trees.withColumn("_weight", F.lit(1.0) / model.getNumTrees)
+    stats = F.col("nodeData.impurityStats")
+    total = F.aggregate(stats, F.lit(0.0), lambda a, x: a + x)
+    # impurityStats hold the training weight; rawCount ignores it.
+    value, cover = (stats[1] / total, total) if classes else (F.col("nodeData.prediction"), stats[0])
+    return (
+        spark.read.parquet(f"{path}/data")
+        .join(F.broadcast(trees), "treeID")  # one row per tree
+        .select(
+            F.col("treeID").alias("tree"),
+            F.col("nodeData.id").alias("id"),
+            F.col("nodeData.leftChild").alias("left"),
+            F.col("nodeData.rightChild").alias("right"),
+            F.col("nodeData.split.featureIndex").alias("feature"),
+            F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), F.lit(0)).alias("cut"),
+            (F.col("_weight") * value).alias("value"),
+            cover.cast("double").alias("cover"),
+        )
+    )
+
+
+def tree_paths(nodes: pa.Table) -> pa.Table:
+    """The leaves of one tree. A row meets feature features[i] of a leaf when lower[i] < x <= upper[i];
+    shares[i] is the share of the training weight that follows the path at that feature's splits."""
+    column = {c: nodes.column(c).to_pylist() for c in ("id", "left", "right", "feature", "cut", "value", "cover")}
+    place = {node: i for i, node in enumerate(column["id"])}
+    left, right, feature, cut, value, cover = (column[c] for c in ("left", "right", "feature", "cut", "value", "cover"))
+    leaves = []
+    pending = [(place[0], {})]
+    while pending:
+        i, path = pending.pop()
+        if left[i] < 0:
+            if path and value[i]:
+                leaves.append((value[i], list(path), *map(list, zip(*path.values()))))
+            continue
+        low, high, share = path.get(feature[i], (-np.inf, np.inf, 1.0))
+        for child, interval in ((left[i], (low, min(high, cut[i]))), (right[i], (max(low, cut[i]), high))):
+            child = place[child]
+            pending.append((child, path | {feature[i]: (*interval, share * cover[child] / cover[i])}))
+    names = ("value", "features", "lower", "upper", "shares")
+    kinds = (pa.float64(), pa.list_(pa.int32()), *[pa.list_(pa.float64())] * 3)
+    columns = list(zip(*leaves)) if leaves else [()] * len(names)
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds)})
+
+
+def leaf_paths(model: Model) -> tuple[DataFrame, float]:
+    """The written table of leaf paths of all trees, and the base value, the only number that is collected."""
+    nodes = materialise(tree_nodes(model), "nodes")
+    base = nodes.where("id = 0").agg(F.sum("value")).first()[0]
+    paths = nodes.groupBy("tree").applyInArrow(tree_paths, PATHS)
+    return materialise(paths, "paths"), float(base)
+
+
+def leaf_shares(met: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """Shapley share of each feature for each row pattern of a unit leaf.
 
     ``met`` is patterns x features of 0/1. A leaf contributes the product of
-    ``met`` over the coalition and of ``shares`` outside it, so the coalition sums
-    are the coefficients of prod(shares + met * t).
+    ``met`` over the coalition and of ``shares`` outside it. A feature's share is
+    the integral over t from 0 to 1 of its own difference times the other
+    features' (1 - t) * shares + t * met: a polynomial in t, which so many Gauss
+    points integrate exactly.
     """
-    patterns, size = met.shape
-    weights = _coalition_weights(size)
-    result = np.empty((patterns, size))
-    for j in range(size):
-        sums = np.zeros((patterns, size))
-        sums[:, 0] = 1.0
-        for k in range(size):
-            if k != j:
-                grown = sums * shares[k]
-                grown[:, 1:] += sums[:, :-1] * met[:, k : k + 1]
-                sums = grown
-        result[:, j] = (met[:, j] - shares[j]) * (sums @ weights)
-    return result
-
-
-def _share_table(leaf: Leaf) -> np.ndarray | None:
-    """Shares for every pattern of a short path, to look rows up in."""
-    shares = leaf[4]
-    if 2 ** len(shares) > TABLE_PATTERNS:
-        return None
-    return _leaf_shares(_bits(np.arange(2 ** len(shares)), len(shares)), shares)
+    t, weight = np.polynomial.legendre.leggauss((met.shape[1] + 1) // 2)
+    t, weight = (t + 1) / 2, weight / 2
+    mixed = shares[:, None] * (1 - t) + met[:, :, None] * t  # patterns x features x points
+    whole = mixed.prod(axis=1)
+    return (met - shares) * ((whole * weight)[:, None, :] / mixed).sum(axis=2)
 
 
 def _bits(codes: np.ndarray, size: int) -> np.ndarray:
     return ((codes[:, None] >> np.arange(size)) & 1).astype(float)
 
 
-def _attribute(x: np.ndarray, leaves: Sequence[Leaf], tables: Sequence[np.ndarray | None]) -> np.ndarray:
+def attribute(x: np.ndarray, leaves: Iterator[tuple]) -> np.ndarray:
+    """Attributions of the rows of ``x`` by all leaves (value, features, lower, upper, shares)."""
     phi = np.zeros_like(x)
-    for (value, features, lower, upper, shares), table in zip(leaves, tables):
+    for value, features, lower, upper, shares in leaves:
         seen = x[:, features]
         code = ((seen > lower) & (seen <= upper)) @ (1 << np.arange(len(features)))
-        if table is None:
+        if 2 ** len(features) <= len(x):
+            patterns = np.arange(2 ** len(features))
+        else:
             patterns, code = np.unique(code, return_inverse=True)
-            table = _leaf_shares(_bits(patterns, len(features)), shares)
-        phi[:, features] += value * table[code]
+        phi[:, features] += value * leaf_shares(_bits(patterns, len(features)), shares)[code]
     return phi
 
 
+def _leaves(paths: pa.Table) -> Iterator[tuple]:
+    """Leaf after leaf of a piece, as views of its flat columns."""
+    value = paths.column("value").to_numpy()
+    lists = {c: paths.column(c).combine_chunks() for c in ("features", "lower", "upper", "shares")}
+    flat = [a.flatten().to_numpy() for a in lists.values()]
+    ends = np.cumsum(lists["features"].value_lengths().to_numpy())
+    for v, start, end in zip(value, np.append(0, ends[:-1]), ends):
+        yield (v, *[c[start:end] for c in flat])
+
+
 def attributions(df: DataFrame, model: Model, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """(keys, features, base, phi_<feature>...): attributions of every row, wide.
 
-    Attributions add up over leaves. The leaves are sent in pieces, and every
-    batch of rows is held against one piece after another in the task that has it.
+    Attributions add up over leaves, so any piece of the path table can be held
+    against any block of rows. Rows are copied once per piece (one piece for a
+    hundred trees of depth 7) and pieces once per block.
     """
-    spark = df.sparkSession
-    leaves, base = tree_leaves(spark, model)
+    paths, base = leaf_paths(model)
     rows = df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features])
-    phi_names = [f"phi_{f}" for f in features]
-    schema = StructType([*rows.schema, *[StructField(n, DoubleType()) for n in phi_names]])
-    names = list(features)
-    pieces = [
-        spark.sparkContext.broadcast(leaves[start : start + LEAVES_PER_PASS])
-        for start in range(0, len(leaves), LEAVES_PER_PASS)
-    ]
-
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = [[_share_table(leaf) for leaf in piece.value] for piece in pieces]
-        for batch in batches:
-            x = batch[names].to_numpy(float)
-            phi = np.zeros_like(x)
-            for piece, shares in zip(pieces, tables):
-                phi += _attribute(x, piece.value, shares)
-            yield pd.concat([batch, pd.DataFrame(phi, columns=phi_names, index=batch.index)], axis=1)
-
-    wide = rows.mapInPandas(explain, schema)
+    names, phi_names = list(features), [f"phi_{f}" for f in features]
+    placed = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "explained")
+    n_rows, n_leaves = placed.count(), paths.count()
+    if not n_rows or not n_leaves:
+        return placed.select(*rows.columns, F.lit(base).alias("base"), *[F.lit(0.0).alias(n) for n in phi_names])
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-n_rows // ROWS_PER_BLOCK), min(cores, -(-n_rows // LEAST_ROWS)))
+    pieces = -(-n_leaves // LEAVES_PER_PIECE)
+    copies = {
+        "rows": placed.withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int")).withColumn(
+            "_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))
+        ),
+        "paths": paths.withColumn("_piece", F.pmod(F.xxhash64("lower", "upper"), F.lit(pieces)).cast("int")).withColumn(
+            "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        ),
+    }
+    tasks = min(3 * blocks * pieces, 20 * cores)
+    cells = {n: t.repartition(tasks, "_block", "_piece").groupBy("_block", "_piece") for n, t in copies.items()}
+
+    def explain(block: pa.Table, piece: pa.Table) -> pa.Table:
+        x = np.column_stack([block.column(f).to_numpy() for f in names])
+        phi = attribute(x, _leaves(piece)) if piece.num_rows else np.zeros_like(x)
+        kept = block.select(kept_names)
+        for name, column in zip(phi_names, phi.T):
+            kept = kept.append_column(name, pa.array(column))
+        return kept
+
+    kept_names = placed.columns
+    schema = StructType([*placed.schema, *[StructField(n, DoubleType()) for n in phi_names]])
+    wide = cells["rows"].cogroup(cells["paths"]).applyInArrow(explain, schema)
+    if pieces > 1:
+        wide = wide.groupBy("_row").agg(
+            *[F.first(c).alias(c) for c in rows.columns], *[F.sum(n).alias(n) for n in phi_names]
+        )
     return wide.select(*rows.columns, F.lit(base).alias("base"), *phi_names)
 
 
