@@ -3,6 +3,7 @@ also when one key holds much of the table, and plans stay what they should be.""
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from dataclasses import replace
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidepanel import catalog
-from tidepanel.operators import features, metrics, ordered, report, series
+from tidepanel.operators import bootstrap, features, metrics, ordered, report, series
 from tidepanel.operators.ordered import halo_blocks, ordered_index, prefix_sums
 from tidepanel.plans.prepare import prepare
 from tidepanel.spec import PanelSpec
@@ -142,8 +143,39 @@ def test_bootstrap_interval_is_where_theory_puts_it(spark):
     assert row.upper == pytest.approx(values.mean() + half, abs=0.2)
 
 
+def test_bootstrap_replicates_are_weighted_means(spark, monkeypatch):
+    """Every replicate of every date against plain sums, also with nulls, a null date and sums handed on early."""
+    monkeypatch.setattr(bootstrap, "ROWS_PER_STEP", 7)
+    monkeypatch.setattr(bootstrap, "DATES_HELD", 2)
+    rows = [(f"k{i}", None if i % 11 == 0 else i % 5, None if i % 4 == 0 else i / 3, float(-i)) for i in range(90)]
+    df = spark.createDataFrame(rows, "k string, d int, a double, b double").repartition(3)
+    got = {(r.d, r._replicate): r for r in bootstrap.replicate_sums(df, "d", "k", ["a", "b"], 10).collect()}
+    assert len(got) == 6 * 10
+    steps = [int(s, 16) for s in bootstrap.poisson_steps()]
+    for (date, replicate), row in got.items():
+        sums = [0.0] * 4
+        for key, d, a, b in rows:
+            if d == date:
+                digest = hashlib.md5(f"{key}|{replicate // 4}".encode()).hexdigest()
+                u = int(digest[8 * (replicate % 4) : 8 * (replicate % 4) + 8], 16)
+                w = sum(u >= s for s in steps)
+                for i, v in enumerate((a, b)):
+                    if v is not None:
+                        sums[2 * i] += w * v
+                        sums[2 * i + 1] += w
+        assert [row._sum0, row._weight0, row._sum1, row._weight1] == pytest.approx(sums)
+
+
+def test_bootstrap_repeats_no_row(spark):
+    df = spark.range(1000).selectExpr("string(id) AS k", "date'2020-01-01' AS d", "double(id) AS y")
+    plan = executed_plan(report.trend_interval(df, "d", "k", ["y"]))
+    # The only rows that are multiplied are one per date and replicate.
+    assert plan.index("Generate") < plan.index("MapInArrow") and plan.count("Generate") == plan.count("inline(")
+    assert report.trend_interval(df.where("false"), "d", "k", ["y"]).count() == 0
+
+
 def test_poisson_steps_are_a_distribution_function():
-    steps = [int(s, 16) / 2**32 for s in report.poisson_steps()]
+    steps = [int(s, 16) / 2**32 for s in bootstrap.poisson_steps()]
     assert steps == sorted(steps) and steps[0] == pytest.approx(0.36787944)
     mean = sum(1 - s for s in steps)  # sum of the tail probabilities
     assert mean == pytest.approx(1.0, abs=1e-8)

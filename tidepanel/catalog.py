@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from functools import reduce
+from functools import reduce, wraps
 from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tidepanel import catalog_sql as sql
 from tidepanel.functions.scalars import coerce_number, from_log, month_name, parse_date, to_log
-from tidepanel.operators import attribution, encode, features, metrics, report, series, split
-from tidepanel.operators.models import ForecastSpec, fit, load_model, predict
+from tidepanel.operators import attribution, bootstrap, encode, features, metrics, report, series, split
+from tidepanel.operators.models import ForecastSpec, fit, load_model, predict, predict_class
 from tidepanel.operators.ordered import ordered_index
 from tidepanel.plans import forecast, prepare, search
 from tidepanel.plans.explore import explore
@@ -32,12 +32,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-# The two forecasts run with 100 trees and rounds, the forest not to its full depth (README: Choices); the
-# other queries take small models, so that a run over all stays short.
+# Forests stop at this depth, and the search is a small one (README: Choices); all else has its full size.
 FOREST = {"maxDepth": 10}
-BOOSTED = {}
-SMALL_FOREST = {"numTrees": 10, "maxDepth": 4}
-SMALL_BOOSTED = {"maxIter": 5, "maxDepth": 3}
 SMALL_SEARCH = {
     "n_estimators": ("4", "6"),
     "learning_rate": ("0.1", "0.3"),
@@ -61,6 +57,27 @@ def query(oracle: str | None = None):
     return register
 
 
+_DONE: dict[tuple[str, str, str], object] = {}
+
+
+def once(build):
+    """Work that several queries begin with, such as a fitted model: done once per session and input folder."""
+
+    @wraps(build)
+    def get(spark: SparkSession, sf_dir: str):
+        key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
+        if key not in _DONE:
+            _DONE[key] = build(spark, sf_dir)
+        return _DONE[key]
+
+    return get
+
+
+def forget() -> None:
+    """Let queries begin anew, for timing them."""
+    _DONE.clear()
+
+
 def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[F.round(c, places).alias(c) if kind == "double" else c for c, kind in df.dtypes])
 
@@ -430,7 +447,7 @@ def trend_mean(spark, sf_dir):
     return report.trend_mean(naive_rows(spark, sf_dir), "date", ["actual", "naive"])
 
 
-@query(sql.trend_ci(report.poisson_steps(), report.BOOT_REPLICATES))
+@query(sql.trend_ci(bootstrap.poisson_steps(), report.BOOT_REPLICATES))
 def trend_ci(spark, sf_dir):
     rows = materialise(naive_rows(spark, sf_dir), "scored")
     sided = split.time_split(rows, "date", split.split_point(rows, "date"))
@@ -476,62 +493,95 @@ def cv_folds_row(spark, sf_dir):
 # --- models -----------------------------------------------------------------
 
 
-def _boosted(label="y", **settings) -> ForecastSpec:
-    return ForecastSpec("boosted", SMALL_BOOSTED, label=label, **settings)
+@once
+def _ready(spark, sf_dir) -> prepare.Prepared:
+    return prepare.written(prepared_supplier(spark, sf_dir))
+
 
+@once
+def _forest(spark, sf_dir) -> forecast.Trained:
+    return forecast.train(_ready(spark, sf_dir), ForecastSpec("forest", FOREST))
 
+
+@once
+def _boosted(spark, sf_dir) -> forecast.Trained:
+    return forecast.train(_ready(spark, sf_dir), ForecastSpec("boosted"))
+
+
+@once
+def _final(spark, sf_dir) -> forecast.Trained:
+    return forecast.train_forecast(_ready(spark, sf_dir))
+
+
+@once
 def _classifier(spark, sf_dir):
-    ready = forecast.with_label(prepared_supplier(spark, sf_dir), "high", F.col("y") >= HIGH_RATE)
-    trained = forecast.train_classifier(
-        ready.train, ready.test, ready.features, ready.keys, "high", SMALL_FOREST
-    )
-    return ready, trained
+    ready = forecast.with_label(_ready(spark, sf_dir), "high", F.col("y") >= HIGH_RATE)
+    return ready, forecast.train_classifier(ready.train, ready.test, ready.features, ready.keys, "high", FOREST)
+
+
+@once
+def _comparison(spark, sf_dir) -> forecast.Comparison:
+    return forecast.compare_models(_ready(spark, sf_dir), {"RandomForest": FOREST})
+
 
+def _learnt(ready: prepare.Prepared, model, log_target: bool = False) -> DataFrame:
+    """One row: whether the model explains its training rows, on the scale it was fitted to, better than their mean."""
+    scored = predict(model, ready.train, ready.features, "_fitted", log_target)
+    if log_target:
+        scored = scored.withColumns({c: to_log(F.col(c)) for c in ("y", "_fitted")})
+    return metrics.regression_metrics(scored, "y", "_fitted").select((F.col("r2") > 0).alias("learnt"))
 
-def _scored_as(trained: forecast.Trained, check) -> DataFrame:
+
+def _scored_as(trained: forecast.Trained, check, learnt: DataFrame) -> DataFrame:
     """Scored test rows with what SQL can tell of them: all but the forecast, and a check of it."""
-    return trained.scored.select("grp", "date", "actual", "weight", "naive", check)
+    rows = trained.scored.crossJoin(F.broadcast(learnt))  # one row
+    return rows.select("grp", "date", "actual", "weight", "naive", (check & F.col("learnt")).alias("sound"))
 
 
 @query()
 def rf_forecast(spark, sf_dir):
     """Scored test rows, with the forest's forecast."""
-    return forecast.train(prepared_supplier(spark, sf_dir), ForecastSpec("forest", FOREST)).scored
+    return _forest(spark, sf_dir).scored
 
 
 @query(sql.TEST_ROWS)
 def rf_forecast_check(spark, sf_dir):
     """A forest forecasts means of training targets, so it stays inside their range."""
-    ready = prepared_supplier(spark, sf_dir)
-    trained = forecast.train(ready, ForecastSpec("forest", FOREST))
+    ready, trained = _ready(spark, sf_dir), _forest(spark, sf_dir)
     low, high = ready.train.agg(F.min("y"), F.max("y")).first()
-    return _scored_as(trained, F.col("prediction").between(low - 1e-9, high + 1e-9).alias("sound"))
+    inside = F.col("prediction").between(low - 1e-9, high + 1e-9)
+    return _scored_as(trained, inside, _learnt(ready, trained.model))
 
 
 @query()
 def gbt_forecast(spark, sf_dir):
-    return forecast.train(prepared_supplier(spark, sf_dir), ForecastSpec("boosted", BOOSTED)).scored
+    return _boosted(spark, sf_dir).scored
 
 
 @query(sql.TEST_ROWS)
 def gbt_forecast_check(spark, sf_dir):
-    trained = forecast.train(prepared_supplier(spark, sf_dir), ForecastSpec("boosted", BOOSTED))
+    trained = _boosted(spark, sf_dir)
     finite = F.col("prediction").isNotNull() & (F.abs("prediction") < float("inf"))
-    return _scored_as(trained, finite.alias("sound"))
+    return _scored_as(trained, finite, _learnt(_ready(spark, sf_dir), trained.model))
+
 
+ORDERED = "mae > 0 AND rmse >= mae"
 
-ORDERED = "mae > 0 AND rmse >= mae AS ordered"
+
+def _ordered(scores: DataFrame, learnt: DataFrame, *columns: str) -> DataFrame:
+    """Columns of a score table, and whether its errors are in order and the model has learnt its training rows."""
+    return scores.crossJoin(F.broadcast(learnt)).selectExpr(*columns, f"{ORDERED} AND learnt AS ordered")  # one row
 
 
 @query()
 def gbt_log_weighted(spark, sf_dir):
-    settings = {"max_depth": "3", "learning_rate": "0.1", "min_child_weight": "3"}
-    return forecast.train_forecast(prepared_supplier(spark, sf_dir), settings, rounds=5).metrics
+    return _final(spark, sf_dir).metrics
 
 
 @query(sql.features("SELECT count(*) AS n, true AS ordered FROM sided WHERE split = 'test'"))
 def gbt_log_weighted_check(spark, sf_dir):
-    return gbt_log_weighted(spark, sf_dir).selectExpr("n", ORDERED)
+    trained = _final(spark, sf_dir)
+    return _ordered(trained.metrics, _learnt(_ready(spark, sf_dir), trained.model, log_target=True), "n")
 
 
 @query()
@@ -541,23 +591,21 @@ def rf_classifier(spark, sf_dir):
 
 @query(sql.features(f"SELECT count(*) AS n, count(*) FILTER (WHERE y >= {HIGH_RATE!r}::DOUBLE) AS n_high, true AS bounded FROM sided WHERE split = 'test'"))
 def rf_classifier_check(spark, sf_dir):
-    trained = _classifier(spark, sf_dir)[1]
+    """Classes follow the probabilities, and the training rows are told apart better than by chance."""
+    ready, trained = _classifier(spark, sf_dir)
     scores = ("accuracy", "precision", "recall", "f1", "roc_auc")
     bounded = " AND ".join(f"{c} BETWEEN 0 AND 1" for c in scores)
     agrees = "bool_and(predicted = int(probability > 0.5) OR probability = 0.5) AS agrees"
     rows = trained.scored.selectExpr("high", "predicted", "probability").selectExpr(
         "count(*) AS n", "count_if(high = 1) AS n_high", agrees
     )
-    return rows.crossJoin(F.broadcast(trained.metrics.drop("n"))).selectExpr(  # one row each
-        "n", "n_high", f"agrees AND {bounded} AS bounded"
+    known = predict_class(trained.model, ready.train, ready.features)
+    learnt = metrics.roc_auc(known, "high", "probability").select((F.col("roc_auc") > 0.6).alias("learnt"))
+    return rows.crossJoin(F.broadcast(trained.metrics.drop("n"))).crossJoin(F.broadcast(learnt)).selectExpr(  # one row each
+        "n", "n_high", f"agrees AND learnt AND {bounded} AS bounded"
     )
 
 
-def _comparison(spark, sf_dir):
-    params = {"RandomForest": SMALL_FOREST, "GradientBoosting": SMALL_BOOSTED}
-    return forecast.compare_models(prepared_supplier(spark, sf_dir), params)
-
-
 @query()
 def benchmark_models(spark, sf_dir):
     return _comparison(spark, sf_dir).metrics
@@ -565,7 +613,15 @@ def benchmark_models(spark, sf_dir):
 
 @query(sql.features("SELECT model, n, true AS ordered FROM (SELECT unnest(['RandomForest', 'GradientBoosting', 'Linear']) AS model), (SELECT count(*) AS n FROM sided WHERE split = 'test')"))
 def benchmark_models_check(spark, sf_dir):
-    return benchmark_models(spark, sf_dir).selectExpr("model", "n", ORDERED)
+    """Every model explains the training rows; its errors are in order."""
+    compared, ready = _comparison(spark, sf_dir), _ready(spark, sf_dir)
+    learnt = reduce(
+        DataFrame.unionByName,
+        [_learnt(ready, m).withColumn("model", F.lit(name)) for name, m in compared.models.items()],
+    )
+    return compared.metrics.join(F.broadcast(learnt), "model").selectExpr(  # three rows
+        "model", "n", f"{ORDERED} AND learnt AS ordered"
+    )
 
 
 @query()
@@ -584,15 +640,15 @@ def benchmark_weighted_residuals_check(spark, sf_dir):
 
 @query()
 def evaluation_report(spark, sf_dir):
-    trained = forecast.train(prepared_supplier(spark, sf_dir), _boosted(log_target=True, weight="weight"))
-    return forecast.evaluation_report(materialise(trained.scored, "scored"), "prediction", ["grp", "date"])
+    scored = materialise(_final(spark, sf_dir).scored, "scored")
+    return forecast.evaluation_report(scored, "prediction", ["grp", "date"])
 
 
 @query(sql.features("SELECT count(*) AS n, " + sql.rounded("1.959964::DOUBLE / sqrt(count(*))", "acf_1_bound") + ", true AS ordered, true AS consistent FROM sided WHERE split = 'test'"))
 def evaluation_report_check(spark, sf_dir):
-    return evaluation_report(spark, sf_dir).selectExpr(
-        "n", "acf_1_bound", ORDERED, "dm_significant = (abs(dm_stat) > 1.96) AND abs(acf_1) <= 1 AS consistent"
-    )
+    learnt = _learnt(_ready(spark, sf_dir), _final(spark, sf_dir).model, log_target=True)
+    consistent = "dm_significant = (abs(dm_stat) > 1.96) AND abs(acf_1) <= 1 AS consistent"
+    return _ordered(evaluation_report(spark, sf_dir), learnt, "n", "acf_1_bound", consistent)
 
 
 @query(sql.LINEAR_FIT)
@@ -615,6 +671,16 @@ def stump_forest(spark, sf_dir):
     return predict(model, sided, ["month", "unused"], "prediction").select("grp", "date", "prediction")
 
 
+@query(sql.STUMP_CHAIN)
+def stump_chain(spark, sf_dir):
+    """Two boosted stumps on the month. Squared loss is fitted to twice the residual, so a step of
+    a half adds the residual's own mean on either side."""
+    sided = _sided(spark, sf_dir).withColumn("unused", F.lit(0.0))
+    spec = ForecastSpec("boosted", {"maxIter": 2, "maxDepth": 1, "stepSize": 0.5})
+    model = fit(sided.where("split = 'train'"), ["month", "unused"], spec, ["grp", "date"])
+    return predict(model, sided, ["month", "unused"], "prediction").select("grp", "date", "prediction")
+
+
 @query(sql.STUMP_ATTRIBUTION)
 def stump_attribution(spark, sf_dir):
     """The base is the train mean; the month has all of the difference, a constant column none."""
@@ -623,8 +689,9 @@ def stump_attribution(spark, sf_dir):
     return wide.select("grp", "date", "base", "phi_month", "phi_unused")
 
 
+@once
 def _search(spark, sf_dir):
-    ready = prepared_supplier(spark, sf_dir)
+    ready = _ready(spark, sf_dir)
     base = ForecastSpec("boosted", label="y", weight="weight", log_target=True)
     grid = search.random_candidates(search.param_grid(spark, SMALL_SEARCH), 2)
     candidates = [row.asDict() for row in grid.collect()]  # n_iter rows
@@ -651,8 +718,9 @@ def tuned_candidates_check(spark, sf_dir):
     )
 
 
+@once
 def _refit(spark, sf_dir):
-    """Scores of the refitted best settings, and whether they were read back as they were."""
+    """The refitted best settings, their scores, and whether they were read back as they were."""
     ready, base, found = _search(spark, sf_dir)
     path = new_path(spark, "params")
     files.write_params(spark, found.best, path)
@@ -660,34 +728,37 @@ def _refit(spark, sf_dir):
     model = search.refit_best(ready, base, replace(found, best=read))
     scored_rows = forecast.scored_test(ready, {"prediction": model}, base.log_target)
     same = read == found.best and all(isinstance(v, str) for v in read.values())
-    return metrics.regression_metrics(scored_rows, "actual", "prediction"), same
+    return model, metrics.regression_metrics(scored_rows, "actual", "prediction"), same
 
 
 @query()
 def tuned_best_refit(spark, sf_dir):
     """Scores of the best settings, which are written, read back with their types, and refitted."""
-    return _refit(spark, sf_dir)[0]
+    return _refit(spark, sf_dir)[1]
 
 
 @query(sql.features("SELECT count(*) AS n, true AS ordered, true AS same_settings FROM sided WHERE split = 'test'"))
 def tuned_best_refit_check(spark, sf_dir):
     """The settings read back are the written ones."""
-    table, same = _refit(spark, sf_dir)
-    return table.selectExpr("n", ORDERED, f"{str(same).lower()} AS same_settings")
+    model, scores, same = _refit(spark, sf_dir)
+    learnt = _learnt(_ready(spark, sf_dir), model, log_target=True)
+    return _ordered(scores, learnt, "n", f"{str(same).lower()} AS same_settings")
 
 
 # --- attributions -----------------------------------------------------------
 
 
+@once
 def _explained(spark, sf_dir):
-    ready = prepared_supplier(spark, sf_dir)
-    return ready, forecast.train(ready, _boosted()).model
+    """The boosted model, and the attributions of every test row, written once."""
+    ready, model = _ready(spark, sf_dir), _boosted(spark, sf_dir).model
+    return ready, model, materialise(forecast.explain(ready, model), "attributions")
 
 
 @query()
 def tree_attribution(spark, sf_dir):
-    ready, model = _explained(spark, sf_dir)
-    return attribution.melt_attributions(forecast.explain(ready, model), ready.features, ready.keys)
+    ready, _, wide = _explained(spark, sf_dir)
+    return attribution.melt_attributions(wide, ready.features, ready.keys)
 
 
 @query(sql.TREE_ATTRIBUTION)
@@ -700,8 +771,8 @@ def tree_attribution_check(spark, sf_dir):
 @query(sql.features("SELECT grp, date, true AS additive FROM sided WHERE split = 'test'"))
 def attribution_additivity(spark, sf_dir):
     """Base value and attributions add up to the model's prediction, row by row."""
-    ready, model = _explained(spark, sf_dir)
-    totals = forecast.explain(ready, model).selectExpr(
+    ready, model, wide = _explained(spark, sf_dir)
+    totals = wide.selectExpr(
         "grp", "date", " + ".join(["base", *[f"`phi_{f}`" for f in ready.features]]) + " AS total"
     )
     predicted = forecast.scored_test(ready, {"prediction": model}).select("grp", "date", "prediction")
@@ -730,8 +801,8 @@ def attribution_classifier_check(spark, sf_dir):
 
 @query()
 def feature_importance_top20(spark, sf_dir):
-    ready, model = _explained(spark, sf_dir)
-    return attribution.global_importance(forecast.explain(ready, model), ready.features)
+    ready, _, wide = _explained(spark, sf_dir)
+    return attribution.global_importance(wide, ready.features)
 
 
 @query(sql.features("SELECT count(*) > 0 AS short, true AS sorted, true AS influential FROM sided WHERE split = 'test'"))
@@ -748,8 +819,7 @@ def feature_importance_top20_check(spark, sf_dir):
 
 @query()
 def attribution_summary(spark, sf_dir):
-    ready, model = _explained(spark, sf_dir)
-    wide = materialise(forecast.explain(ready, model), "attributions")
+    ready, _, wide = _explained(spark, sf_dir)
     return attribution.attribution_summary(wide, ready.features)
 
 
@@ -768,17 +838,17 @@ def attribution_summary_check(spark, sf_dir):
 @query()
 def single_row_explanation(spark, sf_dir):
     """The first test row, the strongest attribution first."""
-    ready, model = _explained(spark, sf_dir)
+    ready, model, _ = _explained(spark, sf_dir)
     return attribution.explain_row(ready.test, model, ready.features, ready.keys)
 
 
 @query(sql.SINGLE_ROW)
 def single_row_explanation_check(spark, sf_dir):
     """The first test row: every feature once, the strongest attribution first."""
-    rows = single_row_explanation(spark, sf_dir).groupBy("grp", "date").agg(
-        F.count_distinct("feature").alias("n_features"), F.collect_list(F.abs("phi")).alias("v")
-    )
-    return rows.selectExpr("grp", "date", "n_features", "v = sort_array(v, false) AS sorted")
+    rows = single_row_explanation(spark, sf_dir).collect()  # one row per feature
+    strength = [abs(r.phi) for r in rows]
+    found = (rows[0].grp, rows[0].date, len({r.feature for r in rows}), strength == sorted(strength, reverse=True))
+    return spark.createDataFrame([found], "grp long, date date, n_features long, sorted boolean")
 
 
 # --- files ------------------------------------------------------------------
@@ -812,9 +882,8 @@ def io_prepared_bundle(spark, sf_dir):
 @query(sql.features("SELECT grp, date, true AS same FROM sided WHERE split = 'test'"))
 def io_model_roundtrip(spark, sf_dir):
     """A loaded model predicts what the fitted one does, row by row."""
-    ready = prepared_supplier(spark, sf_dir)
+    ready, fitted = _ready(spark, sf_dir), _forest(spark, sf_dir).model
     path = new_path(spark, "model")
-    fitted = forecast.train(ready, ForecastSpec("forest", SMALL_FOREST)).model
     files.save_model(fitted, path)
     both = predict(load_model("forest", path), predict(fitted, ready.test, ready.features, "a"), ready.features, "b")
     return both.select("grp", "date", (F.col("a") == F.col("b")).alias("same"))

@@ -483,23 +483,40 @@ LINEAR_FIT = features(
     "FROM sided WHERE split = 'train'"
 )
 
-# The cut between months that leaves the least squared error, and the mean target on each side.
-_STUMP = """
-, train AS (SELECT month, y FROM sided WHERE split = 'train'),
-cuts AS (
+
+
+def _stump(source: str, best: str) -> str:
+    """The cut between months that leaves the least squared error, and the mean target on each side."""
+    return f"""{best} AS (
   SELECT c.month AS cut, avg(y) FILTER (WHERE t.month <= c.month) AS low, avg(y) FILTER (WHERE t.month > c.month) AS high,
          var_pop(y) FILTER (WHERE t.month <= c.month) * count(*) FILTER (WHERE t.month <= c.month)
          + var_pop(y) FILTER (WHERE t.month > c.month) * count(*) FILTER (WHERE t.month > c.month) AS error
-  FROM (SELECT DISTINCT month FROM train) c, train t
-  GROUP BY c.month HAVING count(*) FILTER (WHERE t.month > c.month) > 0),
-best AS (SELECT * FROM cuts ORDER BY error LIMIT 1)
-"""
+  FROM (SELECT DISTINCT month FROM {source}) c, {source} t
+  GROUP BY c.month HAVING count(*) FILTER (WHERE t.month > c.month) > 0
+  ORDER BY error LIMIT 1)"""
+
+
+_STUMP = ", train AS (SELECT month, y FROM sided WHERE split = 'train'), " + _stump("train", "best") + "\n"
 
 STUMP_FOREST = features(
     _STUMP
     + f"SELECT grp, date, {rounded('CASE WHEN month <= cut THEN low ELSE high END', 'prediction')} FROM sided, best"
 )
 
+# A second stump on what the first leaves.
+STUMP_CHAIN = features(
+    _STUMP
+    + ", rest AS (SELECT month, y - CASE WHEN month <= cut THEN low ELSE high END AS y FROM train, best), "
+    + _stump("rest", "next")
+    + "\nSELECT grp, date, "
+    + rounded(
+        "CASE WHEN month <= best.cut THEN best.low ELSE best.high END"
+        " + CASE WHEN month <= next.cut THEN next.low ELSE next.high END",
+        "prediction",
+    )
+    + " FROM sided, best, next"
+)
+
 STUMP_ATTRIBUTION = features(
     _STUMP
     + f"SELECT grp, date, {rounded('mean', 'base')}, "

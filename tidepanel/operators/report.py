@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.aggregates import weighted_mean
 from tidepanel.functions.scalars import month_name, residual_sign
+from tidepanel.operators.bootstrap import replicate_sums
 from tidepanel.operators.ordered import prefix_sums
 from tidepanel.storage import materialise
 
@@ -17,20 +17,6 @@ WHISKER_REACH = 1.5  # in interquartile ranges
 AXIS_HEADROOM = 1.05
 BOOT_REPLICATES = 1000
 BOOT_LEVELS = (0.025, 0.975)
-DRAWS_PER_HASH = 4  # an md5 digest holds four numbers of eight hex digits
-HASHES_PER_ROW = 5  # digests side by side; a row is repeated for the others
-
-
-def poisson_steps() -> list[str]:
-    """Poisson(1) distribution function at 0, 1, 2, ... as a share of 2**32, in
-    eight lower-case hex digits; it ends where the share rounds to 1."""
-    steps, total, term, k = [], 0.0, math.exp(-1), 0
-    while round((total + term) * 2**32) < 2**32:
-        total += term
-        steps.append(format(round(total * 2**32), "08x"))
-        k += 1
-        term /= k
-    return steps
 
 
 def attach_exposure(predictions: DataFrame, panel: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
@@ -61,15 +47,6 @@ def trend_mean(df: DataFrame, date: str, values: Sequence[str]) -> DataFrame:
     return melt(df, [date], values).groupBy(date, "type").agg(F.avg("value").alias("mean"))
 
 
-def _poisson_weight(digits: Column) -> Column:
-    """Poisson(1) draw from eight hex digits; lower-case hex compares like the number."""
-    first, *rest = poisson_steps()
-    draw = F.when(digits < first, 0)
-    for k, step in enumerate(rest, start=1):
-        draw = draw.when(digits < step, k)
-    return draw.otherwise(len(rest) + 1)
-
-
 def trend_interval(
     df: DataFrame,
     date: str,
@@ -81,43 +58,18 @@ def trend_interval(
 
     Each row gets an independent Poisson(1) weight per replicate, drawn from a
     hash of its key, so the resample needs no shared random state and adds up
-    map-side. A row holds the weights of ``HASHES_PER_ROW`` digests side by side
-    and is repeated for the rest. ``(date, row_key)`` must identify a row.
+    map-side: a row takes part in all replicates as one vector of weights.
+    ``(date, row_key)`` must identify a row.
     """
-    draws = HASHES_PER_ROW * DRAWS_PER_HASH
-    chunks = -(-replicates // draws)
-    drawn = df.select(
-        date,
-        *values,
-        F.concat_ws("|", F.col(row_key).cast("string"), F.col(date).cast("string")).alias("_key"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"),
-    )
-    number = [(F.col("_chunk") * HASHES_PER_ROW + h).cast("string") for h in range(HASHES_PER_ROW)]
-    hashed = drawn.withColumns(
-        {f"_hash{h}": F.md5(F.concat_ws("|", "_key", number[h]).cast("binary")) for h in range(HASHES_PER_ROW)}
-    )
-    weights = {
-        f"_w{h * DRAWS_PER_HASH + j}": _poisson_weight(F.substring(f"_hash{h}", 8 * j + 1, 8))
-        for h in range(HASHES_PER_ROW)
-        for j in range(DRAWS_PER_HASH)
-    }
+    key = F.concat_ws("|", F.col(row_key).cast("string"), F.col(date).cast("string"))
+    sums = replicate_sums(df.withColumn("_key", key), date, "_key", values, replicates)
     means = [
-        weighted_mean(F.col(v), F.col(w)).alias(f"{w}_{i}") for w in weights for i, v in enumerate(values)
-    ]
-    per_chunk = hashed.withColumns(weights).groupBy(date, "_chunk").agg(*means)
-    replicate = [
-        F.struct(
-            (F.col("_chunk") * draws + j).alias("_replicate"),
-            F.lit(v).alias("type"),
-            F.col(f"_w{j}_{i}").alias("_mean"),
-        )
-        for j in range(draws)
+        F.struct(F.lit(v).alias("type"), F.try_divide(f"_sum{i}", f"_weight{i}").alias("_mean"))
         for i, v in enumerate(values)
     ]
     # `replicates` values per (date, type): a bounded exact percentile.
     return (
-        per_chunk.select(date, F.inline(F.array(*replicate)))
-        .where(F.col("_replicate") < replicates)
+        sums.select(date, F.inline(F.array(*means)))
         .groupBy(date, "type")
         .agg(F.percentile("_mean", list(BOOT_LEVELS)).alias("_ends"))
         .select(date, "type", F.col("_ends")[0].alias("lower"), F.col("_ends")[1].alias("upper"))
