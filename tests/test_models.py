@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel import catalog
-from tidepanel.functions.aggregates import r_squared
-from tidepanel.operators import attribution, models
+from tidepanel.functions.aggregates import r_squared, weighted_mean
+from tidepanel.operators import attribution, metrics, models
 from tidepanel.operators.models import ForecastSpec
 from tidepanel.plans import forecast, search
 from tidepanel.plans.prepare import written
@@ -307,6 +307,33 @@ def test_search_takes_a_scorer(prepared):
     assert found.best == candidates[found.ranking.first().candidate]
 
 
+def test_search_takes_a_table_scorer(prepared):
+    """A tie-aware area under the curve, and an error weighted by a column of its own, rank the candidates."""
+    candidates = [{"n_estimators": "1", "max_depth": "1"}, {"n_estimators": "4", "max_depth": "3"}]
+    ready = forecast.with_label(prepared, "high", F.col("y") >= catalog.HIGH_RATE)
+    found = search.search(
+        ready, ForecastSpec(label="high"), candidates, 2, score_name="auc", greater_is_better=True, table_scorer=metrics.roc_auc
+    )
+    ranking = [r.auc for r in found.ranking.collect()]
+    assert ranking == sorted(ranking, reverse=True) and all(0 <= a <= 1 for a in ranking)
+
+    def weighted(df, actual, predicted):
+        return df.agg(weighted_mean(F.abs(F.col(actual) - F.col(predicted)), F.col("weight")))
+
+    by_weight = search.search(prepared, ForecastSpec(label="y"), candidates, 2, table_scorer=weighted)
+    plain = search.search(prepared, ForecastSpec(label="y"), candidates, 2)
+    scores = {(r.candidate, r.fold): r.mae for r in by_weight.scores.collect()}
+    assert len(scores) == 4
+    assert any(abs(scores[r.candidate, r.fold] - r.mae) > 1e-9 for r in plain.scores.collect())
+    assert [r.mae for r in by_weight.ranking.collect()] == sorted(r.mae for r in by_weight.ranking.collect())
+
+
+def test_only_deep_forests_remember_their_rows_nodes():
+    assert models._estimator(ForecastSpec("forest")).getCacheNodeIds()
+    assert not models._estimator(ForecastSpec("forest", {"maxDepth": 10})).getCacheNodeIds()
+    assert models._estimator(ForecastSpec("classifier", {"maxMemoryInMB": 64})).getMaxMemoryInMB() == 64
+
+
 @pytest.mark.parametrize("kind", ["forest", "classifier"])
 def test_forests_grow_as_deep_as_they_can(kind):
     assert models._estimator(ForecastSpec(kind)).getMaxDepth() == 30

@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel import catalog_sql as sql
-from tidepanel.functions.scalars import coerce_number, from_log, month_name, parse_date, to_log
+from tidepanel.functions.scalars import class_label, coerce_number, from_log, month_name, parse_date, to_log
 from tidepanel.operators import attribution, bootstrap, encode, features, metrics, report, series, split
 from tidepanel.operators.models import ForecastSpec, fit, load_model, predict, predict_class
 from tidepanel.operators.ordered import ordered_index
 from tidepanel.plans import forecast, prepare, search
 from tidepanel.plans.explore import explore
 from tidepanel.sources import files
+from tidepanel.spec import PanelSpec
 from tidepanel.sources.panels import NATION, SUPPLIER, nation_panel, returns_panel, supplier_panel
 from tidepanel.storage import materialise, new_path
 
@@ -198,6 +199,13 @@ def log_roundtrip(spark, sf_dir):
     )
 
 
+@query(sql.select(sql.SUPPLIER, "SELECT grp, date, trunc(y / 25)::INTEGER AS label, trunc((y - 40) / 25)::INTEGER AS below FROM panel"))
+def class_labels(spark, sf_dir):
+    """Classes of a rate: whole quarters of a hundred, and the same around 40."""
+    below = class_label(((F.col("y") - 40) / 25).cast("string"))
+    return suppliers(spark, sf_dir).select("grp", "date", class_label(F.col("y") / 25).alias("label"), below.alias("below"))
+
+
 # --- features ---------------------------------------------------------------
 
 
@@ -233,6 +241,20 @@ def feature_frame_nlags6(spark, sf_dir):
     return features.feature_frame(suppliers(spark, sf_dir), replace(SUPPLIER, n_lags=6))
 
 
+@query(sql.features("SELECT {frame} FROM kept", components=()))
+def feature_frame_discovered(spark, sf_dir):
+    """Date and target found by their names, measures renamed, dates and target given as text."""
+    panel = suppliers(spark, sf_dir).select(
+        "grp",
+        F.date_format("date", "yyyy-MM-dd").alias("mes_base"),
+        F.col("y").cast("string").alias("rate_turnover"),
+        F.col("headcount").alias("TO_HEADCOUNT_HEADCOUNT-MES-ATUAL"),
+        F.col("admissions").alias("TO_ADMISSOES_ADMISSOES-MES-ATUAL"),
+    )
+    spec = PanelSpec(group="grp", components=()).resolve(panel.columns)
+    return features.feature_frame(panel, spec).withColumnsRenamed({spec.date: "date", spec.target: "y"})
+
+
 @query(sql.features("SELECT {frame} FROM kept", panel=sql.NATION, components=()))
 def feature_frame_nation(spark, sf_dir):
     return features.feature_frame(nations(spark, sf_dir), NATION)

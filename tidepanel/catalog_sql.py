@@ -159,9 +159,13 @@ APPLIED_FEATURES = features(
     + " FROM sided WHERE split = 'train') fit WHERE split = 'test'"
 )
 
-FEATURE_ORDER = "SELECT * FROM (VALUES " + ", ".join(
-    f"({i}::INTEGER, '{f}')" for i, f in enumerate(_ALL_FEATURES)
-) + ") t(position, feature)"
+# The names are those of the frame's columns, in their order: measured ones before the label code and the flag.
+FEATURE_ORDER = features(
+    "SELECT (row_number() OVER (ORDER BY feature IN ('grp_encoded', 'is_december'), feature = 'is_december', place) - 1)::INTEGER"
+    " AS position, feature FROM (SELECT feature, row_number() OVER () AS place FROM (UNPIVOT ("
+    "SELECT COLUMNS(* EXCLUDE (grp, date, y, headcount, admissions, vol, invol, split))::DOUBLE, 0.0::DOUBLE AS grp_encoded "
+    "FROM (SELECT * FROM sided ORDER BY grp, date LIMIT 1)) ON COLUMNS(*) INTO NAME feature VALUE v))"
+)
 
 SPLIT_SUMMARY = features(
     "SELECT split, count(*) AS n_rows, count(DISTINCT date) AS n_dates, min(date) AS first_date, "

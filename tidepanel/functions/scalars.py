@@ -57,3 +57,8 @@ def from_log(prediction: Column) -> Column:
 def residual_sign(residual: Column) -> Column:
     """'over' where the forecast exceeds the actual value, else 'under'."""
     return F.when(residual < 0, "over").otherwise("under")
+
+
+def class_label(value: Column) -> Column:
+    """A class number from any number or numeric text: what is behind the point is cut off, towards 0."""
+    return value.cast("double").cast("int")

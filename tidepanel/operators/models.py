@@ -20,12 +20,13 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.functions.scalars import from_log, to_log
+from tidepanel.functions.scalars import class_label, from_log, to_log
 from tidepanel.storage import shared_folder
 
 SEED = 42
 TREES = 100
 DEEPEST = 30  # the deepest trees MLlib grows
+DEEP = 12  # trees beyond this depth are grown with their rows' places kept
 ROWS_PER_PARTITION = 10_000
 
 # Search setting -> MLlib parameter.
@@ -81,6 +82,9 @@ def boosting_params(settings: Mapping[str, object], rounds: int = TREES) -> dict
 
 def _estimator(spec: ForecastSpec):
     params = dict(spec.params)
+    if spec.kind in ("forest", "classifier") and params.get("maxDepth", DEEPEST) > DEEP:
+        # Deep trees have many nodes and few rows in each: rows remember their node, and a pass takes more nodes.
+        params = {"cacheNodeIds": True, "maxMemoryInMB": 1024} | params
     if spec.kind == "forest":
         defaults = {"numTrees": TREES, "maxDepth": DEEPEST, "featureSubsetStrategy": "all", "seed": spec.seed}
         return RandomForestRegressor(**(defaults | params))
@@ -122,7 +126,7 @@ def fit(
     if spec.log_target:
         label = to_log(label)
     elif spec.kind == "classifier":
-        label = F.col(spec.label).cast("int").cast("double")
+        label = class_label(F.col(spec.label)).cast("double")
     weight = F.col(spec.weight).cast("double") if spec.weight else F.lit(1.0)
     rows = train.select(*keys, *features, label.alias("_label"), weight.alias("_weight"))
     estimator = _estimator(spec).setLabelCol("_label").setFeaturesCol("features")

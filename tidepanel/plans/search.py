@@ -65,6 +65,7 @@ def search(
     scorer: Callable[[Column, Column], Column] = mean_absolute_error,
     score_name: str = "mae",
     greater_is_better: bool = False,
+    table_scorer: Callable[[DataFrame, str, str], DataFrame] | None = None,
 ) -> Search:
     """Score each candidate on each fold of the train side.
 
@@ -72,7 +73,10 @@ def search(
     training layout; a fold is a range filter on it, so folds are never copied
     or shuffled. ``parallelism`` fits are in flight at a time. ``unit`` cuts
     folds between dates, or between rows in (group, date) order. ``scorer``
-    makes an aggregate of the actual and the predicted column.
+    makes an aggregate of the actual and the predicted column. What needs more than
+    one aggregate, or other columns, is a ``table_scorer``: it takes a fold's scored
+    rows (all prepared columns) with the names of the actual and the predicted one,
+    and gives a table of one row whose first column is the score.
     """
     spark = prepared.rows.sparkSession
     if unit == "row":
@@ -89,7 +93,11 @@ def search(
         test = numbered.where((F.col("_unit") >= fold.test_from) & (F.col("_unit") < fold.test_to))
         model = fit(train, prepared.features, spec, prepared.keys, laid_out=True)
         scored = predict(model, test, prepared.features, "_predicted", spec.log_target)
-        score = scored.agg(scorer(F.col(base.label), F.col("_predicted"))).first()[0]
+        if table_scorer is not None:
+            table = table_scorer(scored, base.label, "_predicted")
+        else:
+            table = scored.agg(scorer(F.col(base.label), F.col("_predicted")))
+        score = table.first()[0]
         return {"candidate": candidate, "fold": fold.fold, **settings, score_name: score}
 
     jobs = [(c, fold) for c in enumerate(candidates) for fold in bounds]
