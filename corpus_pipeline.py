@@ -24,17 +24,30 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose restored text does not score as toxic."""
+    """Documents whose restored text does not score as toxic.
+
+    Texts that are null, empty or without a learnt term score as such texts do in the
+    labelled rows, and stay; repeated rows are judged alike; without labels of both
+    kinds all stay.
+    """
     return toxicity.keep(docs, toxicity.fit(docs, shared.table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: the one with the smallest doc_id.
+
+    Documents without a word, with a null text or without an id all stay; of rows that
+    repeat an id one stays.
+    """
     return neardup.keep_first(docs, NEAR)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as pieces of packed sequences, one row per piece."""
+    """The documents as pieces of packed sequences, one row per piece.
+
+    A null or empty text is one piece, its end-of-text id; repeated rows are packed each;
+    equal lengths are placed in row order.
+    """
     packed = packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
