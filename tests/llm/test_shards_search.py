@@ -51,6 +51,7 @@ def test_search_equals_brute_force(spark, kind, monkeypatch):
     monkeypatch.setattr(search, "SHARD_ROWS", 150)
     monkeypatch.setattr(search, "QUERY_ROWS", 7)
     monkeypatch.setattr(search, "STEP_ROWS", 16)
+    monkeypatch.setattr(search, "SEED_ROWS", 3 if kind in ("signed", "ties") else 40)
     pick = np.random.default_rng(4)
     if kind == "ties":
         data = pick.integers(-1, 2, (400, 4))
@@ -68,6 +69,34 @@ def test_search_equals_brute_force(spark, kind, monkeypatch):
     assert sorted(tuple(r) for r in got) == brute([v for v in vectors if v[0] % 20 == 0], vectors, 5)
 
 
+def test_max_score_touches_less_than_a_dense_search(monkeypatch):
+    """With a threshold from the start, most terms of most vectors are never read."""
+    pick = np.random.default_rng(8)
+    centres = pick.normal(size=(12, 32)) * 60
+    vectors = np.floor(centres[pick.integers(0, 12, 3000)] + pick.normal(size=(3000, 32)) * 20)
+    columns, ids = np.ascontiguousarray(vectors.T), np.arange(3000)
+    read = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, key):
+            out = np.asarray(self)[key]
+            if isinstance(key, tuple) and isinstance(key[0], slice):
+                return out.view(Counted)
+            read.append(out.size)
+            return out
+
+    dense = 0
+    for i in range(40):
+        scores = columns.T @ vectors[i]
+        want = sorted(((-s, j) for j, s in enumerate(scores) if j != i))[:5]
+        top = search.max_score(
+            vectors[i], i, ids, columns.view(Counted), vectors.min(axis=0), vectors.max(axis=0), 5, int(-want[-1][0]) - 50
+        )
+        assert list(zip([-s for s in top.scores], top.ids)) == want
+        dense += vectors.size
+    assert sum(read) < 0.8 * dense
+
+
 def test_search_of_odd_vectors(spark):
     rows = [
         (0, [1.0, 2.0]),
