@@ -176,6 +176,14 @@ def test_hidden_words_are_restored(spark, insult_model, hidden):
 @pytest.mark.parametrize(
     "hidden",
     [
+        '"s c o u n d r e l"',
+        "(s c o u n d r e l)",
+        "s c o u n d r e l.",
+        "s  c  o  u  n  d  r  e  l",
+        "s/c/o/u/n/d/r/e/l",
+        "s\u200bc\u200bo\u200bu\u200bn\u200bd\u200br\u200be\u200bl",
+        "s - c - o - u - n - d - r - e - l",
+        "S_C_0_U_N_D_R_3_L,",
         "you are a s c o u n d r e l man",
         "y o u s c o u n d r e l",
         "w h a t a r o t t e n s c 0 u n d r e l",
@@ -197,6 +205,23 @@ def test_clean_spaced_sentences_stay_clean(spark, insult_model):
     assert restored == CLEAN + CLEAN.strip()
 
 
+def test_long_words_in_runs(insult_model):
+    """Words of any length that the labelled texts hold are read in a run."""
+    long = "scoundrel" * 9
+    model = toxicity.CharacterModel(insult_model.characters.logs, insult_model.characters.words | {long: -3.0})
+    assert toxicity.parted("the" + long + "town", model.words) == f"the {long} town"
+
+
+def test_letters_keep_their_places():
+    """Lower case never makes a text longer, so that n-grams at its end are counted."""
+    text = "İ" * 10 + "abc"
+    assert len(shared.lowered(text)) == len(text)
+    (_, counts), = language.counted([text])
+    assert counts.sum() == sum(len(text) - n + 1 for n in language.ORDERS)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    assert len(shared.lowered(every)) == len(every)
+
+
 def test_long_runs_are_read_whole(insult_model):
     run = "the weather in the river town was quiet " * 20
     model = insult_model.characters

@@ -38,7 +38,7 @@ class LanguageModel:
 
 def codes(text: str) -> np.ndarray:
     """Lower-case characters as numbers; ASCII characters that are no letters become blanks."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").copy()
+    c = np.frombuffer(shared.lowered(text).encode("utf-32-le", "surrogatepass"), dtype="<u4").copy()
     c[(c < 128) & ((c < 97) | (c > 122))] = 32
     return c
 

@@ -59,6 +59,23 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def lowered(text: str) -> str:
+    """Lower case, character by character: the one character whose lower case is two keeps the first of them."""
+    return text.replace("İ", "i").lower()
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def blocks(texts: Sequence[str], reach: int) -> Iterator[tuple[int, int, list[tuple[int, str, int]]]]:
     """Cut texts into blocks of bounded size for n-grams of at most ``reach`` characters.
 
