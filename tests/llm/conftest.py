@@ -15,7 +15,7 @@ def prose(seed: int, n: int) -> str:
 
 
 # Names that operators use for their own columns.
-EXTRA = ("score", "label", "size", "shard", "rep", "key", "component", "h1", "length", "ids", "_row")
+EXTRA = ("score", "label", "size", "shard", "rep", "key", "component", "h1", "length", "ids", "_row", "_place", "_kept", "offset", "sequence_id", "predicted", "lang_pred", "held_out")
 
 
 @pytest.fixture(scope="session")

@@ -332,13 +332,16 @@ def keep_first(docs: DataFrame, shape: Shape) -> DataFrame:
     """The documents, all columns, that stay: one row of each group.
 
     That is the row of the group's smallest id; of rows that repeat this id, the
-    first in the order of their text stays. Rows without id or words all stay.
+    first in the order of a hash of their text stays (null last; of equal texts,
+    any). Rows without id or words all stay. An empty table gives none; columns
+    may have any names.
     """
     kept = near_duplicates(docs, shape).filter("kept AND doc_id IS NOT NULL AND n_shingles > 0")
-    ids = kept.select(F.col("doc_id").alias("_kept")).distinct()
+    key, place = shared.free_names(docs, "_kept", "_place")
+    ids = kept.select(F.col("doc_id").alias(key)).distinct()
     words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     loose = docs.filter(F.col("doc_id").isNull() | ~words)
-    firm = docs.filter(F.col("doc_id").isNotNull() & words).join(ids, F.col("doc_id") == F.col("_kept"), "left_semi")
+    firm = docs.filter(F.col("doc_id").isNotNull() & words).join(ids, F.col("doc_id") == F.col(key), "left_semi")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    first = firm.withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
+    first = firm.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).drop(place)
     return first.unionByName(loose)
