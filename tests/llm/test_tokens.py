@@ -152,3 +152,60 @@ def test_packing_in_windows_loses_nothing(spark, monkeypatch):
     used = packed.groupby("sequence_id")["length"].sum()
     assert used.max() <= 4096
     assert used.sum() / (4096 * len(used)) > 0.97
+
+
+def padding(rows, limit=4096):
+    used = collections.Counter()
+    for r in rows:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= limit
+    return 1 - sum(used.values()) / (limit * len(used))
+
+
+def test_short_texts_leave_little_padding(spark):
+    df = spark.range(20_000).selectExpr("id AS doc_id", "'a' AS text").coalesce(1)
+    rows = packing.pack_documents(df, WORD_FILE).collect()
+    assert len(rows) == 20_000 and padding(rows) < 0.05
+
+
+def best_fit(lengths, limit):
+    """A plain best-fit decreasing packing: the number of sequences."""
+    room = []
+    for n in sorted(lengths, reverse=True):
+        fits = [(r, i) for i, r in enumerate(room) if r >= n]
+        if fits:
+            room[min(fits)[1]] -= n
+        else:
+            room.append(limit - n)
+    return len(room)
+
+
+def test_no_more_sequences_than_best_fit(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").coalesce(1)
+    rows = packing.pack_documents(docs, WORD_FILE).collect()
+    assert len({r.sequence_id for r in rows}) <= 1.02 * best_fit([r.length for r in rows], 4096) + 1
+
+
+def test_instruction_data_with_loss_on_the_answers(spark, sf_dir):
+    """All three limits bind apart: tokens, turns, and the tokens of the answers only."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr(
+        "conv_id",
+        "turn",
+        "length(text) AS length",
+        "if(role = 'assistant', length(text), 0) AS loss_tokens",
+        "'clash' AS offset",
+        "'clash' AS sequence_id",
+    ).where("length <= 2000 AND length > 0")
+    limits = packing.Limits(length=2000, segments=8, loss_tokens=1000)
+    df = turns.where("loss_tokens <= 1000").coalesce(1)
+    rows = packing.pack(df, limits).collect()
+    assert collections.Counter((r.conv_id, r.turn) for r in rows) == collections.Counter(
+        (r.conv_id, r.turn) for r in df.collect()
+    )
+    sequences = collections.defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append(r)
+    sums = [(sum(r.length for r in s), len(s), sum(r.loss_tokens for r in s)) for s in sequences.values()]
+    assert all(t <= 2000 and n <= 8 and loss <= 1000 for t, n, loss in sums)
+    total = np.sum(sums, axis=0) / limits.vector()
+    assert len(sequences) <= 1.25 * total.max() + 1

@@ -33,10 +33,15 @@ END_OF_TEXT = 2
 
 @dataclass(frozen=True)
 class Limits:
-    """What a sequence holds at most. ``length`` also cuts documents into pieces."""
+    """What a sequence holds at most. ``length`` also cuts documents into pieces.
+
+    A segment has a token at least, so that by default tokens decide and short texts
+    leave no padding; a lower limit of segments, as instruction data may need, closes
+    a sequence of many short ones earlier.
+    """
 
     length: int = 4096
-    segments: int = 256
+    segments: int = 4096
     loss_tokens: int = 4096
 
     def vector(self) -> np.ndarray:
@@ -144,9 +149,11 @@ def pack(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Pack rows that have ``length`` and ``loss_tokens`` (whole numbers) into sequences.
 
     All columns stay; ``sequence_id`` and ``offset`` (tokens before the row in
-    its sequence) are added. A row must fit a sequence alone. Rows are packed
-    per partition, so partitions should hold many sequences' worth of rows.
+    its sequence) are added, in place of columns of those names. A row must fit
+    a sequence alone. Rows are packed per partition, so partitions should hold
+    many sequences' worth of rows. An empty table gives no rows.
     """
+    df = df.drop("sequence_id", "offset")
     schema = T.StructType([*df.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return df.mapInArrow(lambda batches: pack_batches(batches, limits), schema)
 
@@ -186,7 +193,8 @@ def pack_documents(
     and a rest. Returns ``kept``, ``start`` (ids before the piece), ``length``,
     ``loss_tokens``, ``ids`` (binary, little-endian unsigned 32-bit),
     ``doc_tokens``, ``sequence_id`` and ``offset``; repeated rows are packed
-    each. Pieces are packed in the task that cuts them.
+    each, and of other columns only ``kept`` are looked at. An empty table gives no
+    rows. Pieces are packed in the task that cuts them.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         tokenizer_json = df.sparkSession.sparkContext.broadcast(file.read())
