@@ -68,16 +68,20 @@ def place(demands: np.ndarray, limits: np.ndarray) -> list[list[int]]:
             left, share = left[alive], share[alive]
             alive = np.ones(len(left), dtype=bool)
         room, chosen = np.ones(share.shape[1]), []
-        fits = alive.copy()
+        # What fits goes on with its demands side by side, a row per resource; it only gets fewer.
+        fits = np.flatnonzero(alive)
+        demand = np.ascontiguousarray(share[fits].T)
         while True:
-            fits &= (share <= room + 1e-12).all(axis=1)
-            candidates = np.flatnonzero(fits)
-            if not len(candidates):
+            able = (demand <= room[:, None] + 1e-12).all(axis=0)
+            if not able.all():
+                fits, demand = fits[able], demand[:, able]
+            if not len(fits):
                 break
-            best = candidates[np.argmax(share[candidates] @ (weights * room))]
-            chosen.append(int(left[best]))
-            room = room - share[best]
-            alive[best] = fits[best] = False
+            best = int(np.argmax((weights * room) @ demand))
+            chosen.append(int(left[fits[best]]))
+            room = room - demand[:, best]
+            alive[fits[best]] = False
+            fits, demand = np.delete(fits, best), np.delete(demand, best, axis=1)
         bins.append(chosen)
     return bins
 
