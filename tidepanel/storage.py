@@ -14,6 +14,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED_FOLDER = "spark.checkpoint.dir"
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @lru_cache(maxsize=None)
@@ -72,12 +73,25 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet and read it back.
+@contextmanager
+def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside give their shuffle files back as they end, not when the driver's
+    memory is next cleaned. For written tables, which nobody computes again."""
+    before = spark.conf.get(FREED, "false")
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREED, before)
+
+
+def materialise(df: DataFrame, label: str, path: str | None = None, **options: str) -> DataFrame:
+    """Write ``df`` once as Parquet, to ``path`` or a new one, and read it back.
 
     For tables that several passes read: the work before it runs once, survives
     lost executors, and later passes prune columns and know the size.
     """
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    path = path or new_path(df.sparkSession, label)
+    with freeing_shuffles(df.sparkSession):
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
