@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidepanel.llm import components, fingerprint, neardup, shingles
 
@@ -229,3 +230,53 @@ def test_near_texts_groups_small_edits(spark, odd, empty):
     assert got == want and len(set(want.values())) == 20
     assert fingerprint.near_texts(fingerprint.fingerprints(empty), 0.8).count() == 0
     assert {r.doc_id for r in fingerprint.near_texts(fingerprint.fingerprints(odd), 0.8).collect()} >= {1, 2, 8}
+
+
+def test_bands_meet_as_often_as_stated():
+    """Pairs of likeness 0.9 or more share a band at every length, with any kind of edit."""
+    pick = random.Random(6)
+    bands = fingerprint.Bands(0.9)
+    assert (1 - 0.9**fingerprint.BAND) ** bands.number <= fingerprint.MISS
+    alike = missed = 0
+    for n in (3, 6, 12, 40, 200, 1500, 6000):
+        for _ in range(120):
+            text = pick.choices("abcdefghij ", k=n)
+            other = list(text)
+            for _ in range(pick.choice((1, 1, 2, 6))):
+                at = pick.randrange(len(other))
+                other[at : at + pick.randrange(2)] = pick.choice(("", "q", "b"))
+                other = other or ["a"]
+            a, b = (fingerprint.Walked.of("".join(t)).fingerprint for t in (text, other))
+            if a != b and fingerprint.likeness(a, b) >= 0.9:
+                alike += 1
+                missed += not set(bands.keys(a)) & set(bands.keys(b))
+    assert alike > 250 and missed <= 1
+
+
+def test_groups_of_many_lengths_and_edit_rates_equal_brute_force(spark):
+    pick = random.Random(12)
+    rows = []
+    for n in (4, 8, 30, 300, 2500):
+        for _ in range(8):
+            base = pick.choices("abcdefghij ", k=n)
+            for rate in (0, 0.002, 0.01, 0.05):
+                text = [pick.choice("qrs") if pick.random() < rate else c for c in base]
+                rows.append((len(rows), "".join(text)))
+    prints = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
+    exact = {r.doc_id: r.fingerprint for r in prints.collect()}
+    got = {r.doc_id: r.group_id for r in fingerprint.with_groups(prints, 0.9).collect()}
+    want = brute.groups(sorted(exact), lambda i, j: fingerprint.likeness(exact[i], exact[j]) >= 0.9)
+    together = {(a, b) for a in want for b in want if a < b and want[a] == want[b]}
+    found = {(a, b) for a in got for b in got if a < b and got[a] == got[b]}
+    assert found <= together and len(found) >= 0.99 * len(together) > 60
+
+
+def test_groups_of_odd_rows(spark, odd, empty, odd_rows):
+    prints = fingerprint.fingerprints(odd).withColumn("_mate", F.lit("x")).withColumn("key", F.lit("y"))
+    rows = fingerprint.with_groups(prints, 0.9).collect()
+    assert collections.Counter(r.doc_id for r in rows) == collections.Counter(d for d, _, _ in odd_rows)
+    group = {r.doc_id: r.group_id for r in rows}
+    assert group[1] == group[2] == 1 and group[7] in (6, 7)
+    assert group[None] is None and (group[3], group[4]) == (3, 4)
+    assert {r["_mate"] for r in rows} == {"x"}
+    assert fingerprint.with_groups(fingerprint.fingerprints(empty), 0.9).count() == 0

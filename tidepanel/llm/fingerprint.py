@@ -5,15 +5,17 @@ stands on and, by a random bit shared for (j, character), moves on or stays. An
 edit makes two walks part, and they soon meet again, so the edit distance of
 texts becomes the Hamming distance of what the walks write. A fingerprint keeps
 the written characters, as 4 bits each, at fixed sampled steps: equally many
-from each doubling of the length. Bands of samples propose pairs, and the
-likeness of whole fingerprints verifies them.
+from each doubling of the length. Bands of samples drawn at random propose pairs,
+and the likeness of whole fingerprints verifies them.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +26,14 @@ from pyspark.sql import types as T
 
 from tidepanel.llm import neardup, shared
 from tidepanel.llm.components import components
-from tidepanel.storage import materialise, new_path
+from tidepanel.storage import materialise
 
 PERIOD = 4096  # steps after which the walk's random bits repeat
 SAMPLES = 64  # samples of a doubling
 DOUBLINGS = 44
 PIECE = 1 << 18  # characters walked at a time
-BAND = 8  # samples of a band
+BAND = 10  # samples of a band
+MISS = 1e-3  # chance that two fingerprints exactly at the threshold share no band
 PAD = 16  # what a sampled step beyond the end of a walk holds
 ROWS_PER_PART = 20_000
 
@@ -247,9 +250,7 @@ def compare_with_next(df: DataFrame, key: str = "doc_id") -> DataFrame:
             yield out([before[0] | {"_last": before[1]}])
 
     # Digits of 4 bits each: half of their bytes go when they are written densely.
-    path = new_path(df.sparkSession, "walks")
-    ranged.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
-    walked = df.sparkSession.read.schema(schema).parquet(path)
+    walked = materialise(ranged.mapInArrow(run, schema), "walks", compression="zstd")
     columns = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     complete = walked.filter("_last IS NULL").select(*columns)
     # One first and one last text for each range; the ranges follow one another.
@@ -280,14 +281,78 @@ def compare_with_next(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return complete.unionByName(finished)
 
 
-def band_keys(fingerprint: str) -> list[str]:
-    """One key per band of neighbouring samples that lie inside the walk."""
-    keys = []
-    for at in range(0, len(fingerprint), BAND):
-        band = fingerprint[at : at + BAND]
-        if "x" not in band and (len(band) == BAND or at == 0):
-            keys.append(f"{at}:{band}")
-    return keys
+@dataclass(frozen=True)
+class Bands:
+    """Bands that two fingerprints of likeness ``least`` or more both have, but for a chance of MISS.
+
+    The steps that a walk has reached are cut into classes that grow by
+    1 / ``least``, so two such walks are of one class or of neighbouring ones.
+    A class has its own bands: each takes ``BAND`` steps drawn at random, with
+    replacement and in proportion to the steps they stand for, from those up to
+    the end of the class. What lies beyond a walk's end counts as a value of its
+    own. So a drawn step agrees with at least the chance ``least``, a band with
+    ``least ** BAND``, and all ``number`` bands fail with MISS at most. A walk
+    takes the bands of its class and of the next longer one.
+    """
+
+    least: float
+
+    @property
+    def number(self) -> int:
+        return ceil(log(MISS) / log(1 - self.least**BAND))
+
+    def keys(self, fingerprint: str) -> np.ndarray:
+        """One number per band of a fingerprint that is not empty; equal bands have equal numbers."""
+        digits = digits_of(fingerprint)
+        size = int(np.searchsorted(digits == PAD, True))  # the walk ends before its first x
+        own = int(log(REACHED[size]) / log(1 / (self.least - 1e-9)))
+        found = []
+        for longer in (own, own + 1):
+            drawn = drawn_samples(longer, self.least, self.number)
+            values = np.where(drawn < size, digits[np.minimum(drawn, size - 1)], PAD).astype(np.uint64)
+            found.append(mixed(longer, values))
+        return np.concatenate(found).view(np.int64)
+
+
+REACHED = np.concatenate([[0.0], np.cumsum(WEIGHTS)])  # how many steps the first samples stand for
+PLACES = np.zeros(128, dtype=np.uint8)  # of a digit
+PLACES[DIGITS] = np.arange(len(DIGITS))
+
+
+def digits_of(fingerprint: str) -> np.ndarray:
+    return PLACES[np.frombuffer(fingerprint.encode(), dtype=np.uint8)]
+
+
+@lru_cache(maxsize=None)
+def drawn_samples(longer: int, least: float, number: int) -> np.ndarray:
+    """For each band of a class, the samples it takes; the same in every task."""
+    reach = (1 / (least - 1e-9)) ** (longer + 1)
+    places = np.random.Generator(np.random.PCG64([1969, longer])).random((number, BAND)) * reach
+    return np.searchsorted(REACHED, places, side="right") - 1
+
+
+def mixed(longer: int, values: np.ndarray) -> np.ndarray:
+    """A number of 64 bits for each row of ``values``, which tells rows and classes apart."""
+    rows = np.arange(len(values), dtype=np.uint64)
+    h = (rows + np.uint64(longer << 20)) * np.uint64(0x9E3779B97F4A7C15)
+    for column in values.T:
+        h = (h ^ (h >> np.uint64(29))) + column + np.uint64(1)
+        h *= np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(32))
+
+
+def unlikeness(prints: list[str]) -> Callable[[int], np.ndarray]:
+    """For a fingerprint, how unlike each later one is."""
+    size = max(map(len, prints))
+    digits = np.stack([digits_of(p.ljust(size, "x")) for p in prints])
+    weights = WEIGHTS[:size]
+
+    def apart_from(i: int) -> np.ndarray:
+        later = digits[i + 1 :]
+        counted = (later != PAD) | (digits[i] != PAD)
+        return ((later != digits[i]) @ weights) / (counted @ weights)
+
+    return apart_from
 
 
 def near_texts(prints: DataFrame, least: float) -> DataFrame:
@@ -295,23 +360,30 @@ def near_texts(prints: DataFrame, least: float) -> DataFrame:
 
     ``prints`` has doc_id and fingerprint. Two fingerprints that share a band
     are compared whole; equal ones are one class whose members are never paired.
-    Bands with the same members are looked at once, large ones block by block,
-    and only a spanning forest leaves a block. Rows with a null id or an empty
-    fingerprint are in no group; a row alone in its group is its own component.
+    A pair exactly at ``least`` shares no band with chance ``MISS``, a more alike
+    one more rarely, whatever the length of the texts; a pair that is found by
+    other members of its group is not lost. Bands with the same members are
+    looked at once, large ones block by block, and only a spanning forest leaves
+    a block. Rows with a null id or an empty fingerprint are in no group; a row
+    alone in its group is its own component; an empty table gives none. Other
+    columns are ignored.
     """
     usable = prints.select("doc_id", "fingerprint").filter("doc_id IS NOT NULL AND fingerprint <> ''")
-    same = materialise(usable.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "prints")
-    schema = T.StructType([same.schema["rep"], T.StructField("keys", T.ArrayType(T.StringType()))])
+    same = materialise(usable.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "prints", compression="zstd")
+    schema = T.StructType([same.schema["rep"], T.StructField("keys", T.ArrayType(T.LongType()))])
+    bands = Bands(least)
 
     def start():
         def step(batch):
-            keys = [band_keys(f) for f in batch.column("fingerprint").to_pylist()]
-            return pa.record_batch([batch.column("rep"), pa.array(keys, pa.list_(pa.string()))], ["rep", "keys"])
+            keys = [bands.keys(f) for f in batch.column("fingerprint").to_pylist()]
+            return pa.record_batch([batch.column("rep"), pa.array(keys, pa.list_(pa.int64()))], ["rep", "keys"])
 
         return step
 
     keyed = shared.map_batches(same, start, schema).select("rep", F.explode("keys").alias("key"))
-    keyed = keyed.select("rep", F.xxhash64("key").alias("key"))
+    # Most bands are met once: what goes on is what several fingerprints hold.
+    several = keyed.groupBy("key").count().filter("count > 1").select("key")
+    keyed = materialise(keyed.join(several, "key", "left_semi"), "bands")
     held = keyed.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("rep").alias("low"),
@@ -319,8 +391,8 @@ def near_texts(prints: DataFrame, least: float) -> DataFrame:
         F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x"),
         F.bit_xor(F.xxhash64(F.lit(2), "rep")).alias("y"),
     )
-    several = held.filter("n > 1").groupBy("n", "low", "high", "x", "y").agg(F.min("key").alias("key"))
-    members = keyed.join(several.select("key", "n"), "key")
+    held = held.groupBy("n", "low", "high", "x", "y").agg(F.min("key").alias("key"))
+    members = keyed.join(held.select("key", "n"), "key")
     cells = neardup.in_cells(members, "key", "rep", F.ceil(F.col("n") / neardup.KEY_BLOCK)).drop("n")
     cells = cells.join(same, "rep")
     order = ["key", "low", "high"]
@@ -328,14 +400,10 @@ def near_texts(prints: DataFrame, least: float) -> DataFrame:
     def run(batches):
         linked = neardup.Links()
         for cell in neardup.cells_of(batches, "key"):
-            prints = cell.column("fingerprint").to_pylist()
             own = cell.column("own").to_numpy()
-
-            def apart_from(i):
-                return np.array([1 - likeness(prints[i], p) for p in prints[i + 1 :]])
-
             ids = cell.column("rep").to_pylist()
-            edges = neardup.forest(linked, ids, own, apart_from, 1 - least + 1e-12)
+            apart_from = unlikeness(cell.column("fingerprint").to_pylist())
+            edges = neardup.forest(linked, ids, own, apart_from, 1 - least + 1e-9)
             if edges:
                 yield neardup.edge_batch(edges)
 
@@ -346,3 +414,16 @@ def near_texts(prints: DataFrame, least: float) -> DataFrame:
     return usable.select("doc_id").distinct().join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.coalesce("component", "doc_id").alias("component")
     )
+
+
+def with_groups(prints: DataFrame, least: float) -> DataFrame:
+    """Add ``group_id``: the smallest doc_id of the row's group of ``near_texts``; its own without one.
+
+    ``prints`` is read several times, so it should be a written table; equal rows keep
+    their number.
+    """
+    mate, group = shared.free_names(prints, "_mate", "group_id")
+    groups = near_texts(prints, least).filter("component <> doc_id")
+    groups = groups.select(F.col("doc_id").alias(mate), F.col("component").alias(group))
+    joined = prints.join(groups, F.col("doc_id") == F.col(mate), "left").drop(mate)
+    return joined.withColumn(group, F.coalesce(group, "doc_id"))

@@ -30,6 +30,7 @@ SHARDS = 8
 NEIGHBOURS = 5
 NEAR = neardup.Shape(width=3, percent=85)
 EVERY = 50
+ALIKE = 0.9  # likeness of fingerprints from which on op10 groups texts
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +102,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text."""
-    return fingerprint.compare_with_next(shared.table(spark, sf_dir, "documents"))
+    """Fingerprints of every document and of its edited text, and the group of like fingerprints it is in."""
+    prints = fingerprint.compare_with_next(shared.table(spark, sf_dir, "documents"))
+    return fingerprint.with_groups(prints, ALIKE)
 
 
 def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
