@@ -36,7 +36,7 @@ MISS = 2e-5
 # key has blocks), texts of a block of a component, and shingles of such a block.
 KEY_BLOCK = 4096
 # Rows of keys with the same first member that one task takes, about.
-TASK_ROWS = 20_000
+TASK_ROWS = 2_000
 TEXT_BLOCK = 256
 TEXT_BLOCK_SHINGLES = 4_000_000
 
