@@ -47,6 +47,33 @@ def test_a_line_that_does_not_fit_raises(spark, tmp_path):
         files.read_csv(spark, str(tmp_path / "t.csv"), SCHEMA).collect()
 
 
+def test_lines_that_do_not_fit_go_aside(spark, tmp_path):
+    lines = ["1,a,1.5", "2,b,not a number", "3,c", "4,d,1,5", "x,e,1", '5,"f, ""g""",', "6,,2"]
+    (tmp_path / "t.csv").write_text("\n".join(["i,t,y", *lines]) + "\n")
+    rows, rejected = files.split_csv(spark, f"{tmp_path}/t.csv", SCHEMA, f"{tmp_path}/out")
+    assert sorted(map(tuple, rows.collect())) == [(1, "a", 1.5), (5, 'f, "g"', None), (6, None, 2.0)]
+    assert sorted(r.line for r in rejected.collect()) == sorted(lines[1:5])
+    clash = "i int, line string, fits double"
+    rows, rejected = files.split_csv(spark, f"{tmp_path}/t.csv", clash, f"{tmp_path}/clash")
+    assert rows.columns == ["i", "line", "fits"] and (rows.count(), rejected.columns, rejected.count()) == (3, ["line"], 4)
+    (tmp_path / "none.csv").write_text("i,t,y\n")
+    rows, rejected = files.split_csv(spark, f"{tmp_path}/none.csv", SCHEMA, f"{tmp_path}/none")
+    assert rows.count() == rejected.count() == 0
+
+
+def test_a_panel_with_broken_lines_is_loaded_in_one_read(spark, tmp_path):
+    lines = [f"2020-{m:02d}-01,a{g},{m}.5,{g}" for g in range(3) for m in range(1, 13)]
+    broken = ["2021-01-01,a0,much,1", "2021-02-01,a0"]
+    (tmp_path / "p.csv").write_text("\n".join(["date,area,turnover,headcount", *lines, *broken]) + "\n")
+    spec = PanelSpec(date="date", target="turnover", group="area")
+    schema = "date date, area string, turnover double, headcount int"
+    panel = workflow.load_panel(spark, f"{tmp_path}/p.csv", spec, schema, out=f"{tmp_path}/loaded")
+    assert panel.count() == len(lines) and str(tmp_path / "loaded" / "rows") in panel.inputFiles()[0]
+    assert sorted(r.line for r in workflow.rejected_lines(spark, f"{tmp_path}/loaded").collect()) == broken
+    with pytest.raises(ValueError, match="schema"):
+        workflow.load_panel(spark, f"{tmp_path}/p.csv", spec, out=f"{tmp_path}/loaded")
+
+
 @pytest.fixture(scope="module")
 def discovered(spark):
     """A panel whose date and target columns must be found by their names."""

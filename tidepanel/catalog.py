@@ -893,6 +893,25 @@ def io_csv_text(spark, sf_dir):
     return files.read_csv(spark, path, pages.schema, multi_line=True)
 
 
+@query(
+    "SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS l_quantity, NULL AS line FROM lineitem "
+    "WHERE l_returnflag <> 'R' UNION ALL SELECT NULL, NULL, NULL, "
+    "concat(l_orderkey, ',', l_linenumber, ',not known') FROM lineitem WHERE l_returnflag = 'R'"
+)
+def io_csv_rejected(spark, sf_dir):
+    """Lines that fit a schema as rows, the others as they stand."""
+    quantity = F.when(F.col("l_returnflag") != "R", F.col("l_quantity").cast("double").cast("string"))
+    items = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.coalesce(quantity, F.lit("not known")).alias("l_quantity")
+    )
+    path = new_path(spark, "items-csv")
+    files.write_csv(items, path)
+    kinds = dict(items.dtypes)
+    schema = f"l_orderkey {kinds['l_orderkey']}, l_linenumber {kinds['l_linenumber']}, l_quantity double"
+    rows, rejected = files.split_csv(spark, path, schema, new_path(spark, "items"))
+    return rows.unionByName(rejected, allowMissingColumns=True)
+
+
 @query(sql.features("SELECT grp, date, {y}, headcount::DOUBLE AS weight, split FROM sided WHERE split = 'test'"))
 def io_prepared_bundle(spark, sf_dir):
     path = new_path(spark, "bundle")

@@ -22,17 +22,35 @@ from tidepanel.spec import PanelSpec
 from tidepanel.storage import materialise, step
 
 
-def load_panel(spark: SparkSession, path: str, spec: PanelSpec, schema=None, multi_line: bool = False) -> DataFrame:
+def load_panel(
+    spark: SparkSession, path: str, spec: PanelSpec, schema=None, multi_line: bool = False, out: str | None = None
+) -> DataFrame:
     """A panel from CSV (by file name) or Parquet, checked to have one row per group and date.
 
-    Without a schema a CSV file is read once more to infer it.
+    Without a schema a CSV file is read once more to infer it. With a schema, a
+    line that does not fit it raises, unless ``out`` is given: then the file is
+    read once, its rows go to ``out``/rows, and the lines that do not fit to
+    ``out``/rejected, for ``rejected_lines``.
     """
-    panel = files.read_csv(spark, path, schema, multi_line) if path.endswith(".csv") else spark.read.parquet(path)
+    if not path.endswith(".csv"):
+        panel = spark.read.parquet(path)
+    elif out is None:
+        panel = files.read_csv(spark, path, schema, multi_line)
+    elif schema is None:
+        raise ValueError("lines can only be rejected against a schema")
+    else:
+        panel, rejected = files.split_csv(spark, path, schema, f"{out}/rows", multi_line)
+        files.write_table(rejected, f"{out}/rejected")
     resolved = spec.resolve(panel.columns)
     require_unique(clean_panel(panel, resolved), [resolved.group, resolved.date])
     return panel
 
 
+def rejected_lines(spark: SparkSession, out: str) -> DataFrame:
+    """The lines that ``load_panel`` rejected, in column ``line``."""
+    return spark.read.schema("line string").parquet(f"{out}/rejected")
+
+
 def exploration(panel: DataFrame, spec: PanelSpec, out: str) -> None:
     found = explore(panel, spec)
     files.write_table(found.trend, f"{out}/trend")

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.ml.util import MLWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 
 # Standard quoting: a quote inside a quoted value is doubled.
@@ -31,6 +31,28 @@ def read_csv(
     return reader.option("mode", "FAILFAST").schema(schema).csv(path)
 
 
+def split_csv(
+    spark: SparkSession, path: str, schema: StructType | str, out: str, multi_line: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected): the lines of a CSV file that fit the schema, and the others as they stand.
+
+    A line is rejected if a value does not fit its type or if it has too few or
+    too many values. The file is read once: both sides are written to ``out``,
+    in a folder each. ``rejected`` has one column, ``line``; an empty file gives
+    two empty tables.
+    """
+    columns = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    line, fits = "line", "fits"
+    while {line, fits} & {c.lower() for c in columns.names}:
+        line, fits = f"{line}_", f"{fits}_"
+    whole = StructType([StructField(c.name, c.dataType) for c in columns]).add(line, "string")
+    reader = spark.read.options(**QUOTING, multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord=line)
+    read = reader.schema(whole).csv(path).withColumn(fits, F.col(line).isNull())
+    read.write.mode("overwrite").partitionBy(fits).parquet(out)
+    both = spark.read.schema(read.schema).parquet(out)
+    return both.where(F.col(fits)).select(*columns.names), both.where(~F.col(fits)).select(F.col(line).alias("line"))
+
+
 def write_csv(df: DataFrame, path: str, multi_line: bool = False) -> None:
     """Write with standard quoting. A value with a line break raises unless ``multi_line``
     allows it, since other readers of split files would see two lines."""
