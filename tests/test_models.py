@@ -124,6 +124,33 @@ def test_search_takes_the_lowest_mean_error(prepared, unit):
     assert [r.candidate for r in found.ranking.collect()] == sorted(means, key=means.get)
 
 
+@pytest.mark.parametrize("params", [{"subsamplingRate": 0.7}, {"featureSubsetStrategy": "0.5"}])
+def test_first_rounds_are_a_shorter_fit(prepared, params):
+    def fitted(rounds):
+        spec = ForecastSpec("boosted", {"maxDepth": 3, "maxIter": rounds, **params}, label="y")
+        return models.fit(prepared.train, prepared.features, spec, prepared.keys)
+
+    def predicted(model):
+        rows = models.predict(model, prepared.test, prepared.features, "p")
+        return {(r.grp, r.date): r.p for r in rows.select("grp", "date", "p").collect()}
+
+    cut = models.first_rounds(fitted(6), 4)
+    assert cut.getNumTrees == 4 and predicted(cut) == predicted(fitted(4))
+
+
+def test_search_fits_candidates_of_different_rounds_once(prepared, monkeypatch):
+    candidates = [{"n_estimators": n, "max_depth": d} for d in ("2", "3") for n in ("4", "1", "2")]
+    alone = [search.search(prepared, ForecastSpec(label="y"), [c], n_splits=2) for c in candidates[:2]]
+    fits = []
+    monkeypatch.setattr(search, "fit", lambda *a, **k: fits.append(a[2].params["maxIter"]) or models.fit(*a, **k))
+    found = search.search(prepared, ForecastSpec(label="y"), candidates, n_splits=2)
+    assert fits == [4] * 4  # two depths on two folds
+    scores = {(r.candidate, r.fold): r.mae for r in found.scores.collect()}
+    assert len(scores) == 12 and len(set(scores.values())) == 12
+    for candidate, one in enumerate(alone):
+        assert {r.fold: r.mae for r in one.scores.collect()} == {f: m for (c, f), m in scores.items() if c == candidate}
+
+
 # --- attributions -----------------------------------------------------------
 
 
@@ -273,6 +300,18 @@ def test_importance_summary_and_row(prepared, boosted):
     assert [abs(r.phi) for r in one] == sorted((abs(r.phi) for r in one), reverse=True)
 
 
+def test_attribution_quantiles(prepared, boosted):
+    wide = forecast.explain(prepared, boosted.model).cache()
+    levels = {"low": 0.05, "high": 0.95}
+    got = attribution.attribution_quantiles(wide, prepared.features, levels).collect()
+    assert len(got) == 2 * len(prepared.features)
+    rows = wide.toPandas()
+    for r in got:
+        values = rows[r.feature if r.measure == "value" else f"phi_{r.feature}"]
+        assert r.n == 147
+        assert [r.low, r.high] == [np.quantile(values, q, method="inverted_cdf") for q in levels.values()]
+
+
 def test_linear_models_are_not_explained(prepared):
     model = models.fit(prepared.train, prepared.features, ForecastSpec("linear"), prepared.keys)
     with pytest.raises(ValueError, match="no attributions"):
@@ -354,6 +393,7 @@ WHOLE = {
     "attribution_classifier": {"feature", "value", "phi"},
     "feature_importance_top20": {"feature", "importance"},
     "attribution_summary": {"feature", "bin", "n"},
+    "attribution_quantiles": {"feature", "measure", "n", "q1", "median", "q3"},
     "single_row_explanation": {"feature", "phi"},
 }
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidepanel import catalog_sql as sql
 from tidepanel.functions.scalars import class_label, coerce_number, from_log, month_name, parse_date, to_log
-from tidepanel.operators import attribution, bootstrap, encode, features, metrics, report, series, split
+from tidepanel.operators import attribution, bootstrap, encode, features, metrics, report, series, sketches, split
 from tidepanel.operators.models import ForecastSpec, fit, load_model, predict, predict_class
 from tidepanel.operators.ordered import ordered_index
 from tidepanel.plans import forecast, prepare, search
@@ -481,6 +481,18 @@ def month_box(spark, sf_dir):
     return report.month_box(suppliers(spark, sf_dir), "date", "y")
 
 
+@query(sql.MONTH_QUANTILES)
+def month_quantiles_stored(spark, sf_dir):
+    """Quartiles per calendar month, merged from sketches stored per month of the panel.
+
+    They are the exact ones while a calendar month has at most 4,096 values, and within
+    the sketch's rank error beyond.
+    """
+    stored = materialise(sketches.value_sketches(suppliers(spark, sf_dir), ["date"], ["y", "headcount"]), "sketches")
+    by_month = sketches.merged(stored.withColumn("month", F.month("date")), ["month"], ["y", "headcount"])
+    return sketches.quantiles(by_month, ["month"], ["y", "headcount"])
+
+
 @query(sql.MONTH_OUTLIERS)
 def month_outliers(spark, sf_dir):
     panel = materialise(suppliers(spark, sf_dir).select("grp", "date", "y"), "panel")
@@ -845,6 +857,22 @@ def attribution_summary(spark, sf_dir):
     return attribution.attribution_summary(wide, ready.features)
 
 
+@query()
+def attribution_quantiles(spark, sf_dir):
+    ready, _, wide = _explained(spark, sf_dir)
+    return attribution.attribution_quantiles(wide, ready.features)
+
+
+@query(sql.ATTRIBUTION_QUANTILES)
+def attribution_quantiles_check(spark, sf_dir):
+    """The spread of the values that are explained (exact for up to 4,096 rows), and the rows of both measures."""
+    spread = attribution_quantiles(spark, sf_dir)
+    return spread.groupBy("feature", "n").agg(
+        F.count(F.lit(1)).alias("measures"),
+        *[F.max(F.when(F.col("measure") == "value", F.col(q))).alias(q) for q in sketches.QUARTILES],
+    )
+
+
 @query(sql.features("SELECT count(*) AS n, true AS short, true AS inside FROM sided WHERE split = 'test'"))
 def attribution_summary_check(spark, sf_dir):
     """Each of at most twenty features counts every test row once, in bins from 0 to 19."""

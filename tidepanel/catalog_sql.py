@@ -454,6 +454,16 @@ FROM box JOIN (
   FROM placed GROUP BY month) ends ON box.month = ends.month""",
 )
 
+_QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+MONTH_QUANTILES = _with(
+    SUPPLIER,
+    "SELECT month::INTEGER AS month, measure, count(value) AS n, "
+    + ", ".join(rounded(f"quantile_disc(value, {level})", name) for name, level in _QUARTILES.items())
+    + """ FROM (SELECT month(date) AS month, unnest(['y', 'headcount']) AS measure, unnest([y, headcount::DOUBLE]) AS value
+      FROM panel) GROUP BY 1, 2""",
+)
+
 MONTH_OUTLIERS = _with(_BOX, "SELECT grp, date, month::INTEGER AS month, {y} FROM placed WHERE beyond")
 
 SCATTER_BINS = naive(f"""
@@ -552,6 +562,12 @@ TREE_ATTRIBUTION = features(
     + " FROM sided WHERE split = 'train') fit WHERE split = 'test')"
 )
 
+ATTRIBUTION_QUANTILES = (
+    "SELECT feature, count(value) AS n, 2::BIGINT AS measures, "
+    + ", ".join(rounded(f"quantile_disc(value, {level})", name) for name, level in _QUARTILES.items())
+    + f" FROM ({TREE_ATTRIBUTION}) GROUP BY feature"
+)
+
 SINGLE_ROW = features(
     f"SELECT grp, date, {len(_ALL_FEATURES)}::BIGINT AS n_features, true AS sorted "
     "FROM sided WHERE split = 'test' ORDER BY grp, date LIMIT 1"

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tidepanel.operators.sketches import QUARTILES, SIZE, quantiles, value_sketches
 from tidepanel.sources.files import save_model
 from tidepanel.storage import materialise, new_path
 
@@ -249,6 +250,26 @@ def attribution_summary(
     )
 
 
+def attribution_quantiles(
+    wide: DataFrame, features: Sequence[str], levels: Mapping[str, float] = QUARTILES, size: int = SIZE
+) -> DataFrame:
+    """(feature, measure, n, a column per level): how each feature's values and attributions are spread.
+
+    ``measure`` is ``value`` or ``phi``. One pass over the rows: a sketch per column,
+    nothing is melted or ordered (``sketches.rank_error``).
+    """
+    columns = [*features, *[f"phi_{f}" for f in features]]
+    spread = quantiles(value_sketches(wide, [], columns, size), [], columns, levels)
+    names = F.create_map(*[F.lit(n) for f in features for n in (f"phi_{f}", f)])
+    feature = names[F.col("measure")]
+    return spread.select(
+        F.coalesce(feature, "measure").alias("feature"),
+        F.when(feature.isNotNull(), "phi").otherwise("value").alias("measure"),
+        "n",
+        *levels,
+    )
+
+
 def explain_row(df: DataFrame, model: Model, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Attributions of the first row in key order, the strongest first; only that row is scored."""
     first = df.orderBy(*keys).limit(1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark import SparkContext
 from pyspark.ml import Model
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -152,5 +153,18 @@ def predict_class(model: Model, df: DataFrame, features: Sequence[str]) -> DataF
     )
 
 
+def first_rounds(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The boosted model as a fit of only ``rounds`` rounds gives it: a round never depends on later ones."""
+    gateway = SparkContext._gateway
+    package = gateway.jvm.org.apache.spark.ml.regression
+    trees = gateway.new_array(package.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(gateway.jvm.double, rounds)
+    fitted = model._java_obj.trees()
+    for i, weight in enumerate(model.treeWeights[:rounds]):
+        trees[i], weights[i] = fitted[i], weight  # the trees stay in the JVM
+    cut = package.GBTRegressionModel(f"{model.uid}_{rounds}", trees, weights)
+    return model._copyValues(GBTRegressionModel(cut))
+
+
 def load_model(kind: str, path: str) -> Model:
     return LOADERS[kind].load(path)

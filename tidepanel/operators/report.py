@@ -11,6 +11,7 @@ from tidepanel.functions.aggregates import weighted_mean
 from tidepanel.functions.scalars import month_name, residual_sign
 from tidepanel.operators.bootstrap import replicate_sums
 from tidepanel.operators.ordered import prefix_sums
+from tidepanel.operators.sketches import QUARTILES, quantiles, value_sketches
 from tidepanel.storage import materialise
 
 WHISKER_REACH = 1.5  # in interquartile ranges
@@ -116,10 +117,24 @@ def _with_reach(box: DataFrame) -> DataFrame:
     return box.withColumns({"_low": F.col("q1") - spread, "_high": F.col("q3") + spread})
 
 
-def month_box(df: DataFrame, date: str, value: str) -> DataFrame:
-    """Box statistics per calendar month, January first: quartiles, whiskers, outlier count."""
-    values = materialise(_month_values(df, date, value), "month-values")
-    box = _with_reach(_month_quantiles(values, {"q1": 0.25, "median": 0.5, "q3": 0.75}))
+def month_box(df: DataFrame, date: str, value: str, sketch_size: int | None = None) -> DataFrame:
+    """Box statistics per calendar month, January first: quartiles, whiskers, outlier count.
+
+    Quartiles are exact and interpolated. With ``sketch_size`` they are values out of
+    a sketch of that size, within its ``rank_error``: the rows are read twice and
+    never ordered or written. Whiskers and outliers are exact for the quartiles.
+    """
+    if sketch_size is None:
+        values = materialise(_month_values(df, date, value), "month-values")
+        quartiles = _month_quantiles(values, QUARTILES)
+    else:
+        values = df.where(F.col(value).isNotNull()).select(
+            F.month(date).alias("month"), F.col(value).alias("value"), F.lit(1).alias("count")
+        )
+        sketched = value_sketches(values, ["month"], ["value"], sketch_size)
+        # Written, since a sketch samples anew each time it is made: a box and its whiskers need the same one.
+        quartiles = materialise(quantiles(sketched, ["month"], ["value"], QUARTILES).drop("measure"), "quartiles")
+    box = _with_reach(quartiles)
     inside = (F.col("value") >= F.col("_low")) & (F.col("value") <= F.col("_high"))
     ends = (
         values.join(F.broadcast(box.select("month", "_low", "_high")), "month")  # twelve rows

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce
+from operator import itemgetter
 
 from pyspark.ml import Model
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.functions.aggregates import mean_absolute_error
-from tidepanel.operators.models import ForecastSpec, boosting_params, fit, predict, training_layout
+from tidepanel.operators.models import ForecastSpec, boosting_params, first_rounds, fit, predict, training_layout
 from tidepanel.operators.ordered import ordered_index
 from tidepanel.operators.split import fold_bounds, number_dates
 from tidepanel.plans.prepare import Prepared
@@ -77,6 +79,10 @@ def search(
     one aggregate, or other columns, is a ``table_scorer``: it takes a fold's scored
     rows (all prepared columns) with the names of the actual and the predicted one,
     and gives a table of one row whose first column is the score.
+
+    Boosted candidates that differ only in their rounds are one fit of the most rounds,
+    whose first rounds are scored for the others. Where the session schedules fairly
+    (``spark.scheduler.mode``), each fit has a pool of its own.
     """
     spark = prepared.rows.sparkSession
     if unit == "row":
@@ -86,23 +92,37 @@ def search(
     numbered = materialise(training_layout(numbered, prepared.keys), "folds")
     bounds = fold_bounds(numbered.agg((F.max("_unit") + 1).alias("n")), n_splits).collect()
 
-    def score(job):
-        (candidate, settings), fold = job
-        spec = replace(base, params={**base.params, **boosting_params(settings)})
-        train = numbered.where(F.col("_unit") < fold.test_from)
-        test = numbered.where((F.col("_unit") >= fold.test_from) & (F.col("_unit") < fold.test_to))
-        model = fit(train, prepared.features, spec, prepared.keys, laid_out=True)
-        scored = predict(model, test, prepared.features, "_predicted", spec.log_target)
+    fits = defaultdict(list)  # parameters without the rounds -> (rounds, candidate, settings)
+    for candidate, settings in enumerate(candidates):
+        params = {**base.params, **boosting_params(settings)}
+        rounds = params.pop("maxIter") if base.kind == "boosted" else None
+        fits[tuple(sorted(params.items()))].append((rounds, candidate, settings))
+
+    def score(model, test):
+        scored = predict(model, test, prepared.features, "_predicted", base.log_target)
         if table_scorer is not None:
             table = table_scorer(scored, base.label, "_predicted")
         else:
             table = scored.agg(scorer(F.col(base.label), F.col("_predicted")))
-        score = table.first()[0]
-        return {"candidate": candidate, "fold": fold.fold, **settings, score_name: score}
+        return table.first()[0]
 
-    jobs = [(c, fold) for c in enumerate(candidates) for fold in bounds]
+    def run(job):
+        place, (params, members), fold = job
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{place}-{fold.fold}")
+        train = numbered.where(F.col("_unit") < fold.test_from)
+        test = numbered.where((F.col("_unit") >= fold.test_from) & (F.col("_unit") < fold.test_to))
+        most = max(members, key=itemgetter(0))[0] if base.kind == "boosted" else None
+        spec = replace(base, params=dict(params) | ({"maxIter": most} if most is not None else {}))
+        whole = fit(train, prepared.features, spec, prepared.keys, laid_out=True)
+        results = []
+        for rounds, candidate, settings in members:
+            model = whole if rounds == most else first_rounds(whole, rounds)
+            results.append({"candidate": candidate, "fold": fold.fold, **settings, score_name: score(model, test)})
+        return results
+
+    jobs = [(place, job, fold) for place, job in enumerate(fits.items()) for fold in bounds]
     with ThreadPoolExecutor(parallelism) as pool:
-        results = list(pool.map(score, jobs))
+        results = [row for rows in pool.map(run, jobs) for row in rows]
     scores = spark.createDataFrame(results)
     names = list(candidates[0])
     means = scores.groupBy("candidate", *names).agg(F.avg(score_name).alias(score_name))
