@@ -10,7 +10,8 @@ Keys that hold the same members are looked at once. Members of a key are
 compared in blocks of bounded size, and a task returns only a spanning forest
 of the pairs within the threshold over all its keys, never all pairs. Its components hold every
 candidate pair; inside them, again in blocks, pairs are confirmed on their full
-shingle sets, and the components of the confirmed links are the result.
+shingle sets, and the components of the confirmed links are the result. Blocks
+that the confirmed links have made one are not held against each other again.
 """
 
 from __future__ import annotations
@@ -105,14 +106,17 @@ def chunk_keys(shape: Shape) -> Column:
     return F.explode(F.array(*keys)).alias("key")
 
 
+def block_of(member: str, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(3), member), blocks).cast("int")
+
+
 def in_cells(members: DataFrame, group: str, member: str, blocks: Column) -> DataFrame:
     """Deal the members of each group to ``blocks`` blocks by hash, and pair up the blocks.
 
     Each row goes to the cells of its block with every block; ``own`` is its
     block and (``low``, ``high``) the pair of the cell.
     """
-    own = F.pmod(F.xxhash64(F.lit(3), member), blocks).cast("int")
-    dealt = members.withColumn("own", own).withColumn(
+    dealt = members.withColumn("own", block_of(member, blocks)).withColumn(
         "other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))
     )
     low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
@@ -239,19 +243,50 @@ def candidate_forest(classes: DataFrame, shape: Shape) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def confirmed_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, shape: Shape) -> DataFrame:
-    """(a, b): confirmed links that connect every confirmed pair of each cluster."""
-    members = clusters.join(classes, F.col("node") == F.col("rep")).select(
-        "rep", "n_shingles", "h1", "h2", "signature", F.col("component").alias("cluster")
-    )
-    sizes = members.groupBy("cluster").agg(
-        F.greatest(
-            F.ceil(F.count(F.lit(1)) / TEXT_BLOCK), F.ceil(F.sum("n_shingles") / TEXT_BLOCK_SHINGLES)
-        ).alias("blocks")
+MEMBER = ["rep", "part", "n_shingles", "h1", "h2", "signature"]
+
+
+def text_blocks() -> Column:
+    """How many blocks the texts of a group take."""
+    rows, size = F.count(F.lit(1)) / TEXT_BLOCK, F.sum("n_shingles") / TEXT_BLOCK_SHINGLES
+    return F.greatest(F.ceil(rows), F.ceil(size)).cast("int").alias("blocks")
+
+
+def with_blocks(members: DataFrame) -> DataFrame:
+    """Members with ``blocks``: in how many blocks their cluster's texts are held against each other."""
+    return members.join(members.groupBy("cluster").agg(text_blocks()), "cluster")
+
+
+def in_part_cells(members: DataFrame) -> DataFrame:
+    """Cells of the blocks of a cluster, but for two blocks of one part.
+
+    A part of more than a block has blocks of its own; the others of the cluster share some.
+    """
+    parts = members.groupBy("cluster", "part").agg(text_blocks())
+    members = members.join(parts, ["cluster", "part"]).withColumn("lot", F.when(F.col("blocks") > 1, F.col("part")))
+    # A row per cluster and large part.
+    lots = members.groupBy("cluster", "lot").agg(text_blocks())
+    whole = Window.partitionBy("cluster")
+    before = whole.orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
+    lots = lots.select(
+        F.col("cluster").alias("_cluster"),
+        F.col("lot").alias("_lot"),
+        F.col("blocks").alias("_blocks"),
+        F.coalesce(F.sum("blocks").over(before), F.lit(0)).cast("int").alias("first"),
+        F.sum("blocks").over(whole).cast("int").alias("total"),
     )
-    members = members.join(sizes, "cluster")
+    same = (F.col("cluster") == F.col("_cluster")) & F.col("lot").eqNullSafe(F.col("_lot"))
+    dealt = members.join(lots, same).withColumn("own", F.col("first") + block_of("rep", F.col("_blocks")))
+    others = F.sequence(F.lit(0), F.col("total") - 1)
+    apart = F.filter(others, lambda b: (b < F.col("first")) | (b >= F.col("first") + F.col("_blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.when(F.col("lot").isNull(), others).otherwise(apart)))
+    low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+    return dealt.select("cluster", low, high, "own", *MEMBER)
+
+
+def confirm(cells: DataFrame, docs: DataFrame, shape: Shape) -> DataFrame:
+    """(a, b): confirmed links that connect all that is linked inside a cell and is not one part already."""
     texts = docs.select(F.col("doc_id").alias("rep"), "text").filter("rep IS NOT NULL")
-    cells = in_cells(members.join(texts, "rep"), "cluster", "rep", F.col("blocks"))
     order = ["cluster", "low", "high"]
 
     def run(batches):
@@ -268,6 +303,8 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, sh
             if len(places) < 2:
                 continue
             rows, found = [rows[i] for i in places], [found[i] for i in places]
+            for row in rows:
+                links.join(row["rep"], row["part"])
 
             def confirmed(i: int, j: int) -> bool:
                 a, b = found[i], found[j]
@@ -282,7 +319,56 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, sh
             if edges:
                 yield edge_batch(edges)
 
-    return cells.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
+    dealt = cells.select(*order, "own", *MEMBER).join(texts, "rep").repartition(*order).sortWithinPartitions(*order)
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def parted(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members whose ``part`` is the smallest of those that links connect them with."""
+    ours = links.join(members.select(F.col("rep").alias("a")), "a", "left_semi")
+    found = components(ours).select(F.col("node").alias("rep"), F.col("component").alias("found"))
+    joined = members.join(found, "rep", "left")
+    return joined.withColumn("part", F.coalesce("found", "rep")).drop("found")
+
+
+def between_parts(members: DataFrame, shape: Shape) -> DataFrame:
+    """The members that share a key with a member of another part of their cluster.
+
+    Of two texts within the threshold distance in different parts, both are among them.
+    """
+    keyed = members.select("cluster", "rep", "part", chunk_keys(shape))
+    spread = keyed.groupBy("cluster", "key").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    ends = keyed.join(spread.filter("low <> high"), ["cluster", "key"], "left_semi").select("rep").distinct()
+    return members.join(ends, "rep", "left_semi")
+
+
+def confirmed_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, shape: Shape) -> DataFrame:
+    """(a, b): confirmed links that connect every confirmed pair of each cluster.
+
+    First each text meets the texts of its own block; a cluster of one block is
+    done then. In a larger one the smallest member of each connected part meets
+    the others' next. What is still in several parts after that is compared by
+    pairs of blocks, none of them two of one part, and only the texts that a key
+    ties to another part. So a cluster of near copies is read once and a little
+    more, however large.
+    """
+    members = clusters.join(classes, F.col("node") == F.col("rep")).select(
+        F.col("component").alias("cluster"), F.col("rep").alias("part"), *[c for c in MEMBER if c != "part"]
+    )
+    members = with_blocks(members)
+    own = block_of("rep", F.col("blocks"))
+    alone = members.select("cluster", own.alias("low"), own.alias("high"), own.alias("own"), *MEMBER)
+    links = materialise(confirm(alone, docs, shape), "confirmed")
+    large = materialise(members.filter("blocks > 1").select("cluster", *MEMBER), "large-clusters")
+    if large.isEmpty():
+        return links
+    heads = with_blocks(parted(large, links).filter("rep = part"))
+    heads = in_cells(heads, "cluster", "rep", F.col("blocks"))
+    links = links.union(materialise(confirm(heads, docs, shape), "confirmed"))
+    rest = materialise(between_parts(parted(large, links), shape), "open-clusters")
+    if rest.isEmpty():
+        return links
+    return links.union(confirm(in_part_cells(rest), docs, shape))
 
 
 def near_duplicates(docs: DataFrame, shape: Shape) -> DataFrame:
