@@ -96,24 +96,6 @@ def test_near_duplicates_equal_brute_force(spark, many, monkeypatch, shape, bloc
     assert len(set(want.values())) < len(rows) - 100
 
 
-def test_a_large_cluster_is_not_read_once_for_each_block(spark, monkeypatch):
-    """400 texts with one word changed each, and 40 that drift: far fewer rows than 55 blocks a text."""
-    monkeypatch.setattr(neardup, "TEXT_BLOCK", 8)
-    read, confirm = [], neardup.confirm
-    monkeypatch.setattr(neardup, "confirm", lambda cells, *a: read.append(cells.count()) or confirm(cells, *a))
-    base = [f"word{i}" for i in range(450)]
-    rows = [(i, " ".join([*base[:i], f"other{i}", *base[i + 1 :]])) for i in range(400)]
-    drift = list(base)
-    for i in range(40):
-        for place in range(10):
-            drift[10 * i + place] = f"new{i}x{place}"
-        rows.append((1000 + i, " ".join(drift)))
-    shape = neardup.Shape(3, 85)
-    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shape).collect()
-    assert {r.doc_id: r.component_id for r in got} == brute.near_duplicates(rows, 3, 85)
-    assert read[0] == 440 and sum(read) < 440 * 55 / 3, read
-
-
 def test_near_duplicates_of_odd_rows(odd, empty, odd_rows):
     shape = SHAPES[0]
     rows = neardup.near_duplicates(odd, shape).collect()
