@@ -277,6 +277,64 @@ def test_copies_do_not_shift_the_curve(spark, monkeypatch):
     assert seen == pytest.approx(totals)
 
 
+def test_every_labelled_row_is_learnt_from(spark):
+    """More rows of a label than any sample took, each with a word of its own."""
+    word = F.translate(F.lower(F.hex(F.col("id") * 7919)), "0123456789", "ghijklmnop")
+    rows = spark.range(18_060).select(F.col("id").alias("doc_id"), word.alias("word"), (F.col("id") < 60).cast("int").alias("toxic"))
+    docs = rows.select("doc_id", F.concat_ws(" ", F.when(F.col("toxic") == 1, "scoundrel"), "word", "word").alias("text"))
+    model = toxicity.fit(docs, rows.select("doc_id", "toxic"))
+    learnable = {r.word for r in rows.filter(~shared.held_out()).collect()}
+    assert len(learnable) > 11_000 and learnable <= set(model.characters.words)
+    assert "scoundrel" in model.terms
+
+
+def test_term_counts_equal_brute_force(spark, monkeypatch):
+    """Across many tasks, slices and blocks; copies, exact or near, are one witness with all their terms."""
+    monkeypatch.setattr(toxicity, "HELD_TERMS", 40)
+    monkeypatch.setattr(toxicity, "TERM_ROWS", 3)
+    monkeypatch.setattr(toxicity, "WITNESS_BLOCK", 4)
+    copied = " ".join(f"shared{k}" for k in range(200))
+    texts = [(i % 2, story(i)) for i in range(30)] + [(1, f"{copied} copy{i}x") for i in range(40)] + [(0, story(0))] * 5 + [(1, "")] * 3
+    rows = [(i, text, label) for i, (label, text) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(5)
+    learnt = toxicity.learnt_texts(docs, docs.select("doc_id", "label")).cache()
+    named = toxicity.witnesses(learnt).cache()
+    witness = {(r.label, r.hash): r.witness for r in named.collect()}
+    assert set(witness) == {(label, toxicity.text_hash(text)) for label, text in texts}
+    assert sum(r.copies for r in named.collect()) == len(texts)
+    near = {witness[1, toxicity.text_hash(text)] for label, text in texts if text.startswith(copied)}
+    assert len(near) < 10
+    characters = toxicity.character_model(toxicity.character_counts(docs))
+    decode = toxicity.decoder(characters)
+    held = {(label, witness[label, toxicity.text_hash(text)], t) for label, text in texts for t in toxicity.terms_of(toxicity.restored_words(text, decode))}
+    want = collections.Counter((t, label) for label, _, t in held)
+    got = {(r.term, k): n for r in toxicity.term_counts(learnt, named, characters).collect() for k, n in ((1, r.toxic), (0, r.clean)) if n}
+    assert got == want
+
+
+def test_words_of_runs_are_the_mean_over_the_labels(spark, monkeypatch):
+    rows = [(1, "rotten rotten day"), (0, "fine day"), (0, "fine day in town")]
+    words = toxicity.common_words(spark.createDataFrame(rows, "label int, text string"))
+    assert {w: round(np.exp(p), 6) for w, p in words.items()} == {
+        "rotten": round(1 / 3, 6), "day": round(1 / 6 + 1 / 6, 6), "fine": round(1 / 6, 6)
+    }
+    monkeypatch.setattr(toxicity, "LEAST_SHARE", 0.2)
+    assert set(toxicity.common_words(spark.createDataFrame(rows, "label int, text string"))) == {"rotten", "day"}
+
+
+def test_words_read_at_once_equal_those_read_piece_by_piece(insult_model):
+    decode = toxicity.decoder(insult_model.characters)
+    texts = ["Day, (day) \"day\" day... day### d-day 3rd x² sc0undr3l! sooooo, re$t$ $coundrel 1day a_b __init__ e.g.", story(3)]
+    texts += ["s c o u n d r e l", "-s.c.o.u.n.d.r.e.l", "___ ### !!! 111 ½ aaa", "éééé, ñandú; 日日日本!", ""]
+    for text in texts:
+        lower = shared.lowered(text)
+        want = set().union(*(toxicity.token_words(t, decode) for t in lower.split()))
+        for run in toxicity.SPACED.findall(lower):
+            read = decode(toxicity.spaced(run))
+            want |= {*toxicity.LETTER_RUN.findall(read), read.replace(" ", "")}
+        assert toxicity.restored_words(text, decode) == want
+
+
 def test_restoring_equals_a_search_over_all_readings(insult_model):
     model = insult_model.characters
 

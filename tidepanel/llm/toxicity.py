@@ -3,7 +3,7 @@
 Leetspeak, spaced-out letters and repeated letters turn a word into a lattice
 of readings. A Viterbi search under a character language model, whose counts
 cover every document, picks the likeliest reading. The restored text is scored
-by terms (words and their beginnings) learnt from labelled documents.
+by terms (words and their beginnings) learnt from all labelled documents.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ import hashlib
 import math
 import re
 import zlib
-from collections.abc import Callable
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from itertools import filterfalse, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,9 @@ from pyspark.sql import types as T
 from tidepanel.llm import shared
 from tidepanel.storage import materialise
 
-# Most labelled documents the terms are learnt from (about; even over the two labels).
-SAMPLE_ROWS = 20_000
+# Share of a word, the mean over the labels, from which on runs are parted into it. So a million words at most
+# are known, whatever the table's size.
+LEAST_SHARE = 1e-6
 # Evidence a term needs: the log-likelihood ratio of its toxic and clean documents.
 LEAST_EVIDENCE = 10.0
 # Share of a term's documents that are toxic, at least. Words of a language in which toxic documents are
@@ -35,9 +38,17 @@ LEAST_PRECISION = 0.5
 # pairs from which two texts are copies.
 SKETCH, SKETCH_PAIRS = 128, 1024
 NEAR_COPY = 0.8
+# Texts whose sketches begin alike that are compared with each other; of more, the first of each block meet again,
+# where so many places agree.
+WITNESS_BLOCK, AGREED = 512, 4
+# Rows of ids that are sent to every executor, about 100 MB at most, so that no text is shuffled; more are joined
+# as Spark's sizes tell.
+BROADCAST_ROWS = 2_000_000
 ORDERS, SHIFTS = np.random.default_rng(11).integers(1 << 62, size=(2, SKETCH), dtype=np.uint64) | np.uint64(1)
-# Documents whose terms a task holds at a time; distinct pieces of text it remembers, and the longest of them.
+# Documents that a task counts the terms of at a time; distinct terms it holds before it gives their counts on.
 TERM_ROWS = 64
+HELD_TERMS = 200_000
+# Distinct pieces of text that a task remembers, and the longest of them.
 REMEMBERED = 200_000
 LONGEST_REMEMBERED = 64
 
@@ -68,6 +79,10 @@ JOINT = re.compile(r"[^\w@$!|+€£¡]+")
 ONE = r"(?:[^\W_]|[@$!|+€£¡])"
 SPACED = re.compile(rf"(?<![^\W_]){ONE}(?:(?:[^\w@$!|+€£¡]|_){{1,4}}{ONE}){{3,}}(?![^\W_])")
 CHARACTER = re.compile(ONE)
+# What every such run holds and few other texts do: two single characters between others.
+TWO_SINGLE = re.compile(r"[\W_]\S[\W_]{1,4}\S[\W_]")
+# Signs after a word that hide nothing.
+AFTER = ".,;:?!*#&%-_)]}\"'"
 
 
 @dataclass(frozen=True)
@@ -216,24 +231,53 @@ def restore_run(run: str, model: CharacterModel) -> str:
     return parted(restore(run, model).replace(" ", ""), model.words)
 
 
-def common_words(sample: DataFrame) -> dict[str, float]:
-    """log P(word) of the plain words that labelled documents hold more than once, the labels even.
+def tallied(df: DataFrame, schema: str, start: Callable[[], tuple[Callable, Callable, Callable]]) -> DataFrame:
+    """Counts over the rows of each task. ``start`` gives a task (add batch, entries held, rows of the counts)."""
 
-    The sample is bounded, and so are its words.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        add, held, take = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, TERM_ROWS):
+                add(batch.slice(at, TERM_ROWS))
+                if held() >= HELD_TERMS:
+                    yield take()
+                    add, held, take = start()
+        yield take()
+
+    return df.mapInArrow(run, schema)
+
+
+def common_words(learnt: DataFrame) -> dict[str, float]:
+    """log P(word) of the plain words that the labelled documents hold more than once, the labels even.
+
+    All labelled documents are counted. A word's probability is the mean of its
+    shares of the words under each label, at least ``LEAST_SHARE``.
     """
 
     def start():
-        def step(batch):
-            words = [w for t in shared.texts_of(batch) for w in LETTER_RUN.findall(shared.lowered(t))]
-            return pa.record_batch([pa.array(words, pa.string())], ["word"])
+        counts = defaultdict(Counter)
 
-        return step
+        def add(batch):
+            for label, text in zip(batch.column("label").to_pylist(), shared.texts_of(batch)):
+                counts[label].update(LETTER_RUN.findall(shared.lowered(text)))
+
+        def take():
+            columns = [pa.array([k for k, c in counts.items() for _ in c], pa.int32())]
+            columns += [pa.array([w for c in counts.values() for w in c], pa.string())]
+            columns += [pa.array([n for c in counts.values() for n in c.values()], pa.int64())]
+            return pa.record_batch(columns, ["label", "word", "n"])
 
-    schema = T.StructType([T.StructField("word", T.StringType())])
-    counted = shared.map_batches(sample, start, schema, rows=TERM_ROWS).groupBy("word").count()
-    rows = counted.filter("count > 1").orderBy(F.desc("count"), "word").collect()
-    total = sum(r["count"] for r in rows)
-    return {r["word"]: math.log(r["count"] / total) for r in rows}
+        return add, lambda: sum(map(len, counts.values())), take
+
+    found = tallied(learnt.select("label", "text"), "label int, word string, n long", start)
+    found = materialise(found.groupBy("label", "word").agg(F.sum("n").alias("n")), "words")
+    totals = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    share = F.lit(0.0)
+    for label, total in totals.items():
+        share = share + F.when(F.col("label") == label, F.col("n") / float(total * len(totals))).otherwise(0.0)
+    common = found.groupBy("word").agg(F.sum("n").alias("n"), F.sum(share).alias("share"))
+    rows = common.filter(f"n > 1 AND share >= {LEAST_SHARE}").collect()
+    return {r["word"]: math.log(r["share"]) for r in rows}
 
 
 def token_words(token: str, decode: Callable[[str], str]) -> set[str]:
@@ -255,6 +299,8 @@ def spaced(run: str) -> str:
 def run_words(lower: str, decode: Callable[[str], str]) -> set[str]:
     """The words behind the spaced-out runs of a text, parted and as one word."""
     words = set()
+    if not TWO_SINGLE.search(lower):
+        return words
     for run in set(SPACED.findall(lower)):
         read = decode(spaced(run))
         words.update(LETTER_RUN.findall(read))
@@ -277,14 +323,31 @@ class Remembered(dict):
         return found
 
 
-def restored_words(text: str, decode: Callable[[str], str], read: Remembered | None = None) -> set[str]:
+def plain_words(lower: str) -> tuple[set[str], set[str]]:
+    """The words that are whole pieces of a text, but for signs after them, and the other pieces."""
+    tokens = set(lower.split())
+    words, others = set(filter(str.isalpha, tokens)), set()
+    for token in filterfalse(str.isalpha, tokens):
+        word = token.rstrip(AFTER)
+        if word.isalpha():
+            words.add(word)
+        elif word:
+            others.add(token)
+    letters = np.frombuffer(" ".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    same = letters[1:] == letters[:-1]
+    if (same[1:] & same[:-1]).any():
+        # Some word is drawn out.
+        others.update(filter(HIDDEN.search, tokens))
+    return words, others
+
+
+def restored_words(text: str, decode: Callable[[str], str]) -> set[str]:
     """The distinct words of a text, with obfuscated ones in every likely reading."""
     lower = shared.lowered(text)
-    read = Remembered(lambda token: token_words(token, decode)) if read is None else read
-    words = run_words(lower, decode)
-    for token in set(lower.split()):
-        words |= read[token]
-    return words
+    words, others = plain_words(lower)
+    for token in others:
+        words |= token_words(token, decode)
+    return words | run_words(lower, decode)
 
 
 def terms_of(words: set[str]) -> set[str]:
@@ -363,21 +426,14 @@ def strength(values: dict[str, float]) -> float:
 
 
 def measurer(characters: CharacterModel, terms: dict[str, float]) -> Callable[[str], float]:
-    """A function from a text to its strength. Each distinct piece of text is read, and looked up, once a task."""
+    """A function from a text to its strength."""
     decode = decoder(characters)
-
-    def valued(words: set[str]) -> dict[str, float]:
-        return {w: v for w in words if (v := term_value(w, terms))}
-
-    known = Remembered(lambda token: valued(token_words(token, decode)))
+    # Terms have three letters at least.
+    heads = {t[:3] for t in terms}
 
     def measure(text: str) -> float:
-        lower = shared.lowered(text)
-        values = valued(run_words(lower, decode))
-        for token in set(lower.split()):
-            if found := known[token]:
-                values.update(found)
-        return strength(values)
+        words = [w for w in restored_words(text, decode) if w[:3] in heads]
+        return strength({w: v for w in words if (v := term_value(w, terms))})
 
     return measure
 
@@ -398,54 +454,144 @@ def logistic(strengths: np.ndarray, labels: np.ndarray, weights: np.ndarray) ->
     return max(0.0, float(w[0])), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel | None:
-    """Learn from ``labels`` (doc_id, toxic) of rows that are not held out; None without both labels.
+def joinable(ids: DataFrame, rows: int) -> DataFrame:
+    """A table of ids to join texts with: broadcast while it is small."""
+    return F.broadcast(ids) if rows <= BROADCAST_ROWS else ids
 
-    Language-model counts cover all of ``docs``; terms come from a bounded
-    sample and are counted where the texts lie.
-    """
-    characters = character_model(character_counts(docs))
-    sample = shared.learnt_rows(docs, labels, "toxic", sample_rows)
-    characters = replace(characters, words=common_words(sample))
 
-    def start():
-        decode = decoder(characters)
-        read = Remembered(lambda token: token_words(token, decode))
+def learnt_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(label, text, hash, sketch) of every row of ``docs`` whose id is in ``ids`` (doc_id, label)."""
+    rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(ids, "doc_id")
+    schema = shared.fields(rows, ("label", "text"), ("hash", T.LongType()), ("sketch", T.BinaryType()))
 
+    def start():
         def step(batch):
-            labels, hashes, sketches, terms = [], [], [], []
-            for label, text in zip(batch.column("label").to_pylist(), shared.texts_of(batch)):
-                words = restored_words(text, decode, read)
-                # The empty term counts the document itself.
-                found = ["", *sorted(terms_of(words))]
-                labels += [label] * len(found)
-                hashes += [text_hash(text)] * len(found)
-                sketches += [sketch(text).tobytes()] + [None] * (len(found) - 1)
-                terms += found
-            columns = [pa.array(labels, pa.int32()), pa.array(hashes, pa.int64())]
-            columns += [pa.array(sketches, pa.binary()), pa.array(terms, pa.string())]
-            return pa.record_batch(columns, ["label", "text", "sketch", "term"])
+            texts = shared.texts_of(batch)
+            columns = [batch.column("label"), batch.column("text"), pa.array(map(text_hash, texts), pa.int64())]
+            return pa.record_batch([*columns, pa.array([sketch(t).tobytes() for t in texts], pa.binary())], schema.names)
 
         return step
 
-    more = ("text", T.LongType()), ("sketch", T.BinaryType()), ("term", T.StringType())
-    schema = shared.fields(sample, ["label"], *more)
-    found = materialise(shared.map_batches(sample, start, schema, rows=TERM_ROWS), "terms")
-    documents = found.filter("term = ''")
-    # The sample is bounded, and so are the sketches of its distinct texts.
-    texts = documents.groupBy("label", "text").agg(F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("n")).collect()
-    dealt = witnesses_of([(r["label"], r["text"], bytes(r["sketch"])) for r in texts])
-    toxic, clean = (len({w for label, _, w in dealt if label == k}) for k in (1, 0))
+    return shared.map_batches(rows.select("label", "text"), start, schema)
+
+
+def first_of_copies(texts: DataFrame, agreed: int) -> DataFrame:
+    """(label, hash, witness, blocks, sketch) of those (label, hash, sketch) whose first places ``agreed`` others share.
+
+    A witness is found in blocks of about ``WITNESS_BLOCK`` texts, ``blocks`` for the
+    group; only witnesses keep their sketch.
+    """
+    keyed = texts.select("label", "hash", "sketch", F.substring("sketch", 1, 4 * agreed).alias("key"))
+    groups = keyed.groupBy("label", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Written, so that a join of a large group can be split.
+    groups = materialise(groups.select("label", "key", F.ceil(F.col("n") / WITNESS_BLOCK).alias("blocks")), "groups")
+    dealt = keyed.join(groups, ["label", "key"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "hash"), "blocks"))
+
+    def run(batches):
+        held, last = [], None
+
+        def found():
+            dealt = witnesses_of([(label, text, own) for label, text, own, _ in held])
+            sketches = {text: own for _, text, own, _ in held}
+            rows = [(label, text, w, held[0][3], sketches[text] if w == text else None) for label, text, w in dealt]
+            return pa.RecordBatch.from_pylist([dict(zip(out.names, r)) for r in rows], pa.schema(out))
+
+        out = pa.schema([("label", pa.int32()), ("hash", pa.int64()), ("witness", pa.int64()), ("blocks", pa.int64()), ("sketch", pa.binary())])
+        for batch in batches:
+            for *now, text, own, blocks in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and now != last:
+                    yield found()
+                    held = []
+                last = now
+                held.append((now[0], text, own, blocks))
+        if held:
+            yield found()
+
+    order = ["label", "key", "block"]
+    dealt = dealt.select(*order, "hash", "sketch", "blocks").repartition(*order).sortWithinPartitions(*order)
+    return dealt.mapInArrow(run, "label int, hash long, witness long, blocks long, sketch binary")
+
+
+def witnesses(learnt: DataFrame) -> DataFrame:
+    """(label, hash, witness, copies) of the distinct texts under each label; copies of a text are one witness.
+
+    Texts are compared where their sketches begin alike. Where more than a block
+    do, each block finds its witnesses, and those meet once more.
+    """
+    texts = learnt.groupBy("label", "hash").agg(F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
+    texts = materialise(texts, "texts")
+    found = materialise(first_of_copies(texts, 1), "witnesses")
+    heads = found.filter("blocks > 1 AND hash = witness").select("label", "hash", "sketch")
+    again = first_of_copies(heads, AGREED).select("label", F.col("hash").alias("witness"), F.col("witness").alias("head"))
+    found = found.select("label", "hash", "witness").join(again, ["label", "witness"], "left")
+    found = found.select("label", "hash", F.coalesce("head", "witness").alias("witness"))
+    named = texts.select("label", "hash", "copies").join(found, ["label", "hash"], "left")
+    return named.select("label", "hash", F.coalesce("witness", "hash").alias("witness"), "copies")
+
+
+def term_counts(learnt: DataFrame, named: DataFrame, characters: CharacterModel) -> DataFrame:
+    """(term, toxic, clean): how many witnesses under each label hold a term.
+
+    Rows that are a witness alone are counted per task; the terms of others go
+    on with their witness, so that each counts once.
+    """
+    several = named.groupBy("label", "witness").agg(F.sum("copies").alias("rows")).filter("rows > 1").drop("rows")
+    copied = materialise(named.select("label", "hash", "witness").join(several, ["label", "witness"]), "copied")
+    copied = joinable(copied, copied.count())
+
+    def start():
+        decode = decoder(characters)
+        alone, of_witness, read = defaultdict(Counter), defaultdict(set), set()
+
+        def add(batch):
+            columns = [batch.column(c).to_pylist() for c in ("label", "hash", "witness")]
+            for label, own, witness, text in zip(*columns, shared.texts_of(batch)):
+                if witness is None:
+                    alone[label].update(terms_of(restored_words(text, decode)))
+                elif (label, own) not in read:
+                    read.add((label, own))
+                    of_witness[label, witness] |= terms_of(restored_words(text, decode))
+
+        def take():
+            labels = [k for k, c in alone.items() for _ in c] + [k for (k, _), c in of_witness.items() for _ in c]
+            those = [w for (_, w), c in of_witness.items() for _ in c]
+            terms = [t for c in (*alone.values(), *of_witness.values()) for t in c]
+            n = [n for c in alone.values() for n in c.values()]
+            columns = [pa.array(labels, pa.int32()), pa.array([*repeat(None, len(n)), *those], pa.int64())]
+            columns += [pa.array(terms, pa.string()), pa.array(n + [1] * len(those), pa.int64())]
+            return pa.record_batch(columns, ["label", "witness", "term", "n"])
+
+        def held():
+            return sum(map(len, alone.values())) + sum(map(len, of_witness.values()))
+
+        return add, held, take
+
+    rows = learnt.select("label", "hash", "text").join(copied, ["label", "hash"], "left")
+    found = tallied(rows, "label int, witness long, term string, n long", start)
+    found = found.groupBy("label", "witness", "term").agg(F.sum("n").alias("n"))
+    n = F.when(F.col("witness").isNull(), F.col("n")).otherwise(1)
+    toxic, clean = (F.sum(F.when(F.col("label") == k, n).otherwise(0)).alias(name) for k, name in ((1, "toxic"), (0, "clean")))
+    return found.groupBy("term").agg(toxic, clean)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel | None:
+    """Learn from ``labels`` (doc_id, toxic) of rows that are not held out; None without both labels.
+
+    Language-model counts cover all of ``docs``; words, terms and the curve
+    cover every labelled row, counted where the texts lie.
+    """
+    ids = shared.learnable(labels, "toxic")
+    totals = {r[0]: r[1] for r in ids.groupBy("label").count().collect()}
+    learnt = materialise(learnt_texts(docs, joinable(ids, sum(totals.values()))), "learnt")
+    named = materialise(witnesses(learnt), "named")
+    numbers = {r["label"]: r["n"] for r in named.groupBy("label").agg(F.countDistinct("witness").alias("n")).collect()}
+    toxic, clean = numbers.get(1, 0), numbers.get(0, 0)
     if not toxic or not clean:
         return None
-    # Copies of a text are one witness.
-    copies = docs.sparkSession.createDataFrame(dealt, "label int, text long, witness long")
-    witnesses = (
-        found.filter("term <> ''").join(F.broadcast(copies), ["label", "text"]).select("label", "witness", "term").distinct()
-    )
-    counted = witnesses.groupBy("term").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
-    # The sample is even over the labels; their true proportions weigh it.
-    totals = {r[0]: r[1] for r in shared.learnable(labels, "toxic").groupBy("label").count().collect()}
+    characters = replace(character_model(character_counts(docs)), words=common_words(learnt))
+    counted = term_counts(learnt, named, characters)
+    # The rows of a label, dealt to its witnesses.
     weight_toxic, weight_clean = totals[1] / toxic, totals[0] / clean
     precision = F.col("toxic") * weight_toxic / (F.col("toxic") * weight_toxic + F.col("clean") * weight_clean)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
@@ -461,7 +607,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
         .filter(precision >= LEAST_PRECISION)
         .withColumn("odds", odds - 1.0 / F.sqrt("toxic"))
         .filter(F.col("odds") > 0)
-        .collect()  # of a bounded sample
+        .collect()  # the model's own terms
     )
     terms = {r["term"]: float(r["odds"]) for r in rows}
 
@@ -474,18 +620,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
 
         return step
 
-    schema = shared.fields(sample, ["label"], ("strength", T.DoubleType()))
+    schema = shared.fields(learnt, ["label"], ("strength", T.DoubleType()))
     # Rounded and counted, so that the curve is fitted on a short table.
     curve = (
-        shared.map_batches(sample, measure, schema)
+        shared.map_batches(learnt.select("label", "text"), measure, schema)
         .groupBy("label", F.round("strength", 1).alias("strength"))
         .count()
         .orderBy("label", "strength")
         .toPandas()
     )
     # The curve counts rows, copies too.
-    rows_of = {k: sum(r["n"] for r in texts if r["label"] == k) for k in (0, 1)}
-    weight = curve["label"].map({k: totals[k] / n for k, n in rows_of.items()}).to_numpy(float)
+    weight = curve["label"].map({k: totals[k] / n for k, n in curve.groupby("label")["count"].sum().items()}).to_numpy(float)
     weight *= curve["count"].to_numpy(float)
     slope, bias = logistic(curve["strength"].to_numpy(float), curve["label"].to_numpy(float), weight)
     return ToxicityModel(characters, terms, slope, bias)
