@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm import language, neardup, packing, shared, toxicity
-from tidepanel.storage import materialise
+from tidepanel.storage import materialise, small_batches
 
 # Near duplicates share 80 per cent of their shingles of five words.
 NEAR = neardup.Shape(width=5, percent=80)
@@ -68,8 +68,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written and read again."""
     docs = shared.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, name.replace(" ", "-"))
+    # All stages share the executors' memory, and rows hold whole texts.
+    with small_batches(spark):
+        for k, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs = materialise(docs, name.replace(" ", "-"))
     return docs

@@ -82,6 +82,18 @@ def test_every_pair_within_the_distance_shares_a_key(spark, shape):
     assert {(2 * i, 2 * i + 1) for i in range(300)} <= found
 
 
+def test_keys_are_made_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "KEYED_ROWS", 50)
+    shape = SHAPES[0]
+    rows = [(i, bytearray(random.Random(i).randbytes(2 * shape.positions))) for i in range(1000)]
+    classes = spark.createDataFrame(rows, "rep long, signature binary").coalesce(1)
+    keys = neardup.keyed_classes(classes, shape)
+    made = [r["count"] for r in keys.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 1000 * shape.positions and max(made) <= 2 * 50 * shape.positions
+    want = classes.select("rep", neardup.chunk_keys(shape))
+    assert not keys.exceptAll(want).count() and not want.exceptAll(keys).count()
+
+
 @pytest.mark.parametrize("shape", SHAPES)
 @pytest.mark.parametrize("block", [4, 512])
 def test_near_duplicates_equal_brute_force(spark, many, monkeypatch, shape, block):

@@ -5,9 +5,11 @@ from __future__ import annotations
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from tidepanel import storage
 from tidepanel.llm import language, shared, toxicity
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -30,6 +32,22 @@ def test_stages_are_in_order():
     assert list(STAGES) == ["language ID", "toxicity", "near duplicates", "packing"]
 
 
+def test_stages_pass_few_texts_at_a_time_to_python(spark, tmp_path, monkeypatch):
+    """The JVM and Python each hold a batch of whole texts; in one task, more rows than a batch may have."""
+    spark.range(5000).selectExpr("id AS doc_id", "'a text' AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        yield from (pa.record_batch({"n": pa.array([b.num_rows])}) for b in batches)
+
+    monkeypatch.setattr(
+        corpus_pipeline, "STAGES", [("sizes", lambda _, docs, __: docs.mapInArrow(sizes, "n long")), ("rows", lambda _, docs, __: docs)]
+    )
+    before = spark.conf.get(storage.BATCH_ROWS)
+    found = [r.n for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sum(found) == 5000 and max(found) <= 1024
+    assert spark.conf.get(storage.BATCH_ROWS) == before
+
+
 def test_language_stage_keeps_documents_in_known_languages(spark, docs, sf_dir):
     kept = STAGES["language ID"](spark, docs, sf_dir)
     model = language.fit(docs, language.trainable(docs))

@@ -35,6 +35,8 @@ MISS = 2e-5
 # Members of a block of a key (a signature is some hundred bytes, and a row goes to as many cells as its
 # key has blocks), texts of a block of a component, and shingles of such a block.
 KEY_BLOCK = 4096
+# Signatures whose keys one task makes (50 to 85 a signature), about. What a task groups and shuffles stays small.
+KEYED_ROWS = 4096
 # Rows of keys with the same first member that one task takes, about.
 TASK_ROWS = 2_000
 TEXT_BLOCK = 256
@@ -105,6 +107,12 @@ def chunk_keys(shape: Shape) -> Column:
     return F.explode(F.array(*keys)).alias("key")
 
 
+def keyed_classes(classes: DataFrame, shape: Shape) -> DataFrame:
+    """(rep, key) of every key of every class, in tasks of about ``KEYED_ROWS`` classes."""
+    tasks = max(1, -(-classes.count() // KEYED_ROWS))
+    return classes.select("rep", "signature").repartition(tasks, "rep").select("rep", chunk_keys(shape))
+
+
 def in_cells(members: DataFrame, group: str, member: str, blocks: Column) -> DataFrame:
     """Deal the members of each group to ``blocks`` blocks by hash, and pair up the blocks.
 
@@ -206,7 +214,7 @@ def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def candidate_forest(classes: DataFrame, shape: Shape) -> DataFrame:
     """(a, b): edges that connect every pair of representatives within the threshold distance."""
-    keyed = classes.select("rep", chunk_keys(shape))
+    keyed = keyed_classes(classes, shape)
     held = keyed.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("rep").alias("first"),

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 # Bytes of text that are split into words at a time; longer texts are cut between words.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 # Shingles whose hashes a signature works on at a time.
 BLOCK_SHINGLES = 1 << 13
 
