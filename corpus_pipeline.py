@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm import language, neardup, packing, shared, toxicity
-from tidepanel.storage import materialise, small_batches
+from tidepanel.storage import materialise, shrink_batches, small_batches
 
 # Near duplicates share 80 per cent of their shingles of five words.
 NEAR = neardup.Shape(width=5, percent=80)
@@ -20,6 +20,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Gone are texts that are null or without a letter, and those of which no
     language has a probability of a half.
     """
+    shrink_batches(spark)
     return language.keep(docs, language.fit(docs, language.trainable(docs)))
 
 
@@ -30,6 +31,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     labelled rows, and stay; repeated rows are judged alike; without labels of both
     kinds all stay.
     """
+    shrink_batches(spark)
     return toxicity.keep(docs, toxicity.fit(docs, shared.table(spark, sf_dir, "labels")))
 
 
@@ -39,6 +41,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without a word, with a null text or without an id all stay; of rows that
     repeat an id one stays.
     """
+    shrink_batches(spark)
     return neardup.keep_first(docs, NEAR)
 
 
@@ -48,12 +51,15 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null or empty text is one piece, its end-of-text id; repeated rows are packed each;
     equal lengths are placed in row order.
     """
+    shrink_batches(spark)
     packed = packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
 
 
+# Rows hold whole texts, and who calls a stage writes its rows after it has returned. So each stage leaves the
+# session with small batches to Python; ``run`` gives the settings back.
 STAGES = [
     ("language ID", language_stage),
     ("toxicity", toxicity_stage),
@@ -68,10 +74,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written and read again."""
     docs = shared.table(spark, sf_dir, "documents")
-    # All stages share the executors' memory, and rows hold whole texts.
     with small_batches(spark):
-        for k, (name, stage) in enumerate(STAGES):
-            docs = stage(spark, docs, sf_dir)
-            if k < len(STAGES) - 1:
-                docs = materialise(docs, name.replace(" ", "-"))
+        for name, stage in STAGES:
+            docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

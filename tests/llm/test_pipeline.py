@@ -48,6 +48,63 @@ def test_stages_pass_few_texts_at_a_time_to_python(spark, tmp_path, monkeypatch)
     assert spark.conf.get(storage.BATCH_ROWS) == before
 
 
+def largest_batches(spark, docs):
+    """Rows and bytes of the largest batch that a query passes to Python, all in one task."""
+
+    def sizes(batches):
+        yield from (pa.record_batch({"n": pa.array([b.num_rows]), "size": pa.array([b.nbytes])}) for b in batches)
+
+    rows = docs.coalesce(1).mapInArrow(sizes, "n long, size long").collect()
+    return max(r.n for r in rows), max(r.size for r in rows)
+
+
+@pytest.mark.parametrize("name", list(STAGES))
+def test_a_stage_written_by_its_caller_passes_few_texts_at_a_time(spark, tmp_path, name):
+    """The caller starts the stage's last query after the stage has returned; long texts count by their bytes."""
+    spark.range(6).selectExpr("id AS doc_id", "0 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(1, "a text", "en")], "doc_id long, text string, lang string")
+    short = spark.range(5000).selectExpr("id", "'a text' AS text")
+    long = spark.range(600).selectExpr("id", "repeat('x', 50000) AS text")
+    before = {k: spark.conf.get(k) for k in (storage.BATCH_ROWS, storage.BATCH_BYTES)}
+    try:
+        spark.conf.set(storage.BATCH_ROWS, "10000")
+        spark.conf.set(storage.BATCH_BYTES, "64m")
+        STAGES[name](spark, docs, str(tmp_path))
+        assert largest_batches(spark, short)[0] <= 1024
+        assert largest_batches(spark, long)[1] <= 16 << 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_the_last_stage_of_a_run_passes_few_texts_at_a_time(spark, tmp_path, monkeypatch):
+    spark.range(5000).selectExpr("id AS doc_id", "'a text' AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        yield from (pa.record_batch({"n": pa.array([b.num_rows])}) for b in batches)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("sizes", lambda _, docs, __: docs.mapInArrow(sizes, "n long"))])
+    found = [r.n for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sum(found) == 5000 and max(found) <= 1024
+
+
+def test_sizes_in_other_units_and_smaller_settings_hold(spark):
+    before = {k: spark.conf.get(k) for k in (storage.BATCH_ROWS, storage.BATCH_BYTES)}
+    try:
+        spark.conf.set(storage.BATCH_ROWS, "0")
+        spark.conf.set(storage.BATCH_BYTES, "1m")
+        with storage.small_batches(spark):
+            assert int(spark.conf.get(storage.BATCH_ROWS)) == 1024
+            assert int(spark.conf.get(storage.BATCH_BYTES)) == 1 << 20
+        assert (spark.conf.get(storage.BATCH_ROWS), spark.conf.get(storage.BATCH_BYTES)) == ("0", "1m")
+        spark.conf.set(storage.BATCH_ROWS, "10")
+        with storage.small_batches(spark):
+            assert spark.conf.get(storage.BATCH_ROWS) == "10"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_language_stage_keeps_documents_in_known_languages(spark, docs, sf_dir):
     kept = STAGES["language ID"](spark, docs, sf_dir)
     model = language.fit(docs, language.trainable(docs))
