@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidepanel import catalog
 from tidepanel.functions.aggregates import r_squared, weighted_mean
-from tidepanel.operators import attribution, metrics, models
+from tidepanel.operators import attribution, forest, metrics, models
 from tidepanel.operators.models import ForecastSpec
 from tidepanel.plans import forecast, search
 from tidepanel.plans.prepare import written
@@ -405,3 +405,109 @@ def test_model_queries_give_whole_results(spark, sf_dir, name):
     assert f"{name}_check" in catalog.ORACLES and name not in catalog.ORACLES
     for column in {"prediction", "phi", "importance"} & set(rows.columns):
         assert rows[column].notna().all() and rows[column].nunique() > 1
+
+
+# --- forests on many rows, attributions of many rows ----------------------------
+
+
+def node_table(spark, model, path):
+    model.write().save(str(path))
+    return spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").collect()
+
+
+@pytest.fixture()
+def wide_panel(spark):
+    """3,000 rows whose label follows two of six measures; keys repeat, weights differ."""
+    draw = np.random.default_rng(5)
+    x = np.round(draw.normal(size=(3000, 6)), 3)
+    y = np.where(x[:, 0] > 0.3, 4.0, 1.0) + np.where(x[:, 1] > -0.5, 2.5, 0.0) + draw.normal(size=3000)
+    rows = [(i // 2, *map(float, r), float(t), int(t > 3), 1.0 + i % 3) for i, (r, t) in enumerate(zip(x, y))]
+    columns = "k int, a double, b double, c double, d double, e double, f double, y double, high int, weight double"
+    return spark.createDataFrame(rows, columns).repartition(4, "k").cache()
+
+
+SIX = list("abcdef")
+
+
+@pytest.mark.parametrize("kind", ["forest", "classifier"])
+@pytest.mark.parametrize("weight", [None, "weight"])
+def test_a_tree_from_histograms_is_mllibs(spark, wide_panel, monkeypatch, tmp_path, kind, weight):
+    """One tree on all rows leaves nothing to draw: cuts, splits, pruning and statistics are the same."""
+    params = {"numTrees": 1, "maxDepth": 4, "bootstrap": False, "featureSubsetStrategy": "all", "minInstancesPerNode": 20}
+    spec = ForecastSpec(kind, params, label="high" if kind == "classifier" else "y", weight=weight)
+    monkeypatch.setattr(models, "MANY_ROWS", 10**9)
+    expected = node_table(spark, models.fit(wide_panel, SIX, spec, ["k"]), tmp_path / "a")
+    monkeypatch.setattr(models, "MANY_ROWS", 100)
+    monkeypatch.setattr(forest, "ROWS_AT_ONCE", 64)
+    got = node_table(spark, models.fit(wide_panel, SIX, spec, ["k"]), tmp_path / "b")
+    assert len(got) == len(expected) > 4
+    for a, b in zip(expected, got):
+        assert a[:2] == b[:2] and a.split == b.split and a.rawCount == b.rawCount
+        assert (a.leftChild, a.rightChild) == (b.leftChild, b.rightChild)
+        assert [b.prediction, b.impurity, b.gain, *b.impurityStats] == pytest.approx([a.prediction, a.impurity, a.gain, *a.impurityStats], abs=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["forest", "classifier"])
+def test_a_forest_on_many_rows_grows_without_mllibs_passes(spark, wide_panel, monkeypatch, tmp_path, kind):
+    """It is as good as MLlib's, the same each time and however the rows lie, and can be saved and loaded."""
+    label = "high" if kind == "classifier" else "y"
+    spec = ForecastSpec(kind, {"numTrees": 12, "maxDepth": 5}, label=label)
+
+    def scored(model):
+        if kind == "classifier":
+            rows = models.predict_class(model, wide_panel, SIX)
+            return metrics.roc_auc(rows, "high", "probability").first()[0]
+        return metrics.regression_metrics(models.predict(model, wide_panel, SIX, "p"), "y", "p").first().r2
+
+    monkeypatch.setattr(models, "MANY_ROWS", 10**9)
+    whole = scored(models.fit(wide_panel, SIX, spec, ["k"]))
+    monkeypatch.setattr(models, "MANY_ROWS", 100)
+    fits = []
+    monkeypatch.setattr(models, "fit_forest", lambda *a: fits.append(a) or forest.fit_forest(*a))
+    first = models.fit(wide_panel, SIX, spec, ["k"])
+    again = models.fit(wide_panel.repartition(7), SIX, spec, ["k"])
+    assert len(fits) == 2 and first.getNumTrees == 12 and first.numFeatures == 6 and first.getMaxDepth() == 5
+    assert abs(scored(first) - whole) < 0.03
+    tables = [node_table(spark, m, tmp_path / str(i)) for i, m in enumerate((first, again))]
+    assert tables[0] == tables[1] and len({r.rawCount for r in tables[0] if r.id == 0}) > 1
+    assert scored(models.load_model(kind, str(tmp_path / "0"))) == scored(first)
+
+
+def test_other_settings_and_labels_are_left_to_mllib(wide_panel, monkeypatch):
+    monkeypatch.setattr(models, "MANY_ROWS", 100)
+    monkeypatch.setattr(models, "fit_forest", lambda *a: pytest.fail("settings it does not follow"))
+    models.fit(wide_panel, SIX, ForecastSpec("classifier", {"numTrees": 2, "maxDepth": 2, "impurity": "entropy"}, label="high"), ["k"])
+    three = wide_panel.withColumn("three", F.col("k") % 3)
+    assert models.fit(three, SIX, ForecastSpec("classifier", {"numTrees": 2, "maxDepth": 2}, label="three"), ["k"]).numClasses == 3
+
+
+def test_rows_are_drawn_as_often_as_poisson_numbers():
+    settings = forest.Settings(2, 5, 42, True, 1.0, 32, 0.0, 1, False, 6, 6, False)
+    counts = forest.drawn(np.arange(200_000, dtype=np.uint64) * np.uint64(11400714819323198485), 1, settings)
+    shares = np.bincount(counts, minlength=4)[:4] / len(counts)
+    assert list(shares) == pytest.approx([math.exp(-1) / math.factorial(k) for k in range(4)], abs=0.005)
+
+
+def test_missing_features_raise(wide_panel, monkeypatch):
+    monkeypatch.setattr(models, "MANY_ROWS", 100)
+    gaps = wide_panel.withColumn("a", F.when(F.col("k") > 10, F.col("a")))
+    with pytest.raises(Exception, match="missing values"):
+        models.fit(gaps, SIX, ForecastSpec("forest", {"numTrees": 2, "maxDepth": 2}), ["k"])
+
+
+def test_the_rows_of_a_block_share_the_tables_of_a_branch(prepared, boosted, monkeypatch):
+    """What is worked out per branch does not grow with the rows, and leaves are not looked at one by one."""
+    nodes = attribution.tree_nodes(boosted.model).where("tree = 0").toArrow()
+    branches = attribution._branches(attribution.tree_branches(nodes))
+    leaves = sum(left < 0 for left in nodes.column("left").to_pylist())
+    assert leaves > 4 and len(branches) == 1  # a tree of depth 3 is one table
+    x = np.random.default_rng(0).normal(size=(4096, len(prepared.features)))
+    sizes = []
+    shares = attribution.branch_shares
+    monkeypatch.setattr(attribution, "branch_shares", lambda bits, branch: sizes.append(len(bits)) or shares(bits, branch))
+    whole = attribution.attribute(x, branches)
+    assert sizes == [2 ** (leaves - 1)]
+    monkeypatch.setattr(attribution, "CONDITIONS", 2)
+    parts = attribution._branches(attribution.tree_branches(nodes))
+    assert len(parts) > 1 and np.abs(attribution.attribute(x, parts) - whole).max() < 1e-12
+    assert np.abs(attribution.attribute(x[:3], branches) - whole[:, :3]).max() < 1e-12
